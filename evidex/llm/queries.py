@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .media import media_column, media_features
+from .packing import pack
+from .simhash import near_dedup
+from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +27,41 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer file lies; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(media_column(_documents(spark, sf_dir)))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup(_documents(spark, sf_dir))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op5_packing": op5_packing,
+    "op6_token_counts": op6_token_counts,
+    "op7_media": op7_media,
+    "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
 }
 
