@@ -66,7 +66,7 @@ def block_identity(docs: DataFrame, key: str, text: str, block: int = BLOCK) ->
 
 
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) for each row of ``docs``.
+    """(doc_id, keep_id, group_size, kept, text_sha256, text_hash) for each row of ``docs``.
 
     Texts are equal when identical without white space. Of equal ones the
     longest original stays, then the smallest doc_id (null before others), then
@@ -99,4 +99,5 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         "group_size",
         ((F.col("key") == F.col("best.key")) & (F.col("copy") == 1)).alias("kept"),
         "text_sha256",
+        F.col("key.h").alias("text_hash"),
     )

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .licences import licence_scan
+from .licences import oracle as licence_oracle
 from .line_dedup import line_dedup
 from .media import media_column, media_features
 from .packing import pack
+from .piece_codec import decoded_digest, encode_pieces
+from .repeats import remove_repeats
 from .simhash import near_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
@@ -19,7 +23,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_documents(spark, sf_dir))
+    return exact_dedup(_documents(spark, sf_dir)).drop("text_hash")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,17 +59,35 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(_documents(spark, sf_dir))
+
+
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    return decoded_digest(encode_pieces(_documents(spark, sf_dir), path), path)
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(_documents(spark, sf_dir))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_licence_scan": op2_licence_scan,
     "op3_toxicity": op3_toxicity,
+    "op4_piece_codec": op4_piece_codec,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_media": op7_media,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL = {
+    "op2_licence_scan": licence_oracle(),
     "op1_exact_dedup": r"""
         with t as (
             select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n,

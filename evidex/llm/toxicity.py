@@ -24,15 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import whole
 
 BITS = 22
 FOLDS = 5
 MAX_ROWS = 16_000
-EPOCHS = 3
+EPOCHS = 4
 #: Rates and penalties of the learner, and what a row of label 1, the rarer one, weighs.
-ALPHA, BETA, L1, L2, ONES_WEIGHT = 1.0, 1.0, 10.0, 1.0, 3.0
+ALPHA, BETA, L1, L2, ONES_WEIGHT = 2.0, 1.0, 15.0, 1.0, 1.5
 #: Hashes of words that a worker remembers.
 REMEMBERED_WORDS = 400_000
 
@@ -134,8 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
     return model["at"].to_numpy(), model.weight.to_numpy(np.float32), bias
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``."""
+def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> DataFrame:
+    """``docs`` with all its columns and ``toxicity_score``; rows stay where they are."""
     at, weights, bias = train(docs, labels, max_rows, epochs)
     sent = docs.sparkSession.sparkContext.broadcast((at, weights, bias))
 
@@ -144,14 +145,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epoch
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = weights
         for given in batches:
-            sums = np.array([dense[features(t.as_py())].sum(dtype=np.float64) for t in given.column(1)]) + bias
-            scores = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
-            yield pa.RecordBatch.from_arrays([given.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            texts = given.column("text")
+            sums = np.array([dense[features(t.as_py() or "")].sum(dtype=np.float64) for t in texts]) + bias
+            scores = pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*given.columns, scores], [*given.schema.names, "toxicity_score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
+    return docs.mapInArrow(scored, schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, score double").select(
+
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of ``docs``."""
+    return score(docs.select("doc_id", "text"), labels, max_rows, epochs).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("toxicity_score").alias("score"),
+        (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"),
     )

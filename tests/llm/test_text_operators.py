@@ -28,7 +28,7 @@ def test_exact_dedup(docs_of, awkward, block):
         rows.sort(key=lambda r: r[:2])
         sha = hashlib.sha256(normal.encode()).hexdigest()
         want += [(r[2], rows[0][2], len(rows), k == 0, sha) for k, r in enumerate(rows)]
-    got = [tuple(r) for r in exact_dedup(docs_of([r for r in awkward if block > 2 or len(r[1] or "") < 500]), block).collect()]
+    got = [tuple(r)[:5] for r in exact_dedup(docs_of([r for r in awkward if block > 2 or len(r[1] or "") < 500]), block).collect()]
     if block > 2:
         assert sorted(got, key=str) == sorted(want, key=str)
     else:
