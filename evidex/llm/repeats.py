@@ -7,8 +7,10 @@ equal distances wherever they occur, and a run of windows with one anchor is
 one segment.
 
 1. Anchors are gathered by hash; those of two or more documents are repeated.
-2. Documents cut out the segments of their repeated anchors; equal segments
-   are pre-aggregated to their smallest document.
+   Chunks of several segments are gathered by a 128-bit digest: where a smaller
+   document holds the same chunk, all its windows go and need no more work.
+2. Documents cut out the remaining segments of their repeated anchors; equal
+   segments are pre-aggregated to their smallest document.
 3. Segments of one anchor that differ are indexed: their windows are sorted,
    the preceding bytes form the Burrows-Wheeler column, and only its runs are
    kept, each with the document sampled at its end. Matching statistics stream
@@ -25,10 +27,12 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +42,10 @@ from .text import whole
 
 LENGTH = 50
 GRAM = 24
+#: Segments in a chunk, on average.
+SEGMENTS_IN_CHUNK = 8
+#: The mask of a mark that covers all its windows.
+ALL = -1
 #: Documents that travel together when marks meet texts.
 DOCS_IN_BLOCK = 256
 #: Different segments of one anchor from which on windows are dealt out one by one.
@@ -79,140 +87,205 @@ def _bytes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(t.as_buffer(), np.uint8) for t in column]
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def chunks(data: np.ndarray, first: np.ndarray, n: np.ndarray, gram: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first segment, digest) of each chunk: segments from one anchor whose hash says so up to the next.
 
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
-_DEALT = "bucket long, block long, docs binary, grams binary"
+    Equal chunks hold equal windows, so only the smallest document of a chunk need be compared any further.
+    """
+    import xxhash
+
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+    opens = gram % np.uint64(SEGMENTS_IN_CHUNK) == 0
+    opens[0] = True
+    at = np.flatnonzero(opens)
+    low = first[at]
+    high = np.append(low[1:], first[-1] + n[-1]) + length - 1
+    view = memoryview(np.ascontiguousarray(data))
+    digests = b"".join([xxhash.xxh3_128_digest(view[i:j]) for i, j in zip(low.tolist(), high.tolist())])
+    return at, np.frombuffer(digests, "<u8").reshape(-1, 2)
+
+
+def block_of(docs: np.ndarray, blocks: int) -> np.ndarray:
+    """What Spark's pmod(hash(d), blocks) gives: 32-bit Murmur3 of a long, seed 42."""
+    u32, turn = np.uint32, lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    words = docs.astype("<i8").view("<u4").reshape(-1, 2)
+    h = np.full(len(docs), 42, u32)
+    for k in range(2):
+        h = turn(h ^ (turn(words[:, k] * u32(0xCC9E2D51), 15) * u32(0x1B873593)), 13) * u32(5) + u32(0xE6546B64)
+    h ^= u32(8)
+    h = (h ^ (h >> u32(16))) * u32(0x85EBCA6B)
+    h = (h ^ (h >> u32(13))) * u32(0xC2B2AE35)
+    return (h ^ (h >> u32(16))).view(np.int32).astype(np.int64) % blocks
+
+
+def _pack(docs: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Documents, sorted, as differences, and their keys: 6 bytes of a gram or 16 of a chunk."""
+    gaps = np.diff(docs, prepend=np.int64(0)).astype("<i8").tobytes()
+    width = 6 if keys.shape[1] == 1 else 16
+    return zlib.compress(gaps, 1), np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), -1)[:, :width].tobytes()
+
+
+def _unpack(docs: bytes, keys: bytes, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    docs = np.cumsum(np.frombuffer(zlib.decompress(docs), "<i8"))
+    if kind == CHUNK:
+        return docs, np.frombuffer(keys, "<u8").reshape(-1, 2)
+    out = np.zeros((len(docs), 8), np.uint8)
+    out[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+    return docs, out.view("<u8")
+
+
+def _groups(docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and keys in order of key and document, where keys begin, and where another document of the key does."""
+    by = np.lexsort((docs, *keys.T))
+    docs, keys = docs[by], keys[by]
+    new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+    return docs, keys, new, np.append(True, docs[1:] != docs[:-1]) & ~new
+
+
+def _told(docs: np.ndarray, keys: np.ndarray, new: np.ndarray, other: np.ndarray, kind: int) -> np.ndarray:
+    """Which documents learn of a key: all of two or more that hold a gram, all but the smallest that hold a chunk."""
+    group = np.cumsum(new) - 1
+    if kind == GRAM_KEY:
+        return (np.bincount(group, other) > 0)[group]
+    return docs != docs[np.flatnonzero(new)][group]
+
+
+_DEALT = "bucket long, kind int, docs binary, keys binary"
+_DEALT_KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+_DEALT_NAMES = ["bucket", "kind", "docs", "keys"]
+GRAM_KEY, CHUNK = 0, 1
+
+
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(rows), 2000):
+        columns = zip(zip(*rows[lo : lo + 2000]), _DEALT_KINDS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], _DEALT_NAMES)
+
+
+def _rows(docs: np.ndarray, keys: np.ndarray, kind: int, to: np.ndarray, sign: int) -> Iterator[tuple]:
+    """Packed rows for each value of ``to``; a negative bucket -1 - block is an answer for the documents of a block."""
+    by = np.lexsort((docs, to))
+    docs, keys, to = docs[by], keys[by], to[by]
+    bounds = [*np.flatnonzero(np.diff(to, prepend=-1)).tolist(), len(to)]
+    for lo, hi in zip(bounds, bounds[1:]):
+        yield int(to[lo]) if sign > 0 else -1 - int(to[lo]), kind, *_pack(docs[lo:hi], keys[lo:hi])
 
 
-def _gathered(buckets: int, length: int):
-    """Rows of anchors for each bucket; what a batch itself shows to be repeated needs no further proof."""
+def _gathered(buckets: int, blocks: int, length: int):
+    """Keys of documents for each bucket; what a batch itself shows to be repeated is answered at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            docs = given.column("d").to_numpy(zero_copy_only=False)
-            blocks = given.column("block").to_numpy(zero_copy_only=False)
-            found = [np.unique(anchors(t, length)[2]) for t in _bytes(given.column("text"))]
-            sizes = np.array([len(f) for f in found])
-            if not sizes.sum():
-                continue
-            grams, docs, blocks = np.concatenate(found), np.repeat(docs, sizes), np.repeat(blocks, sizes)
-            by = np.lexsort((docs, grams))
-            grams, docs, blocks = grams[by], docs[by], blocks[by]
-            new = np.append(True, grams[1:] != grams[:-1])
-            other = np.append(True, docs[1:] != docs[:-1]) & ~new
-            group = np.cumsum(new) - 1
-            several = np.bincount(group, other) > 0
-            # Two documents stand for all of a gram that this batch knows to be repeated.
-            second = np.zeros(len(grams), bool)
-            at = np.flatnonzero(other)
-            second[at[np.unique(group[at], return_index=True)[1]]] = True
-            known = several[group]
-            rows: list[tuple] = []
-            for part, sign in ((new | second, 1), (known, -1)):
-                rows += _rows(grams[part], docs[part], blocks[part], buckets, sign)
-            for lo in range(0, len(rows), 2000):
-                names = [c.split()[0] for c in _DEALT.split(", ")]
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 2000]), kinds)], names)
+            ids, found = given.column("d").to_pylist(), {GRAM_KEY: [], CHUNK: []}
+            for data in _bytes(given.column("text")):
+                first, n, gram = anchors(data, length)
+                found[GRAM_KEY].append(gram[:, None])
+                found[CHUNK].append(chunks(data, first, n, gram, length)[1])
+            for kind, keys in found.items():
+                docs = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
+                if not len(docs):
+                    continue
+                docs, keys, new, other = _groups(docs, np.concatenate(keys))
+                told = _told(docs, keys, new, other, kind)
+                # One document stands for a key, and for a gram a second one proves that it is repeated.
+                sent, at = new.copy(), np.flatnonzero(other)
+                if kind == GRAM_KEY:
+                    sent[at[np.unique((np.cumsum(new) - 1)[at], return_index=True)[1]]] = True
+                bucket = ((keys[sent][:, 0] >> np.uint64(3)) % np.uint64(buckets)).astype(np.int64)
+                yield from _batches(list(_rows(docs[sent], keys[sent], kind, bucket, 1)))
+                yield from _batches(list(_rows(docs[told], keys[told], kind, block_of(docs[told], blocks), -1)))
 
     return run
 
 
-def _rows(grams: np.ndarray, docs: np.ndarray, blocks: np.ndarray, buckets: int, sign: int) -> Iterator[tuple]:
-    """sign 1: by bucket, with the block of each document packed in front; -1: by block, for the documents."""
-    key = (grams % np.uint64(buckets)).astype(np.int64) if sign > 0 else blocks
-    by = np.argsort(key, kind="stable")
-    key, grams, docs, blocks = key[by], grams[by], docs[by], blocks[by]
-    bounds = [*np.flatnonzero(np.diff(key, prepend=-1)), len(key)]
-    for lo, hi in zip(bounds, bounds[1:]):
-        k = int(key[lo])
-        if sign > 0:
-            yield k, -1, np.concatenate([docs[lo:hi], blocks[lo:hi]]).astype("<i8").tobytes(), _packed(grams[lo:hi])
-        else:
-            yield -1 - k, k, docs[lo:hi].astype("<i8").tobytes(), _packed(grams[lo:hi])
+def _answered(blocks: int):
+    """Answers for blocks of documents; input sorted by bucket."""
 
+    def decide(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for kind in (GRAM_KEY, CHUNK):
+            parts = [_unpack(d, k, kind) for own, d, k in held if own == kind]
+            if parts:
+                docs, keys, new, other = _groups(*map(np.concatenate, zip(*parts)))
+                told = _told(docs, keys, new, other, kind)
+                yield from _batches(list(_rows(docs[told], keys[told], kind, block_of(docs[told], blocks), -1)))
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, docs, grams) of anchors that two or more documents hold; input sorted by bucket."""
-    names = ["block", "docs", "grams"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bucket = [], None
+        for given in batches:
+            for row in zip(*(given.column(i).to_pylist() for i in range(4))):
+                if row[0] < 0:
+                    yield from _batches([row])
+                    continue
+                if row[0] != bucket and held:
+                    yield from decide(held)
+                    held = []
+                bucket = row[0]
+                held.append(row[1:])
+        if held:
+            yield from decide(held)
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.binary(), pa.binary()])], names)
+    return run
 
-    def decide(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        pairs = [np.frombuffer(d, "<i8").reshape(2, -1) for d, _ in held]
-        docs, blocks = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        grams = np.concatenate([_unpacked(g) for _, g in held])
-        by = np.lexsort((docs, grams))
-        grams, docs, blocks = grams[by], docs[by], blocks[by]
-        new = np.append(True, grams[1:] != grams[:-1])
-        other = np.append(True, docs[1:] != docs[:-1]) & ~new
-        group = np.cumsum(new) - 1
-        several = (np.bincount(group, other) > 0)[group]
-        rows = [r[1:] for r in _rows(grams[several], docs[several], blocks[several], 1, -1)]
-        for lo in range(0, len(rows), 5000):
-            yield out(rows[lo : lo + 5000])
-
-    held, bucket = [], None
-    for given in batches:
-        for k, block, docs, grams in zip(*(given.column(i).to_pylist() for i in range(4))):
-            if k < 0:
-                yield out([(block, docs, grams)])
-                continue
-            if k != bucket and held:
-                yield from decide(held)
-                held = []
-            bucket = k
-            held.append((docs, grams))
-    if held:
-        yield from decide(held)
+
+_SEGMENTS = "block long, d long, h long, first int, n int, gram long, segment binary"
 
 
-_SEGMENTS = pa.schema([("block", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("gram", pa.int64()), ("segment", pa.binary())])
+def _by_document(docs: np.ndarray, *values: np.ndarray) -> dict[int, tuple]:
+    if not len(docs):
+        return {}
+    by = np.argsort(docs, kind="stable")
+    docs = docs[by]
+    bounds = [*np.flatnonzero(np.append(True, docs[1:] != docs[:-1])).tolist(), len(docs)]
+    sorted_values = [v[by] for v in values]
+    return {int(docs[lo]): tuple(v[lo:hi] for v in sorted_values) for lo, hi in zip(bounds, bounds[1:])}
 
 
 def _cut(length: int):
-    """Segments of the repeated anchors of the documents of a block."""
-
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        known: dict[int, list] = {}
-        for docs, grams in zip(found.column("docs").to_pylist(), found.column("grams").to_pylist()):
-            docs, grams = np.frombuffer(docs, "<i8"), _unpacked(grams)
-            for doc in np.unique(docs).tolist():
-                known.setdefault(doc, []).append(grams[docs == doc])
-        out = []
-        texts = texts.combine_chunks()
-        for block, d, h, data in zip(*(texts.column(c).to_pylist() for c in ("block", "d", "h")), texts.column("text")):
-            if d not in known:
+    """Segments of the repeated anchors of a block's documents; a chunk that a smaller document holds is one row without bytes."""
+    schema = pa.schema([("block", pa.int64()), ("d", pa.int64()), ("h", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("gram", pa.int64()), ("segment", pa.binary())])
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        known = []
+        for kind in (GRAM_KEY, CHUNK):
+            rows = zip(*(answers.column(c).to_pylist() for c in ("kind", "docs", "keys")))
+            parts = [_unpack(d, k, kind) for own, d, k in rows if own == kind]
+            known.append(_by_document(*map(np.concatenate, zip(*parts))) if parts else {})
+        grams, lost = known
+        out: list[tuple] = []
+        for block, d, h, data in zip(*(texts.column(c).to_pylist() for c in ("block", "d", "h", "text"))):
+            if d not in grams and d not in lost:
                 continue
-            data = np.frombuffer(data.as_buffer(), np.uint8)
+            data = np.frombuffer(data, np.uint8)
             first, n, gram = anchors(data, length)
-            some = np.isin(gram, np.concatenate(known[d]))
+            some = np.zeros(len(gram), bool)
+            if d in grams:
+                held = np.unique(grams[d][0])
+                some = held[np.minimum(np.searchsorted(held, gram), len(held) - 1)] == gram
+            if d in lost:
+                gone = {bytes(k) for k in lost[d][0]}
+                at, digests = chunks(data, first, n, gram, length)
+                whole_chunks = np.array([bytes(k) in gone for k in digests])
+                some &= ~np.repeat(whole_chunks, np.diff(at, append=len(first)))
+                low, high = first[at], np.append(first[at[1:]], first[-1] + n[-1])
+                k = int(whole_chunks.sum())
+                zero = np.zeros(k, np.int64)
+                out.append((block, d, h, low[whole_chunks], (high - low)[whole_chunks], zero, zero, data[:0]))
             first, n, gram = first[some], n[some], gram[some]
-            if not len(first):
-                continue
             size = n + length - 1
-            ends = np.cumsum(size)
-            at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
-            column = pa.Array.from_buffers(
-                pa.binary(), len(n), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[at])]
-            )
-            fill = lambda v: pa.array(np.full(len(n), v, np.int64))
-            out.append(
-                pa.RecordBatch.from_arrays(
-                    [fill(block), fill(d), fill(h), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(gram.astype(np.int64)), column],
-                    schema=_SEGMENTS,
-                )
-            )
-        return pa.Table.from_batches(out, schema=_SEGMENTS)
+            at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+            out.append((block, d, h, first, n, gram.astype(np.int64), size, data[at]))
+        if not out:
+            return schema.empty_table()
+        counts = [len(o[3]) for o in out]
+        owner = [np.repeat(np.array([o[k] for o in out], np.int64), counts) for k in range(3)]
+        first, n, gram, size, data = (np.concatenate([o[k] for o in out]) for k in range(3, 8))
+        ends = np.append(0, np.cumsum(size))
+        absent = pa.array(size == 0)
+        segment = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        segment = pc.if_else(absent, pa.scalar(None, pa.binary()), segment)
+        columns = [*map(pa.array, owner), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(gram), segment]
+        return pa.Table.from_arrays(columns, schema=schema)
 
     return run
 
@@ -295,25 +368,27 @@ def _removed(length: int, whole_characters: bool):
     counts = ["n_bytes", "n_removed", "n_spans"]
 
     def run(texts: pa.Table, marks: pa.Table) -> pa.Table:
-        found: dict[tuple, list] = {}
-        for d, h, first, mask in zip(*(marks.column(c).to_pylist() for c in ("d", "h", "first", "mask"))):
-            found.setdefault((d, h), []).append((first, mask))
+        docs, hashes, first, n, mask = (marks.column(c).to_numpy() for c in ("d", "h", "first", "n", "mask"))
+        found = _by_document(docs, hashes, first, n, mask)
         rows = []
         for d, h, data in zip(*(texts.column(c).to_pylist() for c in ("d", "h", "text"))):
-            size, n, spans = len(data), 0, 0
-            if (d, h) in found:
-                first, mask = np.array(found[d, h], np.int64).T
-                bit = np.arange(length)
-                starts = (first[:, None] + bit)[(mask[:, None] >> bit) & 1 == 1]
+            size, removed, spans = len(data), 0, 0
+            if d in found:
+                own, first, n, mask = (v[found[d][0] == h] for v in found[d])
                 cover = np.zeros(size + 1, np.int32)
+                every = mask == ALL
+                np.add.at(cover, first[every], 1)
+                np.add.at(cover, (first + n)[every] + length - 1, -1)
+                some, bit = ~every, np.arange(length)
+                starts = (first[some, None] + bit)[(mask[some, None] >> bit) & 1 == 1]
                 np.add.at(cover, starts, 1)
                 np.add.at(cover, starts + length, -1)
                 gone = np.cumsum(cover[:-1]) > 0
-                n, spans = int(gone.sum()), int((np.diff(gone, prepend=False) & gone).sum())
+                removed, spans = int(gone.sum()), int((np.diff(gone, prepend=False) & gone).sum())
                 data = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 if whole_characters:
                     data = data.decode(errors="ignore").encode()
-            rows.append((size, n, spans, data))
+            rows.append((size, removed, spans, data))
         columns = list(zip(*rows)) or [[]] * 4
         arrays = [pa.array(c, pa.int64()) for c in columns[:3]] + [pa.array(columns[3], pa.binary())]
         return pa.Table.from_arrays([texts.column("rest"), *arrays], ["rest", *counts, "kept"])
@@ -357,26 +432,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
         F.coalesce("rest.doc_id", F.lit(-(1 << 63))).alias("d"),
         F.xxhash64("text").alias("h"),
         F.encode("text", "UTF-8").alias("text"),
-    ).withColumn("block", F.pmod(F.xxhash64("d"), F.lit(blocks)))
+    ).withColumn("block", F.pmod(F.hash("d"), F.lit(blocks)).cast("long"))
 
-    gathered = rows.select("d", "block", "text").mapInArrow(_gathered(buckets, length), _DEALT)
-    repeated = gathered.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "block long, docs binary, grams binary")
-    repeated = scratch.write(repeated, "repeated")
+    gathered = rows.select("d", "text").mapInArrow(_gathered(buckets, blocks, length), _DEALT)
+    answers = gathered.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answered(blocks), _DEALT)
+    answers = scratch.write(answers.select((-1 - F.col("bucket")).alias("block"), "kind", "docs", "keys"), "answers")
     _let_go(spark)
 
     segments = (
         rows.select("block", "d", "h", "text")
         .groupBy("block")
-        .cogroup(repeated.groupBy("block"))
-        .applyInArrow(_cut(length), "block long, d long, h long, first int, n int, gram long, segment binary")
+        .cogroup(answers.groupBy("block"))
+        .applyInArrow(_cut(length), _SEGMENTS)
     )
-    segments = scratch.write(segments, "segments")
-    scratch.drop(repeated)
+    segments = scratch.write(segments, "segments", compression="zstd")
+    scratch.drop(answers)
     _let_go(spark)
 
     sid = F.xxhash64("segment")
-    distinct = segments.groupBy("gram", "segment").agg(F.min("d").alias("d")).withColumn("sid", sid)
-    distinct = scratch.write(distinct, "distinct")
+    compared = segments.where("segment is not null")
+    distinct = compared.groupBy("gram", "segment").agg(F.min("d").alias("d")).withColumn("sid", sid)
+    distinct = scratch.write(distinct, "distinct", compression="zstd")
+    _let_go(spark)
     crowded = scratch.write(distinct.groupBy("gram").count().where(F.col("count") > CROWDED).select("gram"), "crowded")
     marked = (
         distinct.join(crowded, "gram", "left_anti")
@@ -391,12 +468,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
     scratch.drop(distinct)
     _let_go(spark)
 
-    gone = F.when(F.col("d") > F.col("least"), F.expr("shiftleft(1L, n) - 1")).otherwise(F.col("mask"))
+    place = ["block", "d", "h", "first", "n"]
+    gone = F.when(F.col("d") > F.col("least"), F.lit(ALL)).otherwise(F.col("mask"))
     marks = (
-        segments.select("block", "d", "h", "first", "n", "gram", sid.alias("sid"))
+        compared.select(*place, "gram", sid.alias("sid"))
         .join(marked, ["gram", "sid"])
-        .select("block", "d", "h", "first", gone.alias("mask"))
+        .select(*place, gone.alias("mask"))
         .where("mask <> 0")
+        .unionByName(segments.where("segment is null").select(*place, F.lit(ALL).alias("mask")))
     )
     marks = scratch.write(marks, "marks")
     scratch.drop(segments, marked)

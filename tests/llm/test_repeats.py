@@ -60,3 +60,18 @@ def test_equal_windows_have_equal_anchors():
         first, n, gram = repeats.anchors(text)
         assert first[0] == 0 and (first[1:] == first[:-1] + n[:-1]).all() and first[-1] + n[-1] == len(text) - 49
     assert repeats.anchors(passage[:49])[0].size == 0
+
+
+def test_blocks_are_those_of_spark(spark):
+    ids = [0, 1, -1, 7, 1 << 40, -(1 << 63), (1 << 63) - 1, 123456789]
+    frame = spark.createDataFrame([(i,) for i in ids], "d long").selectExpr("d", "pmod(hash(d), 37) b")
+    want = {r.d: r.b for r in frame.collect()}
+    assert dict(zip(ids, repeats.block_of(np.array(ids, np.int64), 37).tolist())) == want
+
+
+def test_copies_with_changes(docs_of):
+    rnd = random.Random(9)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
+    rows = [(i, base[: 100 * i] + "#" + base[100 * i + 1 :] + str(i)) for i in range(20)] + [(50 + i, base) for i in range(5)]
+    rnd.shuffle(rows)
+    check(docs_of, rows)
