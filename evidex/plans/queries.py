@@ -802,3 +802,41 @@ def meta_counts(spark, d):
     frames = {"items": X.items(spark, d), "events": X.events(spark, d), "edges": X.edges(spark, d)}
     counts = [f.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, f in frames.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+# ---------------------------------------------------------------- screening and documents
+
+@query(
+    "prescreen",
+    "select d.doc_id as id, case when coalesce(l.quality, 1) = 1 then 'screened' else 'rejected' end as status from documents d left join (select doc_id, max(quality) as quality from labels group by doc_id) l on l.doc_id = d.doc_id",
+)
+def prescreen(spark, d):
+    """Labels are the judge; a document without one is kept."""
+    from ..operators.screening import screened
+
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("pending").alias("status"))
+    verdicts = table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg((F.max("quality") == 1).alias("keep"))
+    return screened(items, verdicts)
+
+
+@query("extract_route", f"with {SQL_ITEMS} select item_id as id, case when effective_class = 'D' then 'evidence_only' else 'extract_' || effective_class end as route from items")
+def extract_route(spark, d):
+    from ..config import EngineConfig
+    from ..operators.screening import route
+
+    return X.items(spark, d).select(F.col("item_id").alias("id"), route(F.col("effective_class"), EngineConfig()).alias("route"))
+
+
+@query(
+    "relation_verdicts",
+    f"""with {SQL_EVENTS} select cast(event_id as varchar) as from_event, cast(event_id + 1 as varchar) as to_event, 'follows' as relation
+    from ev where confidence <= 3""",
+)
+def relation_verdicts(spark, d):
+    """A judge that sees a relation where confidence is high enough, and gives no basis elsewhere."""
+    e = F.col("event_id").cast("string")
+    verdicts = X.events(spark, d).select(
+        e.alias("a"), (F.col("event_id") + 1).cast("string").alias("b"), F.lit("follows").alias("relation"), F.lit("A").alias("source"),
+        F.when(F.col("confidence") <= 3, "a basis of some length").otherwise("short").alias("basis"),
+    )
+    return E.accepted_relations(verdicts)[0].select("from_event", "to_event", "relation")
