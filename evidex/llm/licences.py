@@ -1,8 +1,8 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
 Units are the lines of a text and, where it has several lines, the whole text.
-A unit is lower-cased (A-Z), what is neither letter nor digit parts words, and
-the distinct bigrams are compared with those of each template. At a threshold
+A unit is lower-cased, what is neither letter nor digit parts words, and the
+distinct bigrams, as 64-bit hashes, are compared with those of each template. At a threshold
 t, sets of a and b bigrams can only reach it if a t / (2 - t) <= b and
 b t / (2 - t) <= a; units that no template fits by size are dropped first. All
 of it happens inside the row: no shuffle, and the templates are literals.
@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import lower_ascii, whole
+from .text import whole
 
 THRESHOLD = 0.8
 
@@ -52,8 +52,9 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
 
 
 def _bigrams(text: Column) -> Column:
-    words = F.split(F.trim(F.regexp_replace(lower_ascii(text), r"[^\p{L}\p{N}]+", " ")), " ", -1)
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    """Distinct hashes of the bigrams of a text; null for fewer than two words."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ", -1)
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
     return F.when(F.size(words) > 1, F.array_distinct(pairs))
 
 
@@ -70,6 +71,8 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
     lines = F.split("text", "\n", -1)
     parts = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
     size = F.size("bigrams")
+    hashes = {name: F.array(*(F.xxhash64(*map(F.lit, b.split(" "))) for b in bigrams)) for name, bigrams in known.items()}
+    every = sorted({b for bigrams in known.values() for b in bigrams})
     units = (
         docs.select("doc_id", whole(F.col("text")).alias("text"))
         .select("doc_id", F.size(lines).alias("n"), F.posexplode(parts).alias("pos", "part"))
@@ -80,11 +83,13 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
         )
         .where(F.col("bigrams").isNotNull() & (size >= min(sizes) * reach) & (size <= max(sizes) / reach))
     )
+    # A template that fits by size and reaches the threshold shares this part of the unit's bigrams.
+    shared = F.array_intersect("bigrams", F.array(*(F.xxhash64(*map(F.lit, b.split(" "))) for b in every)))
+    units = units.select("doc_id", "unit", size.alias("n"), _once(shared).alias("shared")).where(F.size("shared") >= F.col("n") * reach)
     scores = []
     for name, bigrams in known.items():
-        literal = F.array(*map(F.lit, bigrams))
-        fits = (size >= len(bigrams) * reach) & (size <= len(bigrams) / reach)
-        dice = 2 * F.size(F.array_intersect("bigrams", literal)) / (size + len(bigrams))
+        fits = (F.col("n") >= len(bigrams) * reach) & (F.col("n") <= len(bigrams) / reach)
+        dice = 2 * F.size(F.array_intersect("shared", hashes[name])) / (F.col("n") + len(bigrams))
         scores.append(F.when(fits, F.struct((-dice).alias("loss"), F.lit(name).alias("licence"))))
     best = F.array_min(F.array_compact(F.array(*scores)))
     return (
@@ -104,8 +109,7 @@ def oracle() -> str:
             select doc_id, unnest(lines) as part, generate_subscripts(lines, 1) - 1 as unit from l
             union all select doc_id, text, -1 from l where len(lines) > 1),
         w as (
-            select doc_id, unit, string_split(trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-                'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' ') as words from p),
+            select doc_id, unit, string_split(trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' ') as words from p),
         b as (
             select doc_id, unit, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) as bigrams
             from w where len(words) > 1),
