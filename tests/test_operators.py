@@ -192,6 +192,41 @@ def test_attribution_by_suffix(spark):
     assert got == {1: "b", 2: "a", 3: None, 4: "a"}
 
 
+def test_named_sources_and_classes(spark):
+    patterns = spark.createDataFrame([("来源：A", "a", 1), ("B报", "b", 0)], "pattern string, source_id string, place int")
+    items = spark.createDataFrame([(1, "来源：A 和 B报"), (2, "x" * 600 + "B报"), (3, "来源：A")], "id long, text string")
+    assert {r.id: r.original_source for r in readers.original_source(items, "id", "text", patterns).collect()} == {1: "b", 2: None, 3: "a"}
+    levels = spark.createDataFrame([("C", "A"), ("B", "D"), ("C", None)], "own string, named string")
+    assert [r[0] for r in levels.select(readers.effective_class(F.col("own"), F.col("named"))).collect()] == ["A", "B", "C"]
+
+
+def test_channels_and_mirrors(spark):
+    one = spark.createDataFrame([("u1", "t")], "url string, title string")
+    both = readers.union_channels({"rss": one, "exa": one.withColumn("extra", F.lit(1))}).orderBy("seq").collect()
+    assert [(r.seq, r.channel, r.extra) for r in both] == [(1, "rss", None), (2, "exa", 1)]
+    rows = spark.createDataFrame([("s", 2, "x"), ("s", 1, "y"), ("s", 1, "z"), ("t", 3, "w")], "source_id string, mirror int, url string")
+    assert {r.url for r in readers.first_mirror(rows).collect()} == {"y", "z", "w"}
+    found = spark.createDataFrame([("u", "T", "Acme Official", "2024"), ("u", "S", "Blog", "2025"), ("v", "V", "Blog", "2024")], "url string, title string, publisher string, published string")
+    assert {(r.url, r.title, r.source_class) for r in readers.discovery_items(found, ("Official",)).collect()} == {("u", "T", "A"), ("v", "V", "C")}
+    assert [r.prefilter_drop for r in readers.title_prefilter(found.orderBy("url", "title"), ("V",)).collect()] == ["title", "title", None]
+
+
+def test_documents_of_events(spark):
+    evs = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, title string")
+    claims = spark.createDataFrame([("a", "fact", "c1", "text")], "event_id string, kind string, id string, text string")
+    items = spark.createDataFrame([("a", None, "i1", "u", "t")], "event_id string, published_at timestamp_ntz, id string, url string, title string")
+    edges = spark.createDataFrame([("a", "b", "follows", "x"), ("ghost", "a", "causes", "y")], "from_event string, to_event string, relation string, basis string")
+    got = {r.id: json.loads(r.document) for r in reports.event_documents(evs, claims, items, edges).collect()}
+    assert [(e["other"], e["direction"]) for e in got["a"]["edges"]] == [("b", "out")] and got["b"]["edges"][0]["direction"] == "in"
+    assert got["a"]["claims"][0]["id"] == "c1" and got["b"]["items"] == []
+
+
+def test_old_vectors_are_carried(spark):
+    new = spark.createDataFrame([("a", [1]), ("b", None)], "id string, vector array<int>")
+    old = spark.createDataFrame([("b", [2]), ("c", [3])], "id string, vector array<int>")
+    assert {(r.id, r.vector[0]) for r in reports.carried_vectors(new, old).collect()} == {("a", 1), ("b", 2), ("c", 3)}
+
+
 def test_judges_and_batches(spark):
     rows = spark.createDataFrame([(k,) for k in range(5)], "k long").coalesce(1)
     answers = judge.ask(rows, judge.RuleJudge(lambda r: {"keep": r["k"] % 2 == 0}), "screen", ["k"], 2).collect()
