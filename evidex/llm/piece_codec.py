@@ -30,13 +30,15 @@ from .piece_model import BPE, BYTE, NORMAL, SPACE, UNIGRAM, USER_DEFINED, PieceM
 from .text import whole
 
 #: Distinct parts that a worker remembers, and the longest that is remembered.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+#: New parts that are encoded as one line.
+PARTS_IN_LINE = 64
 
 _PARTS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
 
-def rebuilt(model: PieceModel):
-    """(whole tokenizer, tokenizer for normalised parts) of the tokenizers library."""
+def rebuilt(model: PieceModel, normalise: bool = True):
+    """The model as a tokenizer of the tokenizers library; without ``normalise`` it takes normalised parts."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if model.model_type == BPE:
@@ -49,10 +51,9 @@ def rebuilt(model: PieceModel):
             if p[:at] in joined and p[at:] in joined
         ]
         merges = [m[-1] for m in sorted(merges)]
-        make = lambda: models.BPE(ids, merges, unk_token=model.pieces[model.unk_id], byte_fallback=model.byte_fallback)
+        tokenizer = Tokenizer(models.BPE(ids, merges, unk_token=model.pieces[model.unk_id], byte_fallback=model.byte_fallback))
     elif model.model_type == UNIGRAM:
-        scored = list(zip(model.pieces, model.scores))
-        make = lambda: models.Unigram(scored, model.unk_id, model.byte_fallback)
+        tokenizer = Tokenizer(models.Unigram(list(zip(model.pieces, model.scores)), model.unk_id, model.byte_fallback))
     else:
         raise ValueError(f"model type {model.model_type} is not supported")
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
@@ -62,85 +63,124 @@ def rebuilt(model: PieceModel):
         steps.append(normalizers.Prepend(" "))
     if model.escape:
         steps.append(normalizers.Replace(" ", SPACE))
-    full, inner = Tokenizer(make()), Tokenizer(make())
-    full.normalizer = normalizers.Sequence(steps)
+    if normalise:
+        tokenizer.normalizer = normalizers.Sequence(steps)
     back = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
-    full.decoder = decoders.Sequence(back + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
-    return full, inner
+    tokenizer.decoder = decoders.Sequence(back + [decoders.Strip(" ", 1, 0)] * model.dummy_prefix)
+    return tokenizer
 
 
-class PieceCodec:
-    """Encoder, decoder and parity check of one model file."""
+def in_lines(tokenizer):
+    """The same model for lines of many parts, each with one marker in front."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    out = Tokenizer(tokenizer.model)
+    out.pre_tokenizer = pre_tokenizers.Metaspace(replacement=SPACE, prepend_scheme="never", split=True)
+    return out
+
+
+class PieceDecoder:
+    """Text of ids, by the bytes of each piece."""
+
+    def __init__(self, path: str):
+        self.model = PieceModel.load(path)
+        self.bytes_of = [
+            bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode()
+            for p, k in zip(self.model.pieces, self.model.kinds)
+        ]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """A marker before the text goes, bytes that are no UTF-8 are replaced."""
+        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
+
+class PieceEncoder:
+    """Encoder and parity check of one model file."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = PieceModel.load(path)
-        self.full, self.inner = rebuilt(self.model)
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         normal = [p for p, k in zip(self.model.pieces, self.model.kinds) if k == NORMAL]
         #: Whether texts fall into parts that can be encoded one by one.
         self.by_part = self.model.plain() and "\n" not in "".join(normal) and not any(
             SPACE in p.lstrip(SPACE) or (p[:2] == SPACE * 2 and p.strip(SPACE)) for p in normal
         )
-        self.bytes_of = [
-            bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode()
-            for p, k in zip(self.model.pieces, self.model.kinds)
-        ]
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.tokenizer = rebuilt(self.model, normalise=not self.by_part)
+        self.lines = in_lines(self.tokenizer)
+        self.opens = np.array([p[0] == SPACE for p in self.model.pieces])
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.known: dict[str, bytes] = {}
+        self.differing: set[str] = set()
 
     def _learn(self, parts: list[str]) -> None:
-        found = self.inner.encode_batch_fast(parts, add_special_tokens=False)
-        # The library puts a marker in front; a part that has one of its own is given without it.
-        other = self.library.encode([p[1:] if p[0] == SPACE else p for p in parts])
-        for part, ours, theirs in zip(parts, found, other):
-            ids = ours.ids
+        """Encode parts; those with one marker go in lines, where each token with a marker opens a part."""
+        marked = re.compile(f"{SPACE}[^{SPACE}]").match
+        plain, rest = [p for p in parts if marked(p)], [p for p in parts if not marked(p)]
+        lines = [plain[k : k + PARTS_IN_LINE] for k in range(0, len(plain), PARTS_IN_LINE)]
+        # The library puts a marker in front, so lines and parts are given without their own.
+        theirs = self.library.encode(["".join(line)[1:].replace(SPACE, " ") for line in lines])
+        ours = self.lines.encode_batch_fast(["".join(line) for line in lines], add_special_tokens=False)
+        for line, mine, other in zip(lines, ours, theirs):
+            numbers = mine.ids
+            ids = np.array(numbers, "<u4")
+            starts, data = (4 * np.flatnonzero(self.opens[ids])).tolist(), ids.tobytes()
+            if len(starts) != len(line):
+                raise ValueError("a part does not open with one marked token")
+            for part, low, high in zip(line, starts, [*starts[1:], len(data)]):
+                self.known[part] = data[low:high]
+            if numbers != other:
+                self._compare(line)
+        for part, mine in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[part] = np.array(mine.ids, "<u4").tobytes()
+        self._compare(rest)
+
+    def _compare(self, parts: list[str]) -> None:
+        """Note the parts that the library encodes otherwise."""
+        for part, theirs in zip(parts, self.library.encode([p[1:] if p[0] == SPACE else p for p in parts])):
             if part == SPACE:  # the library gives an empty text no marker
                 theirs = [self.library.piece_to_id(SPACE)]
-            self.known[part] = np.array(ids, "<u4").tobytes(), ids == (theirs if part[0] == SPACE else theirs[1:])
+            elif part[0] != SPACE:
+                theirs = theirs[1:]
+            if self.known[part] != np.array(theirs, "<u4").tobytes():
+                self.differing.add(part)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """(little-endian 32-bit ids, parity) of each text."""
         if not self.by_part:
-            ours = self.full.encode_batch_fast(texts, add_special_tokens=False)
+            ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             pairs = zip((e.ids for e in ours), self.library.encode(texts))
             return [(np.array(a, "<u4").tobytes(), a == b) for a, b in pairs]
         split = [_PARTS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({p for parts in split for p in parts} - self.known.keys())
-        for lo in range(0, len(new), 20_000):
-            self._learn(new[lo : lo + 20_000])
-        out = []
-        for parts in split:
-            found = [self.known[p] for p in parts]
-            out.append((b"".join([f[0] for f in found]), all([f[1] for f in found])))
+        new = list(set().union(*split) - self.known.keys())
+        for lo in range(0, len(new), 5_000):
+            self._learn(new[lo : lo + 5_000])
+        ids = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+        parity = [not self.differing or self.differing.isdisjoint(parts) for parts in split]
         for part in new:
             if len(part) > REMEMBERED_CHARS:
                 del self.known[part]
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; a marker before the text goes, bytes that are no UTF-8 are replaced."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+        return list(zip(ids, parity))
 
 
-_codecs: dict[str, PieceCodec] = {}
+_loaded: dict[tuple, PieceEncoder | PieceDecoder] = {}
 
 
-def piece_codec(path: str) -> PieceCodec:
-    """One codec for each worker and file."""
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+def loaded(kind: type, path: str) -> PieceEncoder | PieceDecoder:
+    """One encoder or decoder for each worker and file."""
+    if (kind, path) not in _loaded:
+        _loaded[kind, path] = kind(path)
+    return _loaded[kind, path]
 
 
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, text, ids, parity) for each row of ``docs``; ids are little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = piece_codec(model_path)
+        codec = loaded(PieceEncoder, model_path)
         for given in batches:
             for lo in range(0, given.num_rows, 512):
                 part = given.slice(lo, 512)
@@ -158,7 +198,7 @@ def decoded_digest(encoded: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip, parity) of encoded texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = piece_codec(model_path)
+        codec = loaded(PieceDecoder, model_path)
         names = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
         for given in batches:

@@ -12,8 +12,7 @@ from evidex.llm.piece_model import PieceModel
 
 
 def bigrams(text):
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = re.findall(r"[^\W_]+", text.translate(lower))
+    words = re.findall(r"[^\W_]+", text.lower())
     return {(a, b) for a, b in zip(words, words[1:])}
 
 
@@ -53,7 +52,7 @@ def test_piece_codec(docs_of, awkward):
 def test_full_tokenizer_is_rebuilt(awkward):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
-    full, _ = piece_codec.rebuilt(PieceModel.load(path))
+    full = piece_codec.rebuilt(PieceModel.load(path))
     for _, text in awkward[:24]:
         ids = library.encode(text or "")
         assert full.encode(text or "", add_special_tokens=False).ids == ids
@@ -75,6 +74,6 @@ def test_unigram_model_is_rebuilt():
     data = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, k)) for p, s, k in pieces)
     data += _field(2, _field(3, 1) + _field(35, 1)) + _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, 1) + _field(5, 1))
     library = sentencepiece.SentencePieceProcessor(model_proto=data)
-    full, _ = piece_codec.rebuilt(PieceModel.parse(data))
+    full = piece_codec.rebuilt(PieceModel.parse(data))
     for text in ("ab", "abba  ab", " a ", "aé b", "bab ab"):
         assert full.encode(text, add_special_tokens=False).ids == library.encode(text), text
