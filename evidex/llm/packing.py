@@ -42,7 +42,9 @@ SENTENCE_PENALTY, FORCED_PENALTY = 8, 256
 #: Tokens in a block of the dynamic program.
 BLOCK_TOKENS = 1 << 19
 #: Words whose ids are remembered by a worker.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 700_000
+#: New words that are encoded as one line.
+WORDS_IN_LINE = 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SPLIT_OFF = re.compile(r"(?<=[^\W_])(?=[.,;:!?])")
@@ -65,6 +67,9 @@ class WordEncoder:
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.removesuffix("</w>")[-1:] in (".", "!", "?")]
         self.ends_sentence = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_sentence[ends] = True
+        word_ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[word_ends] = True
         self.words: dict[str, bytes] = {"": b""}
 
     def split(self, text: str) -> list[str]:
@@ -75,14 +80,31 @@ class WordEncoder:
             text = text.replace(char, " ")
         return text.split(" ")
 
+    def _learn(self, new: list[str]) -> None:
+        """Encode words; those of letters alone go in lines, as one end-of-word token closes each."""
+        letters = [w for w in new if w.isalpha() and "\u0130" not in w]  # lower case of that one is not all letters
+        for at in range(0, len(letters), 1 << 16):
+            some = letters[at : at + (1 << 16)]
+            lines = [some[k : k + WORDS_IN_LINE] for k in range(0, len(some), WORDS_IN_LINE)]
+            found = self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)
+            for line, encoding in zip(lines, found):
+                ids = np.array(encoding.ids, "<u4")
+                ends, data, low = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist(), ids.tobytes(), 0
+                if len(ends) != len(line):
+                    raise ValueError("a word does not end in one end-of-word token")
+                for word, high in zip(line, ends):
+                    self.words[word] = data[low:high]
+                    low = high
+        rest = list(set(new) - self.words.keys())
+        for word, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.words[word] = np.array(encoding.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [self.split(t) for t in texts]
         if len(self.words) > REMEMBERED_WORDS:
             self.words = {"": b""}
-        new = list({w for words in split for w in words} - self.words.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(list(set().union(*split) - self.words.keys()))
         known = self.words.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
