@@ -42,12 +42,24 @@ SENTENCE_PENALTY, FORCED_PENALTY = 8, 256
 #: Tokens in a block of the dynamic program.
 BLOCK_TOKENS = 1 << 19
 #: Words whose ids are remembered by a worker.
-REMEMBERED_WORDS = 700_000
+REMEMBERED_WORDS = 900_000
 #: New words that are encoded as one line.
 WORDS_IN_LINE = 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Punctuation that a space in front may part from a letter, digit or space, but never from other punctuation.
+_PARTED = ".,;:!?"
 _SPLIT_OFF = re.compile(r"(?<=[^\W_])(?=[.,;:!?])")
+_DOUBLE = re.compile(r"(?:[^\w\s]|_)[.,;:!?]")
+
+
+def _latin(text: str) -> bool:
+    """Whether lower() maps each character for itself, as the tokenizer does."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class WordEncoder:
@@ -73,9 +85,14 @@ class WordEncoder:
         self.words: dict[str, bytes] = {"": b""}
 
     def split(self, text: str) -> list[str]:
-        if self.lower and text.isascii() and "<|" not in text:
+        if self.lower and "<|" not in text and _latin(text):
             text = text.lower()
-        text = _SPLIT_OFF.sub(" ", text)
+        if _DOUBLE.search(text):
+            text = _SPLIT_OFF.sub(" ", text)
+        else:
+            for char in _PARTED:
+                if char in text:
+                    text = text.replace(char, " " + char)
         for char in "\n\t\r\f\v":
             text = text.replace(char, " ")
         return text.split(" ")
