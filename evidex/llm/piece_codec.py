@@ -17,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from .text import whole
 
 #: Distinct parts that a worker remembers, and the longest that is remembered.
 REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+#: Threads of the tokenizers library in a worker; each keeps memory of its own.
+THREADS = 2
 #: New parts that are encoded as one line.
 PARTS_IN_LINE = 64
 
@@ -99,6 +102,7 @@ class PieceEncoder:
     """Encoder and parity check of one model file."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         import sentencepiece
 
         self.model = PieceModel.load(path)
