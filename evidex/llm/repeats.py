@@ -48,8 +48,9 @@ SEGMENTS_IN_CHUNK = 8
 ALL = -1
 #: Documents that travel together when marks meet texts.
 DOCS_IN_BLOCK = 256
-#: Different segments of one anchor from which on windows are dealt out one by one.
-CROWDED = 20_000
+#: Different segments of one anchor from which on windows are dealt out one by one:
+#: so many, or over so many times what a partition holds of all.
+CROWDED, CROWDED_SHARE = 20_000, 3
 #: Bytes of segments that are indexed at once.
 INDEX_BYTES = 4 << 20
 
@@ -454,7 +455,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
     distinct = compared.groupBy("gram", "segment").agg(F.min("d").alias("d")).withColumn("sid", sid)
     distinct = scratch.write(distinct, "distinct", compression="zstd")
     _let_go(spark)
-    crowded = scratch.write(distinct.groupBy("gram").count().where(F.col("count") > CROWDED).select("gram"), "crowded")
+    share = distinct.count() * CROWDED_SHARE // int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = F.col("count") > min(CROWDED, max(CROWDED // 10, share))
+    crowded = scratch.write(distinct.groupBy("gram").count().where(many).select("gram"), "crowded")
     marked = (
         distinct.join(crowded, "gram", "left_anti")
         .select("gram", "sid", "d", "segment")
