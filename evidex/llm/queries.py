@@ -87,6 +87,23 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op10_repeats": r"""
+        with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
+        w as (select doc_id, p, array_slice(b, p + 1, p + 50) as w from d, unnest(range(n - 49)) as t(p)),
+        m as (select w, min(doc_id) as least from w group by w),
+        g as (select w.doc_id, w.p, lag(w.p) over (partition by w.doc_id order by w.p) as before
+              from w join m on m.w = w.w where m.least < w.doc_id),
+        i as (select doc_id, p, sum(case when p <= before + 50 then 0 else 1 end) over (partition by doc_id order by p) as k from g),
+        r as (select doc_id, k, min(p) as low, max(p) + 50 as high from i group by doc_id, k),
+        s as (select *, coalesce(lag(high) over (partition by doc_id order by low), 0) as open from r),
+        x as (select s.doc_id, sum(high - low) as n_removed, count(*) as n_spans,
+                     string_agg(case when low > open then hex(array_slice(b, open + 1, low)) else '' end, '' order by low)
+                         || case when max(high) < any_value(n) then hex(array_slice(any_value(b), max(high) + 1, any_value(n))) else '' end as kept
+              from s join d on d.doc_id = s.doc_id group by s.doc_id)
+        select d.doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+               case when kept is null then sha256(b) else sha256(unhex(kept)) end as kept_sha256
+        from d left join x on x.doc_id = d.doc_id
+    """,
     "op2_licence_scan": licence_oracle(),
     "op1_exact_dedup": r"""
         with t as (
