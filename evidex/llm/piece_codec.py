@@ -34,6 +34,8 @@ from .text import whole
 REMEMBERED, REMEMBERED_CHARS = 250_000, 64
 #: Threads of the tokenizers library in a worker; each keeps memory of its own.
 THREADS = 2
+#: Rows that a worker turns into Python objects at once.
+ROWS_AT_ONCE = 512
 #: New parts that are encoded as one line.
 PARTS_IN_LINE = 64
 
@@ -186,8 +188,8 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(PieceEncoder, model_path)
         for given in batches:
-            for lo in range(0, given.num_rows, 512):
-                part = given.slice(lo, 512)
+            for lo in range(0, given.num_rows, ROWS_AT_ONCE):
+                part = given.slice(lo, ROWS_AT_ONCE)
                 ids, parity = zip(*codec.encode(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array(parity, pa.bool_())],
@@ -206,13 +208,15 @@ def decoded_digest(encoded: DataFrame, model_path: str) -> DataFrame:
         names = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip", "parity"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
         for given in batches:
-            rows = []
-            for doc_id, text, ids, parity in zip(*(given.column(i).to_pylist() for i in range(4))):
-                back = codec.decode(np.frombuffer(ids, "<u4"))
-                # The marker itself is the one character that comes back as another: a space.
-                same = back == text.replace(SPACE, " ")
-                rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), same, parity))
-            if rows:
+            for lo in range(0, given.num_rows, ROWS_AT_ONCE):
+                rows = []
+                part = given.slice(lo, ROWS_AT_ONCE)
+                for doc_id, text, ids, parity in zip(*(part.column(i).to_pylist() for i in range(4))):
+                    back = codec.decode(np.frombuffer(ids, "<u4"))
+                    # The marker itself is the one character that comes back as another: a space.
+                    same = back == text.replace(SPACE, " ")
+                    digest = hashlib.sha256(back.encode()).hexdigest()
+                    rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), digest, same, parity))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return encoded.mapInArrow(
