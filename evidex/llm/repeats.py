@@ -397,13 +397,17 @@ def _removed(length: int, whole_characters: bool):
     return run
 
 
-def _crowded(segments: DataFrame, length: int) -> DataFrame:
-    """Marks as of _marked, with every window of a segment dealt out for itself."""
+def _crowded(segments: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """Marks as of _marked, with every window of a segment dealt out for itself.
+
+    The smallest documents are written first, so that both sides of the join
+    come from a shuffle and a hot window can be split.
+    """
     windows = segments.select(
         "gram", "sid", "d", "segment",
         F.explode(F.sequence(F.lit(0), F.octet_length("segment") - length)).alias("nth"),
     ).select("gram", "sid", "d", "nth", F.substring(F.col("segment"), F.col("nth") + 1, F.lit(length)).alias("window"))
-    least = windows.groupBy("window").agg(F.min("d").alias("least"))
+    least = scratch.write(windows.groupBy("window").agg(F.min("d").alias("least")), "least", compression="zstd")
     return (
         windows.join(least, "window")
         .groupBy("gram", "sid", "d")
@@ -464,7 +468,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
         .repartition("gram")
         .sortWithinPartitions("gram")
         .mapInArrow(_marked(length), "gram long, sid long, d long, mask long")
-        .unionByName(_crowded(distinct.join(crowded, "gram", "left_semi"), length))
+        .unionByName(_crowded(distinct.join(crowded, "gram", "left_semi"), length, scratch))
         .withColumnRenamed("d", "least")
     )
     marked = scratch.write(marked, "marked")
