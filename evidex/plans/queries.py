@@ -672,7 +672,7 @@ def ui_facets(spark, d):
 def hybrid_search(spark, d):
     vectors = table(spark, d, "embeddings")
     first = vectors.orderBy("vec_id").select("embedding").first()
-    rows = table(spark, d, "documents").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    rows = table(spark, d, "documents").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
     hits = search.hybrid_search(rows, "doc_id", ["text"], "embedding", "license", [float(x) for x in first[0]] if first else None, floor=0.30)
     return hits.withColumn("similarity", F.round("similarity", 6))
 

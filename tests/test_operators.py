@@ -278,3 +278,13 @@ def test_two_batches_are_one(spark, tmp_path):
         run_available(spark, str(source), str(tmp_path / "out"), config, ntz("2024-01-01"), 1)
     got = {r.seq for r in spark.read.parquet(str(tmp_path / "out" / "accepted")).collect()}
     assert got == {i for i, reason in enumerate(R.greedy(rows, [], START, ())) if reason is None}
+
+
+def test_hybrid_search_query_keeps_documents_without_a_vector(spark):
+    from evidex.plans import queries
+
+    sf = "/root/testdata/sf0.01"
+    holding = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").where("contains(lower(text), 'license')").collect()}
+    vectors = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = queries.QUERIES["hybrid_search"](spark, sf).collect()
+    assert holding - vectors and {r.doc_id for r in got if r.lexical} == holding
