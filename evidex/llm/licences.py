@@ -7,6 +7,13 @@ t, sets of a and b bigrams can only reach it if a t / (2 - t) <= b and
 b t / (2 - t) <= a; units that no template fits by size are dropped first. All
 of it happens inside the row: no shuffle, and the templates are literals.
 
+Notices wrapped over lines, or inside longer lines, are found by windows of
+words. A window that reaches t shares at least t / (2 - t) of the template's
+bigrams, so documents without a word of each such part are passed over. In the
+others windows start and end at bigrams of the template and are at most
+(2 - t) / t times as long as it; of overlapping ones the best is given, and none
+that touches a line that matches, or lies in a text that matches as a whole.
+
 Defined cases: null and empty texts and units of fewer than two words match
 nothing; of equally good templates the first by name is given; a line that
 occurs several times is found at each place; rows that repeat a doc_id are
@@ -16,7 +23,10 @@ an empty result.
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +34,8 @@ from pyspark.sql import functions as F
 from .text import whole
 
 THRESHOLD = 0.8
+#: Words that tell little; a document is not looked at for one of them if others do.
+COMMON = set("a above all and any at be by can copy for in into is it may not of on or that the this to under was with you".split())
 
 #: Public licence texts and the notices that stand for them.
 TEMPLATES = {
@@ -51,11 +63,23 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     return out
 
 
+def _split(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ", -1)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(_split(text), lambda w: w != "")
+
+
+def _pairs(words: Column) -> Column:
+    """Hashes of the bigrams of at least two words, in order."""
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
+
+
 def _bigrams(text: Column) -> Column:
     """Distinct hashes of the bigrams of a text; null for fewer than two words."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), " ", -1)
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.xxhash64(a, b))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs))
+    words = _split(text)
+    return F.when(F.size(words) > 1, F.array_distinct(_pairs(words)))
 
 
 def _once(value: Column) -> Column:
@@ -64,7 +88,7 @@ def _once(value: Column) -> Column:
 
 
 def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, unit, licence, dice) for each unit that matches; unit is the line from 0 on, -1 the whole text."""
+    """(doc_id, unit, licence, dice) for each unit that matches; unit is the line from 0 on (for a window, in which it begins), -1 the whole text."""
     known = template_bigrams(templates)
     reach = threshold / (2 - threshold)
     sizes = [len(b) for b in known.values()]
@@ -92,11 +116,73 @@ def licence_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresho
         dice = 2 * F.size(F.array_intersect("shared", hashes[name])) / (F.col("n") + len(bigrams))
         scores.append(F.when(fits, F.struct((-dice).alias("loss"), F.lit(name).alias("licence"))))
     best = F.array_min(F.array_compact(F.array(*scores)))
-    return (
+    matched = (
         units.select("doc_id", "unit", _once(best).alias("best"))
         .where(-F.col("best.loss") >= threshold)
         .select("doc_id", "unit", "best.licence", (-F.col("best.loss")).alias("dice"))
     )
+    return matched.union(licence_windows(docs, templates, threshold))
+
+
+def _cover(bigrams: list[str], least: int, used: tuple[str, ...] = ()) -> list[str]:
+    """Words, none of ``used``, of which any ``least`` of the bigrams hold one; few, and no common ones if it can be done."""
+    left, out = [set(b.split(" ")) for b in bigrams], []
+    while len(left) >= least and (words := sorted({w for b in left for w in b} - {*used})):
+        out.append(max(words, key=lambda w: (w not in COMMON and not w.isdigit(), sum(w in b for b in left))))
+        left = [b for b in left if out[-1] not in b]
+    return out if len(left) < least else []
+
+
+def _may_hold(text: Column, bigrams: list[str], least: int) -> Column:
+    """Whether a lower-cased text has a word of each of up to three disjoint covers."""
+    out, used = F.lit(True), ()
+    for number in range(3):
+        words = _cover(bigrams, least, used)
+        if not words or number and any(w in COMMON or w.isdigit() for w in words):
+            break
+        out, used = out & reduce(or_, (F.contains(text, F.lit(w)) for w in words)), (*used, *words)
+    return out
+
+
+def licence_windows(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, unit, licence, dice) for windows of words outside lines and texts that match; unit is the line where one begins."""
+    known = template_bigrams(templates)
+    reach = threshold / (2 - threshold)
+    least = {name: math.ceil(len(b) * reach - 1e-9) for name, b in known.items()}
+    some = docs.select("doc_id", whole(F.col("text")).alias("text")).select("doc_id", "text", _once(F.lower("text")).alias("lowered"))
+    some = some.where(reduce(or_, (_may_hold(F.col("lowered"), b, least[name]) for name, b in known.items()))).drop("lowered")
+    hashed = {name: F.array(*(F.xxhash64(*map(F.lit, b.split(" "))) for b in bigrams)) for name, bigrams in known.items()}
+    some = some.select("doc_id", _once(F.transform(F.split("text", "\n", -1), _words)).alias("lines"))
+    owners = F.flatten(F.transform("lines", lambda words, k: F.array_repeat(k, F.size(words))))
+    some = some.select("doc_id", "lines", _once(F.flatten("lines")).alias("words"), owners.alias("owners"))
+    some = some.where(F.size("words") > 1).select("doc_id", "lines", "owners", _once(_pairs(F.col("words"))).alias("pairs"))
+    kinds = F.array(*(F.struct(F.lit(n).alias("licence"), F.lit(least[n]).alias("least"), F.lit(len(re.findall("[a-z0-9]+", templates[n].lower())) - 1).alias("length"), hashed[n].alias("template")) for n in known))
+    some = some.select("*", _once(F.filter(kinds, lambda k: F.size(F.array_intersect("pairs", k["template"])) >= k["least"])).alias("kinds"))
+    some = some.where(F.size("kinds") > 0)
+    n = F.size("pairs")
+    dice = lambda pairs, t: 2 * F.size(F.array_intersect(pairs, t)) / (F.size(F.array_distinct(pairs)) + F.size(t))
+
+    def windows(k: Column) -> Column:
+        span = F.floor(k["length"] / reach + 1e-9).cast("int")
+        here = lambda i: F.array_contains(k["template"], F.get("pairs", i))
+        enough = lambda i: F.size(F.array_intersect(F.slice("pairs", i + 1, span), k["template"])) >= k["least"]
+        starts = F.filter(F.filter(F.sequence(F.lit(0), n - 1), here), enough)
+        ends = lambda i: F.filter(F.sequence(i, F.least(i + span, n) - 1), lambda j: (j - i + 1 >= k["least"]) & here(j))
+        scored = lambda i, j: F.struct((-dice(F.slice("pairs", i + 1, j - i + 1), k["template"])).alias("loss"), k["licence"].alias("licence"), i.alias("first"), j.alias("last"))
+        return F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda j: scored(i, j))))
+
+    found = F.filter(F.flatten(F.transform("kinds", windows)), lambda w: -w["loss"] >= threshold)
+    some = some.select("doc_id", "lines", "owners", "pairs", "kinds", _once(F.array_sort(found)).alias("found")).where(F.size("found") > 0)
+    fits = lambda pairs: F.exists("kinds", lambda k: dice(pairs, k["template"]) >= threshold)
+    lines = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (F.size(F.get("lines", i)) > 1) & fits(_pairs(F.get("lines", i))))
+    some = some.select("doc_id", "owners", "found", _once(lines).alias("matched"), fits(F.col("pairs")).alias("all")).where("not all")
+    line = lambda i: F.get("owners", i)
+    free = F.filter("found", lambda w: ~F.exists("matched", lambda m: (m >= line(w["first"])) & (m <= line(w["last"] + 1))))
+    some = some.select("doc_id", "owners", _once(free).alias("free")).where(F.size("free") > 0)
+    beside = lambda kept, w: F.forall(kept, lambda x: (x["last"] + 1 < w["first"]) | (w["last"] + 1 < x["first"]))
+    best = F.aggregate("free", F.slice("free", 1, 0), lambda kept, w: F.when(beside(kept, w), F.concat(kept, F.array(w))).otherwise(kept))
+    some = some.select("doc_id", "owners", F.explode(best).alias("w"))
+    return some.select("doc_id", F.get("owners", F.col("w.first")).cast("long").alias("unit"), "w.licence", (-F.col("w.loss")).alias("dice"))
 
 
 def oracle() -> str:

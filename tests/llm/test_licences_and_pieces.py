@@ -77,3 +77,28 @@ def test_unigram_model_is_rebuilt():
     full = piece_codec.rebuilt(PieceModel.parse(data))
     for text in ("ab", "abba  ab", " a ", "aé b", "bab ab"):
         assert full.encode(text, add_special_tokens=False).ids == library.encode(text), text
+
+
+def test_notices_inside_long_texts_are_found(docs_of):
+    import textwrap
+
+    def wrapped(name, width):
+        return "\n".join(textwrap.wrap(licences.TEMPLATES[name], width))
+
+    prose = "\n".join(f"some other words of line {i} that say nothing at all" for i in range(200))
+    within = " ".join(f"filler{i}" for i in range(300))
+    names = ["MIT-text", "ISC", "GPL-3.0-header", "MPL-2.0"]
+    rows = [(i, f"{prose}\n{wrapped(name, 60)}\n{prose}") for i, name in enumerate(names)]
+    rows += [(10, f"{within} Released under the MIT License. {within}"), (11, f"{within}\n{wrapped('ISC', 50)}\nx y\n{within}\n{wrapped('ISC', 70)}")]
+    rows += [(12, f"{prose}\nLicensed under the Apache License, Version 2.0.\n{prose}"), (13, prose), (None, f"{prose}\n{wrapped('MPL-2.0', 40)}\n{prose}")]
+    got = sorted(((r.doc_id, r.unit, r.licence) for r in licences.licence_scan(docs_of(rows)).where("dice > 0.95").collect()), key=str)
+    isc = 1 + len(wrapped("ISC", 50).split("\n")) + 2
+    want = [(i, 200, name) for i, name in enumerate(names)] + [(10, 0, "MIT"), (11, 1, "ISC"), (11, isc, "ISC"), (12, 200, "Apache-2.0"), (None, 200, "MPL-2.0")]
+    assert got == sorted(want, key=str)
+
+
+def test_words_that_any_window_holds():
+    for name, bigrams in licences.template_bigrams(licences.TEMPLATES).items():
+        least = -(-2 * len(bigrams) // 3)
+        words = licences._cover(bigrams, least)
+        assert sum(not set(words) & set(b.split(" ")) for b in bigrams) < least, name
