@@ -15,8 +15,10 @@ document. Only the last window of a task may be much shorter; it is padded to
 a power of two.
 
 Defined cases: a null or empty text is its end id alone; rows that repeat a
-doc_id are packed each for itself, side by side; a null doc_id comes first; an
-empty table gives an empty result; further columns are ignored.
+doc_id, or have none, are packed each for itself, side by side, in order of
+their text's hash, and may be dealt over several tasks; a null doc_id comes
+first; a text of more than a window is cut; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,16 +43,21 @@ END_ID = 2
 SENTENCE_PENALTY, FORCED_PENALTY = 8, 256
 #: Tokens in a block of the dynamic program.
 BLOCK_TOKENS = 1 << 19
-#: Words whose ids are remembered by a worker.
-REMEMBERED_WORDS = 900_000
+#: Words whose ids are remembered by a worker, and the longest that is.
+REMEMBERED_WORDS, REMEMBERED_CHARS = 500_000, 64
 #: New words that are encoded as one line.
 WORDS_IN_LINE = 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Punctuation that a space in front may part from a letter, digit or space, but never from other punctuation.
+#: The white space that parts words here. Nothing composes with it and no token crosses it; all else is left to the library.
+_BREAKS = "\n\t\r\f\v"
+#: Letters that normalising maps to one letter each and joins to nothing in front of a letter or a break.
+_PLAIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN_WORD = re.compile(f"[{_PLAIN}]+")
+#: Punctuation right behind a plain letter or a digit opens a token of its own, with or without a space between.
 _PARTED = ".,;:!?"
-_SPLIT_OFF = re.compile(r"(?<=[^\W_])(?=[.,;:!?])")
-_DOUBLE = re.compile(r"(?:[^\w\s]|_)[.,;:!?]")
+_SPLIT_OFF = re.compile(f"(?<=[{_PLAIN}0-9])(?=[{_PARTED}])")
+_BEHIND_OTHERS = re.compile(f"[^{_PLAIN}0-9 {_BREAKS}][{_PARTED}]")
 
 
 def _latin(text: str) -> bool:
@@ -63,15 +70,15 @@ def _latin(text: str) -> bool:
 
 
 class WordEncoder:
-    """Token ids of whole texts through ids remembered by white-space separated word.
+    """Token ids of whole texts through ids remembered by word, for tokenizers that drop white space.
 
-    Valid for tokenizers that drop white space and never join words over it.
-    A space between a letter or digit and the punctuation that follows it
-    changes no token, and lets more words repeat.
+    Texts are cut at ASCII white space alone, which the tokenizer's normaliser
+    and pre-tokenizer never join anything over; each word is encoded by the
+    library as it stands. Words of plain letters are encoded many in a line,
+    where each closes with its one end-of-word token.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,43 +94,50 @@ class WordEncoder:
     def split(self, text: str) -> list[str]:
         if self.lower and "<|" not in text and _latin(text):
             text = text.lower()
-        if _DOUBLE.search(text):
+        if _BEHIND_OTHERS.search(text):
             text = _SPLIT_OFF.sub(" ", text)
         else:
             for char in _PARTED:
                 if char in text:
                     text = text.replace(char, " " + char)
-        for char in "\n\t\r\f\v":
+        for char in _BREAKS:
             text = text.replace(char, " ")
         return text.split(" ")
 
     def _learn(self, new: list[str]) -> None:
-        """Encode words; those of letters alone go in lines, as one end-of-word token closes each."""
-        letters = [w for w in new if w.isalpha() and "\u0130" not in w]  # lower case of that one is not all letters
-        for at in range(0, len(letters), 1 << 16):
-            some = letters[at : at + (1 << 16)]
+        plain, rest = [], []
+        for word in new:
+            (plain if _PLAIN_WORD.fullmatch(word) else rest).append(word)
+        for at in range(0, len(plain), 1 << 16):
+            some = plain[at : at + (1 << 16)]
             lines = [some[k : k + WORDS_IN_LINE] for k in range(0, len(some), WORDS_IN_LINE)]
             found = self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)
             for line, encoding in zip(lines, found):
                 ids = np.array(encoding.ids, "<u4")
                 ends, data, low = (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist(), ids.tobytes(), 0
-                if len(ends) != len(line):
-                    raise ValueError("a word does not end in one end-of-word token")
+                if len(ends) != len(line):  # a tokenizer of another kind
+                    rest.extend(line)
+                    continue
                 for word, high in zip(line, ends):
                     self.words[word] = data[low:high]
                     low = high
-        rest = list(set(new) - self.words.keys())
         for word, encoding in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.words[word] = np.array(encoding.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # read at each call; others set it for theirs
         split = [self.split(t) for t in texts]
         if len(self.words) > REMEMBERED_WORDS:
             self.words = {"": b""}
-        self._learn(list(set().union(*split) - self.words.keys()))
+        new = list(set().union(*split) - self.words.keys())
+        self._learn(new)
         known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        ids = [b"".join(map(known, words)) for words in split]
+        for word in new:
+            if len(word) > REMEMBERED_CHARS:
+                del self.words[word]
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -239,5 +253,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             yield batch(pieces)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(packed, PIECES)
+    # Rows of one doc_id part by their text, copies of one row by place, so no id holds a range alone.
+    order = ["doc_id", "h", "place"]
+    rows = rows.withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select("doc_id", "text").mapInArrow(packed, PIECES)
