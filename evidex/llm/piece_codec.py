@@ -5,13 +5,17 @@ and byte fallback are rebuilt as a tokenizers pipeline: merges in score order
 for BPE models, scored pieces for unigram ones. Batches are encoded by the
 library's threads. Where no piece crosses a space marker, a text is its parts
 one after the other, so each distinct part is encoded once for many
-occurrences; its parity with the sentencepiece library is verified then, and
-reported with every text that holds it.
+occurrences; its parity with the sentencepiece library is verified then. Merges
+of one piece have ranks of their own here and one score there, so parts such as
+runs of a marker can differ: they get the library's ids, and texts that hold
+them have ``parity`` false. One text of each slice, and each that holds such a
+part, is verified whole besides.
 
 Defined cases: null and empty texts have no ids; names of control pieces in a
 text are ordinary text; a null or repeated doc_id is passed through, one
-result per row; an empty table gives an empty result; further columns are
-ignored.
+result per row; a very long text is one row, and parts of over
+``REMEMBERED_CHARS`` are not remembered; an empty table gives an empty result;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -85,19 +89,39 @@ def in_lines(tokenizer):
 
 
 class PieceDecoder:
-    """Text of ids, by the bytes of each piece."""
+    """Text of ids by the rebuilt decoder; what follows a marked piece up to the next one is decoded once and remembered."""
 
     def __init__(self, path: str):
         self.model = PieceModel.load(path)
-        self.bytes_of = [
-            bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode()
-            for p, k in zip(self.model.pieces, self.model.kinds)
-        ]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """A marker before the text goes, bytes that are no UTF-8 are replaced."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+        self.tokenizer = rebuilt(self.model)
+        self.opens = np.array([p[0] == SPACE for p in self.model.pieces])
+        self.known: dict[bytes, str] = {}
+
+    def _learn(self, runs: list[bytes]) -> None:
+        """Decode runs behind a piece that keeps its place: the decoder treats only the front of a whole text otherwise."""
+        guard = [i for i, p in enumerate(self.model.pieces) if p == "x" or p == SPACE + "x"][:1] or [self.model.pieces.index(SPACE)]
+        front = len(self.tokenizer.decode(guard, skip_special_tokens=False))
+        given = [guard + np.frombuffer(run, "<u4").tolist() for run in runs]
+        for run, text in zip(runs, self.tokenizer.decode_batch(given, skip_special_tokens=False)):
+            self.known[run] = text[front:]
+
+    def decode(self, texts: list[bytes]) -> list[str]:
+        """Texts of little-endian 32-bit ids; a marker before the text goes, bytes that are no UTF-8 are replaced."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        cut = []
+        for data in texts:
+            at = (4 * np.flatnonzero(self.opens[np.frombuffer(data, "<u4")])).tolist()
+            bounds = [*([0] if not at or at[0] else []), *at, len(data)]
+            cut.append([data[i:j] for i, j in zip(bounds, bounds[1:])])
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*cut) - self.known.keys())
+        self._learn(new)
+        found = ["".join(map(self.known.__getitem__, runs)) for runs in cut]
+        for run in new:
+            if len(run) > 4 * REMEMBERED_CHARS:
+                del self.known[run]
+        return [t[1:] if self.model.dummy_prefix and t[:1] == " " else t for t in found]
 
 
 class PieceEncoder:
@@ -149,18 +173,22 @@ class PieceEncoder:
                 theirs = [self.library.piece_to_id(SPACE)]
             elif part[0] != SPACE:
                 theirs = theirs[1:]
-            if self.known[part] != np.array(theirs, "<u4").tobytes():
+            exact = np.array(theirs, "<u4").tobytes()
+            if self.known[part] != exact:
                 self.differing.add(part)
+                self.known[part] = exact
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """(little-endian 32-bit ids, parity) of each text."""
+        """(little-endian 32-bit ids, parity) of each text: parity says that the rebuilt tokenizer needed no correction."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"  # read at each call; others set it for theirs
         if not self.by_part:
             ours = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             pairs = zip((e.ids for e in ours), self.library.encode(texts))
-            return [(np.array(a, "<u4").tobytes(), a == b) for a, b in pairs]
+            return [(np.array(b, "<u4").tobytes(), a == b) for a, b in pairs]
         split = [_PARTS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+            self.differing.clear()
         new = list(set().union(*split) - self.known.keys())
         for lo in range(0, len(new), 5_000):
             self._learn(new[lo : lo + 5_000])
@@ -169,6 +197,12 @@ class PieceEncoder:
         for part in new:
             if len(part) > REMEMBERED_CHARS:
                 del self.known[part]
+                self.differing.discard(part)
+        verified = [i for i, same in enumerate(parity) if not same or i == 0]
+        for i, theirs in zip(verified, self.library.encode([texts[i] for i in verified])):
+            exact = np.array(theirs, "<u4").tobytes()
+            if ids[i] != exact:
+                ids[i], parity[i] = exact, False
         return list(zip(ids, parity))
 
 
@@ -211,8 +245,8 @@ def decoded_digest(encoded: DataFrame, model_path: str) -> DataFrame:
             for lo in range(0, given.num_rows, ROWS_AT_ONCE):
                 rows = []
                 part = given.slice(lo, ROWS_AT_ONCE)
-                for doc_id, text, ids, parity in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    back = codec.decode(np.frombuffer(ids, "<u4"))
+                doc_ids, texts, encoded_ids, parities = (part.column(i).to_pylist() for i in range(4))
+                for doc_id, text, ids, parity, back in zip(doc_ids, texts, encoded_ids, parities, codec.decode(encoded_ids)):
                     # The marker itself is the one character that comes back as another: a space.
                     same = back == text.replace(SPACE, " ")
                     digest = hashlib.sha256(back.encode()).hexdigest()
