@@ -16,8 +16,9 @@ and small stars over tables in the shared folder.
 Defined cases: a null or empty text has the fingerprint zero and is linked
 like any other; rows of one fingerprint are one node, however many there are;
 a null doc_id is passed through and never is the smallest unless all are null;
-rows that repeat a doc_id are returned as often; an empty table gives an empty
-result; further columns are ignored.
+rows that repeat a doc_id are returned as often; a very long text is hashed by
+itself, its words and hashes being what a worker holds; an empty table gives an
+empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ from .text import WHITE_SPACE, whole
 
 SHINGLE = 4
 RADIUS = 4
-PREFIX_BITS = 16
+#: Bits of a prefix at least and at most, and fingerprints, as a power of two, that share one on average beyond.
+PREFIX_BITS, MOST_PREFIX_BITS, PREFIX_SHARE = 16, 28, 4
 SEED = 42
 #: Shingles whose bits are unpacked at once, and variants that are held at once.
 SHINGLES_AT_ONCE, VARIANTS_AT_ONCE = 1 << 16, 1 << 21
@@ -84,11 +86,17 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _fingerprinted(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            groups = [shingle_hashes(t.as_buffer().to_pybytes(), size) for t in given.column(1)]
-            counts = np.array([len(g) for g in groups], np.int64)
-            flat = np.fromiter((h for g in groups for h in g), np.uint64, int(counts.sum()))
-            prints = fingerprints(flat, counts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([given.column(0), pa.array(prints)], ["doc_id", "fingerprint"])
+            ids, texts, done = given.column(0), given.column(1), 0
+            while done < given.num_rows:  # as many texts as shingles may be held, and one long text by itself
+                groups, counts, held, first = [], [], 0, done
+                while done < given.num_rows and (not held or held < SHINGLES_AT_ONCE):
+                    hashes = shingle_hashes(texts[done].as_buffer().to_pybytes(), size)
+                    groups.append(np.array(hashes, np.uint64))
+                    counts.append(len(hashes))
+                    held, done = held + len(hashes), done + 1
+                prints = fingerprints(np.concatenate(groups), np.array(counts, np.int64)).view(np.int64)
+                part = ids.slice(first, done - first)
+                yield pa.RecordBatch.from_arrays([part, pa.array(prints)], ["doc_id", "fingerprint"])
 
     return run
 
@@ -174,6 +182,11 @@ def _met(prefix: np.ndarray, prints: np.ndarray, half: int, k: int) -> tuple[np.
     return distinct[root[linked]], distinct[linked]
 
 
+def prefix_bits_for(fingerprints: int) -> int:
+    """More bits for more fingerprints, so that what one prefix gathers stays about the same up to 2**32 of them."""
+    return min(MOST_PREFIX_BITS, max(PREFIX_BITS, int(fingerprints).bit_length() - PREFIX_SHARE))
+
+
 def near_links(prints: DataFrame, radius: int = RADIUS, prefix_bits: int = PREFIX_BITS) -> DataFrame:
     """(a, b): links that join just what all pairs within ``radius`` would join.
 
@@ -241,7 +254,7 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> Da
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(simhash(docs, size), "fingerprints")
     nodes = scratch.write(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "nodes")
-    links = near_links(nodes.select("fingerprint"), radius)
+    links = near_links(nodes.select("fingerprint"), radius, prefix_bits_for(nodes.count()))
     roots = components(links, scratch)
     placed = nodes.join(roots, nodes.fingerprint == roots.node, "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")
