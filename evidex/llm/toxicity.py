@@ -4,15 +4,19 @@ Features of a text are the distinct hashes of its words, of its pairs of
 neighbouring words and of its skip-grams (pairs with one word between). Only
 labelled rows whose crc32(doc_id) is not divisible by the number of folds are
 learned from, at most ``max_rows`` of them: those with the least hash of
-doc_id. They stream through one task in hash order, ``epochs`` times, so its
-memory is the model. L1 leaves few weights other than zero; they are
-broadcast, at most 12 bytes for each of 2**BITS coordinates.
+doc_id, whose ids are broadcast, so no other text moves. Texts become
+coordinates where they lie; these stream through one task in hash order,
+``epochs`` times, so its memory is the model and one row. L1 leaves few
+weights other than zero; they are broadcast, at most 12 bytes for each of
+2**BITS coordinates.
 
 Defined cases: a null or empty text has no features and gets the score of the
 bias; a null doc_id is scored, never learned from, and not held out; rows that
-repeat a doc_id are scored each for itself; without a learnable label of both
-kinds every score is the share of label 1 (0 if there are none); an empty
-table gives an empty result; further columns are ignored.
+repeat a doc_id are scored each for itself, and each is learned from; without
+a learnable label of both kinds every score is the share of label 1 (0 if
+there are none); of several labels of a doc_id the largest counts; a very long
+text has at most 2**BITS coordinates; an empty table gives an empty result; a
+column named as the score is replaced, other columns are passed through.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ EPOCHS = 4
 #: Rates and penalties of the learner, and what a row of label 1, the rarer one, weighs.
 ALPHA, BETA, L1, L2, ONES_WEIGHT = 2.0, 1.0, 15.0, 1.0, 1.5
 #: Hashes of words that a worker remembers.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -102,16 +106,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text")).join(known, "doc_id")
-    by_epoch = rows.select(
-        F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"), F.xxhash64("doc_id").alias("h"), "label", "text"
-    )
+    # At most max_rows ids and labels, so the broadcast is bounded.
+    texts = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(known), "doc_id")
+    texts = texts.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("tie"), "label", "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            at = pa.array([features(t.as_py()).astype(np.int32) for t in given.column("text")], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*given.columns[:3], at], ["h", "tie", "label", "at"])
+
+    rows = texts.mapInArrow(hashed, "h long, tie long, label int, at array<int>")
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ftrl(1 << BITS)
         for given in batches:
-            for label, text in zip(given.column(0).to_pylist(), given.column(1)):
-                model.learn(features(text.as_py()), label)
+            for label, at in zip(given.column(0).to_pylist(), given.column(1)):
+                model.learn(at.values.to_numpy(zero_copy_only=False), label)
         if 0 < model.ones < model.rows:
             w = model.weights(slice(0, -1))
             bias = model.bias()
@@ -124,9 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
         )
 
     model = (
-        by_epoch.repartition(1)
-        .sortWithinPartitions("epoch", "h", F.xxhash64("text"))
-        .select("label", "text")
+        rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+        .repartition(1)
+        .sortWithinPartitions("epoch", "h", "tie")
+        .select("label", "at")
         .mapInArrow(learned, "at long, weight double")
         .toPandas()
     )
@@ -138,6 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
 def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS) -> DataFrame:
     """``docs`` with all its columns and ``toxicity_score``; rows stay where they are."""
     at, weights, bias = train(docs, labels, max_rows, epochs)
+    docs = docs.drop("toxicity_score")
     sent = docs.sparkSession.sparkContext.broadcast((at, weights, bias))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
