@@ -3,17 +3,22 @@
 Lines are exploded, normalised and hashed to 128 bits; documents are counted
 per hash after a distinct on (hash, document), so a line of every document
 costs one row for each. Lines over the threshold are dropped by position, but
-for those of the largest doc_id, and the rest is joined again in order.
+for those of the largest doc_id, and the rest is joined again in order: each
+position is marked once in its text's list of lines.
 
 Defined cases: a null or empty text is one empty line; lines are whatever
 stands between \\n, so \\r stays part of a line (its key is stripped); rows
 that repeat a doc_id count as one document, and each keeps its own lines; a
-null doc_id counts as one document, before all others; an empty table gives an
-empty result; further columns are ignored.
+null doc_id counts as one document, before all others; a very long text is one
+row, read once; an empty table gives an empty result; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,40 @@ from .text import WHITE_SPACE, lower_ascii, whole
 
 MIN_CHARS = 20
 MIN_DOCS = 3
+#: Characters of texts that one output batch may hold before it is sent on.
+BATCH_CHARS = 4 << 20
+
+
+def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for given in batches:
+        texts, n_lines, n_dropped, size, first = [], [], [], 0, 0
+        ids = given.column("doc_id")
+
+        def batch() -> pa.RecordBatch:
+            columns = [ids.slice(first, len(texts)), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_dropped", "text"])
+
+        for text, drop in zip(given.column("text"), given.column("drop")):
+            text = text.as_py()
+            if drop.is_valid:
+                lines = text.split("\n")
+                stays = bytearray(b"\x01") * len(lines)
+                for at in drop.as_py():
+                    stays[at] = 0
+                n_lines.append(len(lines))
+                n_dropped.append(len(lines) - sum(stays))
+                text = "\n".join([line for line, stay in zip(lines, stays) if stay])
+            else:
+                n_lines.append(text.count("\n") + 1)
+                n_dropped.append(0)
+            texts.append(text)
+            size += len(text)
+            if size > BATCH_CHARS:
+                yield batch()
+                first, size = first + len(texts), 0
+                texts, n_lines, n_dropped = [], [], []
+        if texts:
+            yield batch()
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -52,14 +91,6 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         .groupBy("row")
         .agg(F.collect_set("pos").alias("drop"))
     )
-    stays = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.coalesce(F.array_contains("drop", i), F.lit(False)))
-    return (
-        rows.withColumn("row", F.struct("doc_id", "h"))
-        .join(dropped, "row", "left")
-        .select(
-            "doc_id",
-            F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
-            F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
-            F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("text"),
-        )
-    )
+    rows = rows.withColumn("row", F.struct("doc_id", "h")).join(dropped, "row", "left").select("doc_id", "text", "drop")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_reassembled, f"doc_id {kind}, n_lines long, n_dropped long, text string")
