@@ -11,37 +11,45 @@ and transitions are compiled when first met, as the whole product is large.
 
 No piece crosses from a character to a following space marker, and characters
 outside the vocabulary become bytes that merge with nothing: before the one
-and after the other the transducer restarts. A chunk of text therefore maps a
-state to (state after, tokens) in a short form: the symbols up to its first
-restart, read from whatever state comes in, then a constant. Such maps are
-associative, and a document is the prefix scan over those of its chunks.
+and after the other the transducer is in its first state again. Counts from
+there to the next such place are remembered by what was read.
+
+Texts of more than ``CHUNK`` code points become rows of chunks, so that many
+tasks share one text. A chunk becomes a map from the states in which it may be
+entered to (state after, tokens). Those states come from reading a little of
+what stands before it, from each place where a token may have begun there;
+readings fall into the same states soon, and past a marker into one. Maps
+compose, and a tree of aggregates composes those of a text. A state for which
+a map has no entry (readings that never met) is read in another round.
 
 Defined cases: a null or empty text has no tokens; names of control pieces
 inside texts are ordinary text; a null or repeated doc_id is passed through,
-one result per row; an empty table gives an empty result.
+one result per row; an empty table gives an empty result; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .piece_model import BPE, BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, PieceModel
+from .scratch import Scratch
 from .text import whole
 
 LIMIT = 4096
-#: Code points in a chunk of a text.
-CHUNK = 1 << 16
-#: Bounds on what a worker remembers: compiled transitions and counted words.
-TRANSITIONS, WORDS = 500_000, 400_000
+#: Code points in a chunk of a text, those before it that are read to find its states, and maps that compose at once.
+CHUNK, BEFORE, AT_ONCE = 1 << 16, 256, 32
+#: Bounds on what a worker remembers: compiled transitions, pairs of pieces, and counted words.
+TRANSITIONS, PAIRS, WORDS = 500_000, 500_000, 400_000
 
 _RESTART = -1  # stands for "nothing that could merge" before a place
+_START = ((0, _RESTART, 0),)
 _NO_PAIR = float("inf")
 
 
@@ -75,12 +83,19 @@ class PieceTransducer:
 
     def reset(self) -> None:
         """Forget what was compiled."""
-        start = ((0, _RESTART, 0),)
-        self.states, self.number = [start], {start: 0}
+        self.states, self.number = [_START], {_START: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
         self.pairs: dict[tuple[str, str], bool] = {}
         self.compiled = 0
 
+    def state(self, content: tuple) -> int:
+        """The number of a state here, where it may be new."""
+        if content not in self.number:
+            self.number[content] = len(self.states)
+            self.states.append(content)
+            self.moves.append({})
+        return self.number[content]
+
     def merged(self, text: str) -> list[str]:
         """BPE of a short text: the best-scored pair joins first, of equals the leftmost."""
         parts, rank = list(text), self.rank
@@ -98,6 +113,8 @@ class PieceTransducer:
             return True
         known = self.pairs.get((left, right))
         if known is None:
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
             known = self.pairs[left, right] = self._no_join_over(left + right, len(left) - 1)
         return known
 
@@ -119,11 +136,17 @@ class PieceTransducer:
 
     def compile(self, state: int, char: str) -> tuple[int, int]:
         """The transition of ``state`` on ``char``: next state and change of the token count."""
+        if self.compiled >= TRANSITIONS:
+            content = self.states[state]
+            self.reset()
+            state = self.state(content)
         if char not in self.chars:
             move = 0, len(char.encode())
         else:
-            longer, last, change = [], None, 0
-            for node, before, tokens in self.states[state]:
+            longer, last, change, content = [], None, 0, self.states[state]
+            if char == SPACE and content[-1][1] != _RESTART and content[-1][1][-1] != SPACE:
+                content = _START
+            for node, before, tokens in content:
                 step = self.trie[node].get(char)
                 if step is None:
                     continue
@@ -133,46 +156,24 @@ class PieceTransducer:
                     longer.append((step[0], before, tokens))
             if last is None:
                 raise ValueError(f"no encoding ends at {char!r}")
-            after = (*((n, b, t - change) for n, b, t in longer), (0, last, 0))
-            if after not in self.number:
-                self.number[after] = len(self.states)
-                self.states.append(after)
-                self.moves.append({})
-            move = self.number[after], change
+            move = self.state((*((n, b, t - change) for n, b, t in longer), (0, last, 0))), change
         self.moves[state][char] = move
         self.compiled += 1
         return move
 
     def run(self, symbols: str, state: int = 0) -> tuple[int, int]:
-        """(state after, tokens) of reading ``symbols`` from ``state``."""
+        """(state after, tokens) of reading ``symbols`` from ``state``; what was compiled may be forgotten meanwhile."""
         total, moves = 0, self.moves
         for char in symbols:
-            move = moves[state].get(char) or self.compile(state, char)
+            move = moves[state].get(char)
+            if move is None:
+                move = self.compile(state, char)
+                moves = self.moves
             state = move[0]
             total += move[1]
         return state, total
 
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """state -> (state after, tokens): read ``head``, then, unless ``tail`` is None, go on from the restart.
-
-    ``tokens`` counts what lies between head and tail; ``tail`` is what follows
-    the last restart, and stands for the state that it leads to.
-    """
-
-    head: str
-    tokens: int = 0
-    tail: str | None = None
-
-    def then(self, other: ChunkMap, count) -> ChunkMap:
-        if self.tail is None:
-            return ChunkMap(self.head + other.head, other.tokens, other.tail)
-        if other.tail is None:
-            return ChunkMap(self.head, self.tokens, self.tail + other.head)
-        return ChunkMap(self.head, self.tokens + count(self.tail + other.head) + other.tokens, other.tail)
-
-
 _PARTS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|^[^{SPACE}\n]+")
 
 
@@ -188,33 +189,39 @@ class TokenCounter:
         if known is None:
             if len(self.words) > WORDS:
                 self.words.clear()
-            if self.transducer.compiled > TRANSITIONS:
-                self.transducer.reset()
             known = self.transducer.run(symbols)[1]
             if len(symbols) < 64:
                 self.words[symbols] = known
         return known
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        parts = _PARTS.findall(chunk)
-        # A part that opens with a marker or a new line starts afresh, but for a marker that may belong
-        # to a run begun before the chunk.
-        cut = 1 if parts and parts[0][0] != "\n" else 0
-        if len(parts) <= cut:
-            return ChunkMap(chunk)
-        words, total = self.words, 0
-        for part in parts[cut:-1]:
-            known = words.get(part)
-            total += self.word(part) if known is None else known
-        return ChunkMap("".join(parts[:cut]), total, parts[-1])
-
     def count(self, text: str) -> int:
+        """Tokens of a whole text."""
         if not text:
             return 0
-        text = SPACE + text.replace(" ", SPACE)
-        maps = [self.chunk_map(text[at : at + CHUNK]) for at in range(0, len(text), CHUNK)]
-        whole_map = reduce(lambda a, b: a.then(b, self.word), maps)
-        return self.word(whole_map.head) + whole_map.tokens + (self.word(whole_map.tail) if whole_map.tail else 0)
+        words, total = self.words, 0
+        for part in _PARTS.findall(SPACE + text.replace(" ", SPACE)):
+            known = words.get(part)
+            total += self.word(part) if known is None else known
+        return total
+
+    def read(self, symbols: str, content: tuple) -> tuple[tuple, int]:
+        """(state after, tokens) of reading on from a state."""
+        parts = _PARTS.findall(symbols)
+        # What opens with a marker may go on with a run of them; what follows the first part starts afresh.
+        first = parts[0] if len(parts) > 1 else symbols
+        state, total = self.transducer.run(first, self.transducer.state(content))
+        if len(parts) > 1:
+            total += sum(map(self.word, parts[1:-1]))
+            state, tokens = self.transducer.run(parts[-1])
+            total += tokens
+        return self.transducer.states[state], total
+
+    def entered(self, before: str) -> list[tuple]:
+        """States in which a chunk may be entered, by what stands before it; one if a marker or a new line does."""
+        parts = _PARTS.findall(before)
+        if len(parts) > 1:
+            return [self.read(parts[-1], _START)[0]]
+        return list(dict.fromkeys(self.read(before[at:], _START)[0] for at in range(min(len(before), self.transducer.longest))))
 
 
 _counters: dict[str, TokenCounter] = {}
@@ -227,7 +234,101 @@ def token_counter(path: str) -> TokenCounter:
     return _counters[path]
 
 
-def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFrame:
+_MAP = "array<struct<entered:string,left:string,tokens:long>>"
+_CHUNK_MAP = f"r long, doc_id long, n_bytes long, pos long, map {_MAP}"
+
+
+def _packed(content: tuple) -> str:
+    return json.dumps(content, ensure_ascii=False)
+
+
+def _unpacked(state: str) -> tuple:
+    return tuple(map(tuple, json.loads(state)))
+
+
+def _mapped(model_path: str):
+    """The map of each chunk; from the states in ``asked``, or else from those in which it may be entered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = token_counter(model_path)
+        kind = pa.list_(pa.struct([("entered", pa.string()), ("left", pa.string()), ("tokens", pa.int64())]))
+        for given in batches:
+            maps = []
+            for pos, before, chunk, asked in zip(*(given.column(c).to_pylist() for c in ("pos", "before", "chunk", "asked"))):
+                before, chunk = before.replace(" ", SPACE), chunk.replace(" ", SPACE)
+                if asked:
+                    states = [_unpacked(asked)]
+                elif pos:
+                    states = counter.entered(before)
+                else:
+                    states, chunk = [_START], SPACE + chunk
+                entries = []
+                for state in states:
+                    left, tokens = counter.read(chunk, state)
+                    entries.append({"entered": _packed(state), "left": _packed(left), "tokens": tokens})
+                maps.append(entries)
+            yield pa.RecordBatch.from_arrays([given.column(c) for c in ("r", "doc_id", "n_bytes", "pos")] + [pa.array(maps, kind)], ["r", "doc_id", "n_bytes", "pos", "map"])
+
+    return run
+
+
+def _then(first: Column, second: Column) -> Column:
+    """The composed map; an entry whose state the second doesn't know leaves nowhere."""
+
+    def entry(e: Column) -> Column:
+        on = F.get(F.filter(second, lambda x: x["entered"] == e["left"]), 0)
+        return F.named_struct(F.lit("entered"), e["entered"], F.lit("left"), on["left"], F.lit("tokens"), e["tokens"] + on["tokens"])
+
+    return F.transform(first, entry)
+
+
+def _composed(maps: DataFrame, scratch: Scratch) -> DataFrame:
+    """One map for each text, by a tree of aggregates over ``AT_ONCE`` neighbours."""
+    longest = maps.agg(F.max("pos")).first()[0] or 0
+    while longest > 0:
+        near = F.array_sort(F.collect_list(F.struct("pos", "map")))
+        groups = maps.groupBy("r", "doc_id", "n_bytes", F.floor(F.col("pos") / AT_ONCE).alias("pos")).agg(near.alias("near"))
+        one = F.aggregate(F.slice("near", 2, AT_ONCE), F.get("near", 0)["map"], lambda m, x: _then(m, x["map"]))
+        maps, longest = groups.select("r", "doc_id", "n_bytes", "pos", one.alias("map")), longest // AT_ONCE
+    return scratch.write(maps.select("r", "doc_id", "n_bytes", F.get("map", 0).alias("whole")), "composed")
+
+
+def _unknown(maps: DataFrame) -> DataFrame:
+    """(r, pos, asked): where the reading of a text, from its start, first meets a state that the next map lacks."""
+    steps = F.array_sort(F.collect_list(F.struct("pos", "map")))
+    start = F.named_struct(F.lit("pos"), F.lit(-1).cast("long"), F.lit("state"), F.lit(_packed(_START)), F.lit("lost"), F.lit(False))
+
+    def step(acc: Column, x: Column) -> Column:
+        on = F.get(F.filter(x["map"], lambda e: e["entered"] == acc["state"]), 0)
+        go = F.named_struct(F.lit("pos"), x["pos"], F.lit("state"), F.coalesce(on["left"], acc["state"]), F.lit("lost"), on.isNull())
+        return F.when(acc["lost"], acc).otherwise(go)
+
+    found = maps.groupBy("r").agg(steps.alias("steps")).select("r", F.aggregate("steps", start, step).alias("at"))
+    return found.where("at.lost").select("r", "at.pos", F.col("at.state").alias("asked"))
+
+
+def long_counts(rows: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of texts whose chunks many tasks share."""
+    scratch = Scratch(rows.sparkSession, "token-counts")
+    cuts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    with_before = lambda c, i: F.named_struct(F.lit("pos"), i.cast("long"), F.lit("before"), F.when(i > 0, F.right(F.get("cuts", i - 1), F.lit(BEFORE))).otherwise(""), F.lit("chunk"), c)
+    chunks = rows.select(F.monotonically_increasing_id().alias("r"), "doc_id", "n_bytes", F.explode(F.array(cuts)).alias("cuts"))
+    chunks = chunks.select("r", "doc_id", "n_bytes", F.explode(F.transform("cuts", with_before)).alias("c")).select("r", "doc_id", "n_bytes", "c.*")
+    chunks = scratch.write(chunks.repartition("r", "pos"), "chunks")
+    asked = F.lit(None).cast("string").alias("asked")
+    maps = scratch.write(chunks.select("*", asked).mapInArrow(_mapped(model_path), _CHUNK_MAP), "maps")
+    while True:
+        composed = _composed(maps, scratch)
+        lost = composed.where("whole.left is null")
+        if lost.isEmpty():
+            return composed.select("doc_id", "n_bytes", F.col("whole.tokens").alias("n_tokens"))
+        again = _unknown(maps.join(lost.select("r"), "r", "left_semi"))
+        found = chunks.join(again, ["r", "pos"]).mapInArrow(_mapped(model_path), _CHUNK_MAP)
+        more = maps.unionByName(found).groupBy("r", "doc_id", "n_bytes", "pos").agg(F.flatten(F.collect_list("map")).alias("map"))
+        maps = scratch.write(more, "maps")
+
+
+def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of ``docs``."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +341,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
 
     text = whole(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long").withColumn(
-        "over_limit", F.col("n_tokens") > limit
-    )
+    # Bytes tell most texts apart without counting their code points.
+    is_long = (F.col("n_bytes") > chunk) & (F.char_length("text") > chunk)
+    counts = rows.where(~is_long).mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long")
+    counts = counts.unionByName(long_counts(rows.where(is_long), model_path, chunk))
+    return counts.withColumn("over_limit", F.col("n_tokens") > limit)

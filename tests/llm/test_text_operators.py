@@ -94,6 +94,27 @@ def test_media_query(docs_of, awkward):
         assert seen.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
 
 
+def test_media_hash_is_a_plain_cosine_transform():
+    """Block means, the sums of the cosine transform written out, and signs against the median."""
+    rnd = np.random.default_rng(6)
+    for height in (1, 5, 40):
+        picture = rnd.integers(0, 256, (height, media.WIDTH), np.uint8)
+        span = lambda k, n: range(k * n // 32, max(k * n // 32 + 1, (k + 1) * n // 32))
+        mean = [[np.mean([int(picture[y, x]) for y in span(v, height) for x in span(u, media.WIDTH)]) for u in range(32)] for v in range(32)]
+        wave = lambda k, n: np.cos(np.pi * (2 * n + 1) * k / 64)
+        low = [round(sum(mean[v][u] * wave(j, v) * wave(k, u) for v in range(32) for u in range(32)), 6) for j in range(8) for k in range(8)]
+        middle = sorted(low[1:])[31]
+        digits = int("".join("1" if x > middle else "0" for x in low), 2)
+        assert media.cosine_hash(picture) == f"{digits:016x}"
+
+
+def test_line_dedup_of_many_repeated_lines(docs_of):
+    rows = [(i, f"a line of over twenty characters {i % 1}\n" * 40_000 + f"own {i}") for i in range(3)]
+    got = {r.doc_id: r for r in line_dedup(docs_of(rows)).collect()}
+    assert [(got[i].n_lines, got[i].n_dropped, got[i].text) for i in (0, 1)] == [(40_001, 40_000, "own 0"), (40_001, 40_000, "own 1")]
+    assert got[2].n_dropped == 0 and got[2].text == rows[2][1]
+
+
 def test_token_counts(docs_of, awkward):
     import sentencepiece
 
@@ -108,14 +129,32 @@ def test_token_counts(docs_of, awkward):
         assert counter.count(text) == len(library.encode(text)), text
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7])
-def test_chunk_maps_compose(monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, before", [(7, 2), (40, 64)])
+def test_chunks_of_long_texts(docs_of, awkward, monkeypatch, chunk, before):
+    """Maps compose to the counts of whole texts, also where their states have to be read in further rounds."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(token_counts, "BEFORE", before)
+    rnd = random.Random(chunk)
+    rows = [(i, t if t is None else t[: 12 * chunk]) for i, t in awkward]
+    rows += [(90_000 + k, "".join(rnd.choice(" ab\n▁thers\t") for _ in range(12 * chunk))) for k in range(20)]
+    rows += [(95_000, "a" * 10 * chunk), (95_001, " " * 10 * chunk), (95_002, "-=" * 5 * chunk)]
+    got = token_counts.token_counts(docs_of(rows), path, chunk=chunk).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(library.encode(t or ""))) for i, t in rows)
+
+
+def test_transducer_forgets_within_a_word(monkeypatch):
+    import sentencepiece
+
     path = public_tokenizers.path("piece_bpe_32k.model")
-    counter, rnd = token_counts.token_counter(path), random.Random(chunk)
-    texts = ["".join(rnd.choice(" ab\n▁thers") for _ in range(60)) for _ in range(50)]
-    want = [counter.count(t) for t in texts]
-    monkeypatch.setattr(token_counts, "CHUNK", chunk)
-    assert [counter.count(t) for t in texts] == want
+    monkeypatch.setattr(token_counts, "TRANSITIONS", 200)
+    counter = token_counts.TokenCounter(token_counts.PieceModel.load(path))
+    rnd = random.Random(9)
+    text = "".join(rnd.choice("etaoinshrdlu") for _ in range(3000))
+    assert counter.count(text) == len(sentencepiece.SentencePieceProcessor(model_file=path).encode(text))
+    assert counter.transducer.compiled <= 200 and len(counter.transducer.states) <= 201
 
 
 def test_cuts_are_optimal():
@@ -159,6 +198,34 @@ def test_packing(docs_of, awkward, monkeypatch, window, block):
         assert at <= window
 
 
+def test_words_are_encoded_as_the_library_does():
+    """Every assigned code point below the surrogates alone, in a word, before punctuation and before a mark."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder, rnd = Tokenizer.from_file(path), packing.WordEncoder(path), random.Random(3)
+    points = [chr(c) for c in range(0xD800) if unicodedata.category(chr(c)) != "Cn"]
+    points = [c for c in points if ord(c) < 0x3400 or rnd.random() < 0.05]
+    texts = [f"{c} a{c} {c}! a{c}b. {c}a, x{c}\u0301; {c}" for c in points]
+    texts += ["\u0958\u0932\u092e \u0130! a\x1c. \x1f;", "<|endoftext|>. <|ENDOFTEXT|>!", "it's'S. a's!?", "\x85.", "é.e\u0301."]
+    some = [*"  .,;:!?'\n\t\u0301_-<|>", "\u0130", *(chr(c) for c in range(0x20, 0x250))]
+    texts += ["".join(rnd.choice(some) for _ in range(30)) for _ in range(3000)]
+    theirs = library.encode_batch(texts, add_special_tokens=False)
+    for text, ours, their in zip(texts, encoder.encode(texts), theirs):
+        assert ours == np.array(their.ids, "<u4").tobytes(), text
+
+
+def test_copies_of_one_row_are_packed_each(docs_of):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    n = len(Tokenizer.from_file(path).encode("some words of a text", add_special_tokens=False).ids) + 1
+    got = packing.pack(docs_of([(None, "some words of a text")] * 300 + [(4, "some words of a text")] * 300), path, window=64).collect()
+    assert sum(r.length for r in got if r.doc_id is None) == 300 * n == sum(r.length for r in got if r.doc_id == 4)
+
+
 def covered(ids, pieces):
     """The pieces that these ids would have."""
     return [p for p in pieces if p[3] == len(ids) and zlib.crc32(ids[p[0] : p[0] + p[1]].tobytes()) == p[2]]
