@@ -13,16 +13,26 @@ one segment.
    segments are pre-aggregated to their smallest document.
 3. Segments of one anchor that differ are indexed: their windows are sorted,
    the preceding bytes form the Burrows-Wheeler column, and only its runs are
-   kept, each with the document sampled at its end. Matching statistics stream
-   over the segments and mark windows whose run samples hold a smaller document.
-   Anchors with very many different segments are dealt out window by window.
+   kept, each with the smallest document sampled at its end and the place to
+   which it leads one byte to the left. Matching statistics, up to ``LENGTH``,
+   stream over the segments from right to left by these steps, and windows are
+   marked where the samples hold a smaller document.
+   Anchors of very many different segments part into longer ones: a window
+   belongs to the anchor with the bytes on that side of which it has more, and
+   so on until no anchor is crowded or it is the window itself.
 4. Marks go back to the documents, which drop the covered bytes.
 
+Equal segments are told by their bytes; only where marks return to documents
+does a 64-bit hash beside that of the anchor stand for a segment, and a
+128-bit digest for a chunk.
+
 Defined cases: null text is empty; matches never cross documents, and a window
 repeated in one document alone stays; rows that repeat a doc_id are one
-document for matching and are each returned; a null doc_id comes before all
-others; texts shorter than a window stay whole; an empty table gives an empty
-result; further columns are ignored.
+document for matching and are each returned; rows without a doc_id come before
+all others, by the hash of their text, equal ones as one document; texts
+shorter than a window stay whole; a very long text is one row of a block,
+blocks being counted by bytes; an empty table gives an empty result; further
+columns are ignored, but for those named in ``keep``.
 """
 
 from __future__ import annotations
@@ -44,13 +54,12 @@ LENGTH = 50
 GRAM = 24
 #: Segments in a chunk, on average.
 SEGMENTS_IN_CHUNK = 8
-#: The mask of a mark that covers all its windows.
-ALL = -1
-#: Documents that travel together when marks meet texts.
-DOCS_IN_BLOCK = 256
-#: Different segments of one anchor from which on windows are dealt out one by one:
-#: so many, or over so many times what a partition holds of all.
-CROWDED, CROWDED_SHARE = 20_000, 3
+#: The mask of a mark that covers all its windows, and what stands before the first window of a segment.
+ALL, NOTHING = -1, 256
+#: Bytes of documents that travel together when marks meet texts.
+BLOCK_BYTES = 1 << 20
+#: Different segments of one anchor from which on it parts into longer ones.
+CROWDED = 400
 #: Bytes of segments that are indexed at once.
 INDEX_BYTES = 4 << 20
 
@@ -62,16 +71,22 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), ">u8", data, strides=(1,)).astype(np.uint64)
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor hash) of each segment of a text of bytes."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """A hash of the ``gram`` bytes from each position on."""
     words = _words(data)
     n = len(data) - gram + 1
     hashed = words[:n] * _MIX[0]
     for k, at in enumerate([*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])]):
         hashed = (hashed ^ (hashed >> np.uint64(29)) ^ words[at : at + n]) * _MIX[1 + k % 3]
-    hashed ^= hashed >> np.uint64(32)
+    return hashed ^ (hashed >> np.uint64(32))
+
+
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor hash) of each segment of a text of bytes."""
+    if len(data) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    hashed = gram_hashes(data, gram)
+    n = len(hashed)
     # Hash above, place below: the least of a range names its leftmost least gram.
     least = (hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     width, have = length - gram + 1, 1
@@ -295,14 +310,16 @@ class RunIndex:
     """Run-length Burrows-Wheeler column over the windows of segments, with samples at run ends.
 
     Rows are windows in order of their bytes, then of the byte before them,
-    then of their document. Only runs of equal bytes inside equal windows are
-    kept: where the run starts, and the document at that end, its smallest.
+    then of their document. Only runs of equal bytes before equal windows are
+    kept: the byte, the document at that end, which is its smallest, and the
+    group of equal windows that lies one byte to the left of all of the run.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, docs: np.ndarray, length: int):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, opens: np.ndarray, docs: np.ndarray, length: int):
+        """Windows at ``starts`` of ``data``, in text order; ``opens`` marks the first of each segment."""
         padded = np.append(data, np.zeros(8, np.uint8))
         words = _words(padded)
-        before = np.where(starts > 0, padded[np.maximum(starts, 1) - 1], 0)
+        before = np.where(opens, NOTHING, padded[np.maximum(starts, 1) - 1].astype(np.int64))
         keys = [words[starts + k] for k in range(0, length - 7, 8)]
         if length % 8:
             keys.append(words[starts + length - length % 8] >> np.uint64(64 - 8 * (length % 8)))
@@ -311,16 +328,33 @@ class RunIndex:
         for key in keys:
             same &= key[order[1:]] == key[order[:-1]]
         new_window = np.append(True, ~same)
-        new_run = new_window | np.append(True, before[order[1:]] != before[order[:-1]])
-        self.heads = np.flatnonzero(new_run)
-        self.samples = docs[order[self.heads]]
-        self.windows = np.flatnonzero(new_window[self.heads])
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.cumsum(new_window) - 1
-
-    def smallest(self) -> np.ndarray:
-        """Streamed over the windows in text order: the smallest document that holds each."""
-        return np.minimum.reduceat(self.samples, self.windows)[self.place]
+        heads = np.flatnonzero(new_window | np.append(True, before[order[1:]] != before[order[:-1]]))
+        group = np.cumsum(new_window) - 1
+        place = np.empty(len(order), np.int64)
+        place[order] = group
+        ends = order[heads]
+        #: Runs in order, by group and byte before it, and the group to the left of each.
+        self.runs = group[heads] * (NOTHING + 1) + before[ends]
+        self.left = place[np.maximum(ends, 1) - 1]
+        #: The smallest of the documents sampled at the run ends of each group.
+        self.least = np.minimum.reduceat(docs[ends], np.flatnonzero(new_window[heads]))
+        #: Where the last window of each segment lies; the others are reached by steps.
+        self.last = place[np.append(opens[1:], True)]
+
+    def held_before(self, data: np.ndarray, first: np.ndarray, n: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """A mask for each segment: its windows whose statistic reaches the full length in a smaller document.
+
+        All segments are read at once, each from its last window to its first.
+        """
+        at, mask, live = self.last.copy(), np.zeros(len(first), np.int64), np.arange(len(first))
+        for step in range(int(n.max())):
+            live = live[n[live] > step]
+            nth = n[live] - 1 - step
+            mask[live] |= (self.least[at[live]] < docs[live]).astype(np.int64) << nth
+            further = live[nth > 0]
+            byte = data[first[further] + n[further] - 2 - step].astype(np.int64)
+            at[further] = self.left[np.searchsorted(self.runs, at[further] * (NOTHING + 1) + byte)]
+        return mask
 
 
 def _marked(length: int):
@@ -334,14 +368,11 @@ def _marked(length: int):
         several = np.flatnonzero(~(np.append(True, edge) & np.append(edge, True)))
         if several.size:
             segments = [s.as_py() for s in batch.column("segment").take(pa.array(several))]
-            sizes = np.array([len(s) for s in segments])
-            n = sizes - length + 1
-            owner = np.repeat(np.arange(len(n)), n)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            starts = (np.cumsum(sizes) - sizes)[owner] + nth
-            own = docs[several][owner]
-            low = RunIndex(np.frombuffer(b"".join(segments), np.uint8), starts, own, length).smallest() < own
-            np.bitwise_or.at(mask, several[owner[low]], np.int64(1) << nth[low])
+            data, sizes = np.frombuffer(b"".join(segments), np.uint8), np.array([len(s) for s in segments])
+            n, first = sizes - length + 1, np.cumsum(sizes) - sizes
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found = RunIndex(data, np.repeat(first, n) + nth, nth == 0, np.repeat(docs[several], n), length)
+            mask[several] = found.held_before(data, first, n, docs[several])
         return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(sid), pa.array(docs), pa.array(mask)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,6 +395,75 @@ def _marked(length: int):
     return run
 
 
+def _parted(length: int):
+    """The two parts of segments of a crowded anchor, by longer anchors.
+
+    ``left`` and ``right`` are the bytes by which the anchor has grown. Of what
+    a window still has beside it, the larger half is on one side; the anchor
+    grows there by as much, so equal windows part alike.
+    """
+    room = length - GRAM
+    schema = pa.schema([(c, pa.int64()) for c in ("gram", "sid", "d")] + [("shift", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("part_gram", pa.int64()), ("part", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for given in batches:
+            if not given.num_rows:
+                continue
+            segments = given.column("segment").to_pylist()
+            sizes = np.array([len(s) for s in segments])
+            first = np.cumsum(sizes) - sizes
+            hashed = gram_hashes(np.frombuffer(b"".join(segments), np.uint8)) >> np.uint64(32)
+            places = hashed[first[:, None] + np.arange(room + 1)].argmin(axis=1).tolist()
+            columns: list[list] = [[] for _ in schema]
+            ids = zip(*(given.column(c).to_pylist() for c in ("gram", "sid", "d", "left", "right")))
+            for (gram, sid, d, left, right), segment, at in zip(ids, segments, places):
+                grown = -(-(room - left - right) // 2)
+                n = len(segment) - length + 1
+                # Windows from here on have room for it on the right, those before on the left.
+                border = min(max(at - (room - right - grown), 0), n)
+                for low, high, more_left, more_right in ((0, border, grown, 0), (border, n, 0, grown)):
+                    if low < high:
+                        x, y = left + more_left, right + more_right
+                        core = segment[at - x : at + GRAM + y]
+                        row = (gram, sid, d, low, x, y, xxhash.xxh64_intdigest(core, 1 + (more_left > 0)) >> 1, segment[low : high + length - 1])
+                        for column, value in zip(columns, row):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def _marks_of(segments: DataFrame, length: int, scratch: Scratch, left_over: int) -> DataFrame:
+    """(gram, sid, d, mask) of the distinct ``segments``; ``left_over`` is by how much anchors may still grow."""
+    crowded = None
+    if left_over:
+        crowded = scratch.write(segments.groupBy("gram").count().where(F.col("count") > CROWDED).select("gram"), "crowded")
+        crowded = None if crowded.isEmpty() else crowded
+    rest = segments.join(crowded, "gram", "left_anti") if crowded is not None else segments
+    marks = (
+        rest.select("gram", "sid", "d", "segment")
+        .repartition("gram")
+        .sortWithinPartitions("gram")
+        .mapInArrow(_marked(length), "gram long, sid long, d long, mask long")
+    )
+    if crowded is None:
+        return marks
+    parts = segments.join(crowded, "gram", "left_semi").select("gram", "sid", "d", "left", "right", "segment")
+    parts = parts.mapInArrow(_parted(length), "gram long, sid long, d long, shift int, left int, right int, part_gram long, part binary")
+    parts = scratch.write(parts.withColumn("part_sid", F.xxhash64("part")), "parts", compression="zstd")
+    distinct = parts.groupBy(F.col("part_gram").alias("gram"), F.col("part_sid").alias("sid"), "left", "right", F.col("part").alias("segment"))
+    distinct = scratch.write(distinct.agg(F.min("d").alias("d")), "distinct", compression="zstd")
+    # Written first, so that both sides of the join come from a shuffle and a hot part can be split.
+    found = scratch.write(_marks_of(distinct, length, scratch, left_over // 2), "part-marks").select(F.col("gram").alias("part_gram"), F.col("sid").alias("part_sid"), F.col("d").alias("least"), "mask")
+    every = F.expr(f"shiftleft(1L, octet_length(part) - {length - 1}) - 1")
+    mask = F.when(F.col("d") > F.col("least"), every).otherwise(F.col("mask"))
+    whole_masks = parts.join(found, ["part_gram", "part_sid"]).select("gram", "sid", "d", "shift", mask.alias("mask"))
+    whole_masks = whole_masks.groupBy("gram", "sid", "d").agg(F.bit_or(F.expr("shiftleft(mask, shift)")).alias("mask"))
+    return marks.unionByName(whole_masks)
+
+
 def _removed(length: int, whole_characters: bool):
     """Drop the bytes that marked windows cover; ``rest`` is passed through."""
     counts = ["n_bytes", "n_removed", "n_spans"]
@@ -397,24 +497,6 @@ def _removed(length: int, whole_characters: bool):
     return run
 
 
-def _crowded(segments: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """Marks as of _marked, with every window of a segment dealt out for itself.
-
-    The smallest documents are written first, so that both sides of the join
-    come from a shuffle and a hot window can be split.
-    """
-    windows = segments.select(
-        "gram", "sid", "d", "segment",
-        F.explode(F.sequence(F.lit(0), F.octet_length("segment") - length)).alias("nth"),
-    ).select("gram", "sid", "d", "nth", F.substring(F.col("segment"), F.col("nth") + 1, F.lit(length)).alias("window"))
-    least = scratch.write(windows.groupBy("window").agg(F.min("d").alias("least")), "least", compression="zstd")
-    return (
-        windows.join(least, "window")
-        .groupBy("gram", "sid", "d")
-        .agg(F.bit_or(F.when(F.col("least") < F.col("d"), F.expr("shiftleft(1L, nth)")).otherwise(0)).alias("mask"))
-    )
-
-
 def _let_go(spark: SparkSession) -> None:
     """Shuffle files of steps whose results are written go when the driver's references do."""
     spark._jvm.System.gc()
@@ -430,11 +512,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
     scratch = Scratch(spark, "repeats")
     rest = F.struct(F.col("doc_id").cast("long").alias("doc_id"), *keep).alias("rest")
     rows = docs.select(rest, whole(F.col("text")).alias("text"))
-    blocks = max(1, rows.count() // DOCS_IN_BLOCK)
+    blocks = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select(
         "rest",
-        F.coalesce("rest.doc_id", F.lit(-(1 << 63))).alias("d"),
+        F.coalesce("rest.doc_id", F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64("text"), 3)).alias("d"),
         F.xxhash64("text").alias("h"),
         F.encode("text", "UTF-8").alias("text"),
     ).withColumn("block", F.pmod(F.hash("d"), F.lit(blocks)).cast("long"))
@@ -456,22 +538,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...]
 
     sid = F.xxhash64("segment")
     compared = segments.where("segment is not null")
-    distinct = compared.groupBy("gram", "segment").agg(F.min("d").alias("d")).withColumn("sid", sid)
+    distinct = compared.groupBy("gram", "segment").agg(F.min("d").alias("d")).select("*", sid.alias("sid"), F.lit(0).alias("left"), F.lit(0).alias("right"))
     distinct = scratch.write(distinct, "distinct", compression="zstd")
     _let_go(spark)
-    share = distinct.count() * CROWDED_SHARE // int(spark.conf.get("spark.sql.shuffle.partitions"))
-    many = F.col("count") > min(CROWDED, max(CROWDED // 10, share))
-    crowded = scratch.write(distinct.groupBy("gram").count().where(many).select("gram"), "crowded")
-    marked = (
-        distinct.join(crowded, "gram", "left_anti")
-        .select("gram", "sid", "d", "segment")
-        .repartition("gram")
-        .sortWithinPartitions("gram")
-        .mapInArrow(_marked(length), "gram long, sid long, d long, mask long")
-        .unionByName(_crowded(distinct.join(crowded, "gram", "left_semi"), length, scratch))
-        .withColumnRenamed("d", "least")
-    )
-    marked = scratch.write(marked, "marked")
+    marked = scratch.write(_marks_of(distinct, length, scratch, length - GRAM).withColumnRenamed("d", "least"), "marked")
     scratch.drop(distinct)
     _let_go(spark)
 
