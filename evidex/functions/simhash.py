@@ -1,27 +1,54 @@
-"""SimHash of item bodies and Hamming distance, all inside the JVM."""
+"""SimHash of item bodies, a function of the row alone, and Hamming distance."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .text import simhash_tokens
 
 
+#: Token digests that a worker remembers.
+REMEMBERED = 200_000
+
+_digests: dict[str, int] = {}
+
+
+def _digest(token: str) -> int:
+    """The low half of a token's MD5."""
+    known = _digests.get(token)
+    if known is None:
+        if len(_digests) > REMEMBERED:
+            _digests.clear()
+        known = _digests[token] = int.from_bytes(hashlib.md5(token.encode()).digest()[8:], "big")
+    return known
+
+
+@F.pandas_udf(LongType())
+def _majority(tokens: pd.Series) -> pd.Series:
+    out = np.zeros(len(tokens), np.int64)
+    for i, row in enumerate(tokens):
+        if row is not None and len(row):
+            hashes = np.fromiter(map(_digest, row), np.uint64, len(row))
+            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
+            ones = 2 * bits.sum(axis=0, dtype=np.int64) > len(row)
+            out[i] = np.packbits(ones).view(">i8")[0]
+    return pd.Series(out)
+
+
+def simhash_value(text: Column) -> Column:
+    """64-bit SimHash over the low halves of the tokens' MD5: bits that most tokens have; no tokens give 0."""
+    return _majority(simhash_tokens(text))
+
+
 def simhash(items: DataFrame, key: str, text: str, out: str = "simhash") -> DataFrame:
-    """(key, out): 64-bit SimHash over the low halves of the tokens' MD5; no tokens give 0.
-
-    Tokens are counted before they are hashed, so a word costs one row for each text.
-    """
-    tokens = items.select(key, F.explode_outer(simhash_tokens(F.col(text))).alias("token")).groupBy(key, "token").count()
-    digest = F.md5(F.col("token").cast("binary"))
-    half = F.conv(F.substring(digest, 17, 16), 16, -10).cast("long")
-    weighed = tokens.select(key, half.alias("h"), F.when(F.col("token").isNull(), 0).otherwise(F.col("count")).alias("n"))
-    sums = [F.sum(F.col("n") * (2 * F.getbit("h", F.lit(bit)).cast("long") - 1)).alias(f"b{bit}") for bit in range(64)]
-    bits = F.lit(0).cast("long")
-    for bit in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{bit}") > 0, F.lit(1 << bit if bit < 63 else -(1 << 63))).otherwise(0).cast("long"))
-    return weighed.groupBy(key).agg(*sums).select(key, bits.alias(out))
+    """(key, out): the SimHash of each row, without a shuffle."""
+    return items.select(key, simhash_value(F.col(text)).alias(out))
 
 
 def simhash_hex(value: Column) -> Column:

@@ -108,8 +108,9 @@ def parse_time(raw: Column, exact: bool) -> Column:
 
 
 def json_answer(raw: Column) -> Column:
-    """VARIANT of a model's answer: bare, fenced, or the widest object or list in it."""
-    bare = F.regexp_replace(F.trim(raw), r"^```[a-zA-Z]*\s*|\s*```$", "")
+    """VARIANT of a model's answer: bare, inside the first fence, or the widest object or list in it."""
+    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    bare = F.when(raw.rlike(r"(?s)```.*```"), fenced).otherwise(F.trim(raw))
     return F.coalesce(
         F.try_parse_json(bare),
         F.try_parse_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0)),

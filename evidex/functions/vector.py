@@ -14,16 +14,20 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def length(v: Column) -> Column:
+    """Norm of a vector, 1 for one of length 0."""
+    return F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; a vector of length 0 counts as length 1."""
-    length = lambda v: F.when(norm(v) == 0, 1.0).otherwise(norm(v))
     return dot(a, b) / (length(a) * length(b))
 
 
 def quantise(v: Column) -> Column:
-    """Unit vector in steps of 1/127, halves to even."""
-    length = F.when(norm(v) == 0, 1.0).otherwise(norm(v))
-    return F.transform(v, lambda x: F.rint(x.cast("double") / length * 127).cast("int"))
+    """Unit vector in steps of 1/127, halves to even; the length is computed once for a vector."""
+    stepped = lambda n: F.transform(v, lambda x: F.rint(x.cast("double") / n * 127).cast("int"))
+    return F.when(v.isNotNull(), F.get(F.transform(F.array(length(v)), stepped), 0))
 
 
 def to_base64(q: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TRUSTED_TIME, EngineConfig
-from ..functions.simhash import simhash
+from ..functions.simhash import simhash_value
 from ..functions.text import keyword_gate, normalize_plain_title, normalize_title, present
 from ..functions.url import canonical_url, item_id
 from .similarity import hamming_pairs
@@ -32,10 +32,9 @@ def prepare(raw: DataFrame, config: EngineConfig, window_start: Column, entities
     rows = raw.select(
         "*", canonical_url(F.col("url")).alias("url_canonical"), norm.alias("title_norm"), gate.alias("gate")
     ).withColumn("item_id", item_id(F.col("url_canonical")))
-    prints = simhash(rows.select("seq", F.concat_ws(" ", "title", "content").alias("blob")), "seq", "blob")
     missing = present(F.trim("title")).isNull() | present(F.col("url")).isNull()
     stale = F.col("time_source").isin(*TRUSTED_TIME) & (F.col("published_at") < window_start)
-    return rows.join(prints, "seq").withColumn(
+    return rows.withColumn("simhash", simhash_value(F.concat_ws(" ", "title", "content"))).withColumn(
         "early_reason", F.when(missing, "no_title").when(F.col("prefilter_drop").isNotNull(), "off_topic")
     ).withColumn("late_reason", F.when(F.coalesce(stale, F.lit(False)), "stale").when(~F.col("gate.passes"), "off_topic"))
 

@@ -6,48 +6,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What opens a document, a code fence, a heading and the second row of a table.
+FRONT_MATTER = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n"
+FENCE = r"^\s*```"
+HEADING = r"^(#{1,3})\s+(.+?)\s*$"
+DELIMITER = r"^\|[\s:|-]*-[\s:|-]*\|?\s*$"
+
+
 def strip_frontmatter(text: Column) -> Column:
     """Text without the block between two --- lines that it opens with."""
-    return F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n+", "")
+    return F.regexp_replace(text, FRONT_MATTER, "")
+
+
+def frontmatter(text: Column) -> Column:
+    """A map of the flat ``key: value`` lines of that block; of a repeated key the last value stays."""
+    lines = F.split(F.regexp_extract(text, FRONT_MATTER, 1), r"\r?\n")
+    flat = F.filter(lines, lambda x: F.contains(x, F.lit(":")) & ~x.rlike(r"^[ \t-]"))
+    key = lambda x: F.trim(F.substring_index(x, ":", 1))
+    later = lambda x, i: F.exists(F.slice(flat, i + 2, F.size(flat)), lambda y: key(y) == key(x))
+    last = F.filter(flat, lambda x, i: ~later(x, i))
+    return F.map_from_arrays(F.transform(last, key), F.transform(last, lambda x: F.trim(F.substr(x, F.locate(":", x) + 1))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, pos, line, fenced): lines with whether they lie in a code fence."""
-    lines = docs.select("id", F.posexplode(F.split(strip_frontmatter(F.col("text")), "\n", -1)).alias("pos", "line"))
-    fence = F.col("line").rlike(r"^\s*(?:```|~~~)")
+    """(id, pos, line, fenced): lines from 1 on, with whether they open, close or lie in a code fence."""
+    lines = docs.select("id", F.posexplode(F.split("text", r"\r?\n", -1)).alias("pos", "line"))
+    fence = F.col("line").rlike(FENCE)
     before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.sum(fence.cast("int")).over(before)
-    return lines.withColumn("fenced", fence | (seen % 2 == 1))
+    return lines.select("id", (F.col("pos") + 1).alias("pos"), "line", (fence | (seen % 2 == 1)).alias("fenced"))
 
 
 def slug(text: Column) -> Column:
-    """Anchor of a heading: lower case, no punctuation, dashes for spaces."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"(?U)[^\w\s-]", ""), r"(?U)\s+", "-")
+    """Anchor of a heading: what is neither word character nor CJK becomes a dash, none at the ends."""
+    bare = F.regexp_replace(F.trim(text), r"[`*_~]", "")
+    dashed = F.regexp_replace(bare, r"[^A-Za-z0-9_\x{4E00}-\x{9FFF}]+", "-")
+    return F.coalesce(F.nullif(F.lower(F.regexp_replace(dashed, r"^-+|-+$", "")), F.lit("")), F.lit("h"))
 
 
-def outline(docs: DataFrame, deepest: int = 3) -> DataFrame:
-    """(id, pos, level, title, anchor) of headings outside fences; a repeated anchor gets a number."""
-    heads = _lines(docs).where(~F.col("fenced") & F.col("line").rlike(rf"^#{{1,{deepest}}}\s+\S"))
-    rows = heads.select(
-        "id", "pos", F.char_length(F.regexp_extract("line", "^(#+)", 1)).alias("level"),
-        F.trim(F.regexp_extract("line", r"^#+\s+(.*?)\s*#*$", 1)).alias("title"),
+def outline(docs: DataFrame) -> DataFrame:
+    """(id, pos, level, title, anchor) of headings of three levels outside fences; the second of an anchor ends in -2."""
+    rows = _lines(docs).where(~F.col("fenced") & F.col("line").rlike(HEADING)).select(
+        "id", "pos", F.char_length(F.regexp_extract("line", HEADING, 1)).alias("level"), F.regexp_extract("line", HEADING, 2).alias("title")
     ).withColumn("base", slug(F.col("title")))
-    again = F.row_number().over(Window.partitionBy("id", "base").orderBy("pos")) - 1
-    return rows.withColumn("n", again).select(
-        "id", "pos", "level", "title", F.when(F.col("n") > 0, F.concat_ws("-", "base", "n")).otherwise(F.col("base")).alias("anchor")
+    nth = F.row_number().over(Window.partitionBy("id", "base").orderBy("pos"))
+    return rows.withColumn("n", nth).select(
+        "id", "pos", "level", "title", F.when(F.col("n") > 1, F.concat_ws("-", "base", "n")).otherwise(F.col("base")).alias("anchor")
     )
 
 
 def broken_tables(docs: DataFrame) -> DataFrame:
-    """(id, pos, cells, expected): table rows that have another number of cells than the row of dashes above them."""
-    cells = F.size(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"(?<!\\)\|"))
-    rows = _lines(docs).withColumn("row", ~F.col("fenced") & F.trim("line").startswith("|")).withColumn("cells", cells)
-    start = F.col("row") & F.col("line").rlike(r"^\s*\|[\s:|-]+\|\s*$")
+    """(id, pos): where a block of rows that open with a bar starts whose second row is no row of dashes."""
+    rows = _lines(docs).withColumn("row", ~F.col("fenced") & F.startswith("line", F.lit("|")))
     order = Window.partitionBy("id").orderBy("pos")
-    block = F.sum((~F.col("row")).cast("int")).over(order)
-    table = Window.partitionBy("id", "block").orderBy("pos")
-    wanted = F.last(F.when(start, F.col("cells")), ignorenulls=True).over(table)
-    return rows.withColumn("block", block).withColumn("expected", wanted).where("row and expected is not null and cells <> expected").select("id", "pos", "cells", "expected")
+    first = F.col("row") & ~F.coalesce(F.lag("row").over(order), F.lit(False))
+    second = F.lead("row").over(order) & F.lead("line").over(order).rlike(DELIMITER)
+    return rows.select("id", "pos", first.alias("first"), F.coalesce(second, F.lit(False)).alias("delimited")).where("first and not delimited").select("id", "pos")
 
 
 def counted_table(counts: DataFrame, title: str, preferred: tuple[str, ...] = ()) -> DataFrame:
@@ -68,6 +82,7 @@ def spliced(text: Column, name: str, block: Column) -> Column:
 
 def numbered_reports(reports: DataFrame) -> DataFrame:
     """Reports with their issue number, the first one being 1."""
+    # One report a week: a thousand rows are twenty years, so one task orders them.
     return reports.withColumn("issue", F.row_number().over(Window.orderBy("period_start")))
 
 

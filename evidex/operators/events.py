@@ -230,26 +230,77 @@ def recent_pool(items: DataFrame, fresh: DataFrame, since: Column, most: int) ->
     return pool.join(fresh.select("id"), "id", "left_anti")
 
 
-def semantic_drops(pairs: DataFrame) -> DataFrame:
-    """(id, merged_into) from judged pairs (rank, a, b, a_at, b_at, dup) folded in order of rank.
+def semantic_drops(pairs: DataFrame, write=lambda df: df.checkpoint()) -> DataFrame:
+    """(id, merged_into) from judged pairs (place, a, b, a_at, b_at, dup) folded in order of ``place``.
 
-    The later discovered side goes; once a side of a pair is gone the pair says nothing.
-    The judged pairs of one run are few by construction: three for each fresh row.
+    The later discovered side goes; once a side of a pair is gone the pair says
+    nothing. Rounds decide all pairs that come first for both of their sides,
+    so pairs that share no row are folded at once.
     """
-    import pandas as pd
-
-    dtype = dict(pairs.dtypes)["a"]
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        gone: dict = {}
-        for row in frame.sort_values("rank").itertuples():
-            if row.dup and row.a not in gone and row.b not in gone:
-                new, old = (row.a, row.b) if row.a_at >= row.b_at else (row.b, row.a)
-                gone[new] = old
-        return pd.DataFrame({"id": list(gone), "merged_into": list(gone.values())})
-
-    from .components import component_ids
-
-    links = pairs.where("dup").select("a", "b")
-    placed = pairs.where("dup").join(component_ids(links, "a", "b").withColumnRenamed("node", "a"), "a")
-    return placed.groupBy("component").applyInPandas(fold, f"id {dtype}, merged_into {dtype}")
+    later = F.col("a_at") >= F.col("b_at")
+    new, old = F.when(later, F.col("a")).otherwise(F.col("b")), F.when(later, F.col("b")).otherwise(F.col("a"))
+    left = write(pairs.where("dup").select("place", "a", "b", new.alias("id"), old.alias("merged_into")))
+    found = left.select("id", "merged_into").limit(0)
+    while not left.isEmpty():
+        first = left.select("place", F.explode(F.array("a", "b")).alias("side")).groupBy("side").agg(F.min("place").alias("first"))
+        of = lambda c: first.select(F.col("side").alias(c), F.col("first").alias(f"first_{c}"))
+        both = left.join(of("a"), "a").join(of("b"), "b")
+        ready = write(both.where("place = first_a and place = first_b").select("place", "id", "merged_into"))
+        found = found.unionByName(ready.select("id", "merged_into"))
+        rest = left.join(ready.select("place"), "place", "left_anti")
+        for side in ("a", "b"):
+            rest = rest.join(ready.select(F.col("id").alias(side)), side, "left_anti")
+        left = write(rest.select(*left.columns))
+    return found
+
+
+def fold_groups(members: DataFrame, splits: DataFrame, write=lambda df: df.checkpoint()) -> tuple[DataFrame, DataFrame]:
+    """(merges, blocked) of groups (group, id, first_seen_at, n_items) taken in order of ``group``.
+
+    What an earlier group has merged away no longer counts in a later one, and
+    a group that a person has split is left alone. ``merges``: group, loser,
+    survivor; ``blocked``: group. Rounds take all groups that come first for
+    each of their members.
+    """
+    left = write(members.dropDuplicates(["group", "id"]))
+    merges = blocked = None
+    while not left.isEmpty():
+        first = left.groupBy("id").agg(F.min("group").alias("first"))
+        late = left.join(first, "id").where(F.col("group") != F.col("first")).select("group").distinct()
+        ready = write(left.join(late, "group", "left_anti"))
+        several = ready.join(ready.groupBy("group").count().where("count > 1").select("group"), "group", "left_semi")
+        stopped = split_blocked(several.groupBy("group").agg(F.collect_list("id").alias("members")), splits)
+        stopped = write(stopped)
+        merged = write(survivors(several.join(stopped, "group", "left_anti")))
+        merges = merged if merges is None else merges.unionByName(merged)
+        blocked = stopped if blocked is None else blocked.unionByName(stopped)
+        rest = left.join(ready.select("group").distinct(), "group", "left_anti")
+        left = write(rest.join(merged.select(F.col("loser").alias("id")), "id", "left_anti").select(*members.columns))
+    if merges is None:
+        merges = survivors(members)
+        blocked = members.select("group").limit(0)
+    return merges, blocked
+
+
+def open_pairs(pairs: DataFrame, edges: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b, ...) that neither a judge nor a person has answered, each once."""
+    keyed = pairs.withColumn("pair", pair_key(F.col("a"), F.col("b"))).dropDuplicates(["pair"])
+    return keyed.join(answered_pairs(edges, reviews), "pair", "left_anti").drop("pair")
+
+
+def with_source_names(items: DataFrame, sources: DataFrame, unknown: str = "未登记来源") -> DataFrame:
+    """Items with the name of their source."""
+    names = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"))
+    return items.join(names, "source_id", "left").withColumn("source_name", F.coalesce("source_name", F.lit(unknown)))
+
+
+def claims_with_items(claims: DataFrame, items: DataFrame) -> DataFrame:
+    """Claims with the address and title of the item that they come from, if any."""
+    of = items.select(F.col("id").alias("source_item_id"), F.col("url").alias("item_url"), F.col("title").alias("item_title"))
+    return claims.join(of, "source_item_id", "left")
+
+
+def display_name(value: Column, names: dict[str, str]) -> Column:
+    """The configured name of an id, else the id."""
+    given = F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) if names else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.try_element_at(given, value), value)

@@ -70,12 +70,11 @@ def channel_mix(items: DataFrame, *columns: str) -> DataFrame:
 
 def distributions(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of several columns by grouping sets: (dimension, value, n)."""
-    rows.createOrReplaceTempView("_distributed")
-    sets = ", ".join(f"({c})" for c in columns)
-    ids = ", ".join(columns)
-    name = "CASE " + " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in columns) + " END"
-    value = "CASE " + " ".join(f"WHEN grouping({c}) = 0 THEN coalesce(cast({c} AS string), 'none')" for c in columns) + " END"
-    return rows.sparkSession.sql(f"SELECT {name} AS dimension, {value} AS value, count(*) AS n FROM _distributed GROUP BY GROUPING SETS ({sets})") if ids else rows.limit(0)
+    if not columns:
+        return rows.select(F.lit("").alias("dimension"), F.lit("").alias("value"), F.lit(0).cast("long").alias("n")).limit(0)
+    held = {c: F.when(F.grouping(c) == 0, F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("value"))) for c in columns}
+    grouped = rows.groupingSets([[F.col(c)] for c in columns], *map(F.col, columns))
+    return grouped.agg(F.coalesce(*held.values()).alias("d"), F.count(F.lit(1)).alias("n")).select("d.dimension", "d.value", "n")
 
 
 def source_health(sources: DataFrame, items: DataFrame, rejects: DataFrame) -> DataFrame:

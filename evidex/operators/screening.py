@@ -47,7 +47,8 @@ def extract(items: DataFrame, judge: Judge, config: EngineConfig, size: int = 1)
 
 def backfill_stage(items: DataFrame, judge: Judge, size: int = 12) -> DataFrame:
     """(id, draft_stage) for items of events that have none."""
-    rows = items.where("draft_stage is null and event_id is not null").select("id", "title", F.left("content", F.lit(420)).alias("content"))
+    placed = F.col("event_id").isNotNull() & ~F.startswith("event_id", F.lit("draft:"))
+    rows = items.where(F.col("draft_stage").isNull() & placed).select("id", "title", F.left("content", F.lit(420)).alias("content"))
     answers = ask(rows, judge, "stage", ["id"], size)
     return answers.select("id", F.from_json("answer", "stage string")["stage"].alias("draft_stage")).where("draft_stage is not null")
 

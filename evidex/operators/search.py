@@ -69,14 +69,15 @@ def context_budget(parts: DataFrame, by: str, order: str, text: str, budget: int
     return parts.withColumn("_used", used).where(room > 0).select(by, order, F.substr(F.col(text), F.lit(1), room.cast("int")).alias(text))
 
 
-def conversation_trim(turns: DataFrame, by: str, order: str, text: str, last: int = 20, budget: int = 24_000) -> DataFrame:
-    """The last turns of each conversation, without the oldest pairs that exceed the budget."""
+def conversation_trim(turns: DataFrame, by: str, order: str, text: str, last: int = 20, budget: int = 24_000, question: Column | None = None) -> DataFrame:
+    """The last turns of each conversation: two at a time go from the oldest end until they fit the budget with the question."""
+    turns = turns.withColumn("_asked", F.lit(0) if question is None else F.char_length(question))
     back = Window.partitionBy(by).orderBy(F.desc(order))
     recent = turns.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= last)
-    pair = F.floor((F.col("_back") - 1) / 2)
-    after = Window.partitionBy(by).orderBy(F.desc("_pair")).orderBy("_pair").rangeBetween(Window.unboundedPreceding, 0)
-    held = recent.withColumn("_pair", pair).withColumn("_chars", F.sum(F.char_length(text)).over(after))
-    return held.where(F.col("_chars") <= budget).drop("_back", "_pair", "_chars")
+    oldest = F.max("_back").over(Window.partitionBy(by))
+    newer = Window.partitionBy(by).orderBy(F.desc("_pair")).rangeBetween(Window.unboundedPreceding, 0)
+    held = recent.withColumn("_pair", F.floor((oldest - F.col("_back")) / 2)).withColumn("_chars", F.sum(F.char_length(text)).over(newer))
+    return held.where(F.col("_chars") + F.col("_asked") <= budget).drop("_back", "_pair", "_chars", "_asked")
 
 
 def safe_links(hits: DataFrame, url: str, most: int = 5) -> DataFrame:

@@ -38,6 +38,11 @@ def merge_rows(current: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(*(value(c).alias(c) if c in changed else F.col(c) for c in current.columns))
 
 
+def upsert_registry(current: DataFrame, given: DataFrame) -> DataFrame:
+    """The registry of sources after a configuration was loaded: given sources replace their rows, others stay."""
+    return replace_rows(conform(current, "sources"), conform(given, "sources"), "id")
+
+
 def delete_rows(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return current.join(gone.select(key).distinct(), key, "left_anti")
 

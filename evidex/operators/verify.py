@@ -67,13 +67,14 @@ def review_state(previous: Column, confidence: Column) -> Column:
 
 
 def verify(events: DataFrame, items: DataFrame, observed_from: Column, reported_from: Column, least_orgs: int = 2) -> DataFrame:
-    """``events`` with their verdict columns; events without items keep what they had."""
+    """``events`` with their verdict columns; events without items stay as they are."""
     facts = evidence(items).withColumnRenamed("event_id", "id")
+    silent = events.join(facts.select("id"), "id", "left_anti")
     joined = events.drop("independent_orgs").join(facts, "id", "inner")
     ranked = joined.withColumn("confidence_rank", confidence_rank(least_orgs)).withColumn("stage_rank", stage_rank())
     name = lambda names, rank: F.element_at(F.array(*map(F.lit, names)), rank.cast("int"))
     status = status_rank(F.col("event_date"), F.col("first_seen_at"), observed_from, reported_from)
-    return ranked.select(
+    verdicts = ranked.select(
         *(c for c in events.columns if c not in ("confidence", "stage", "stage_basis", "status", "review_state", "independent_orgs")),
         F.col("independent_orgs").cast("int").alias("independent_orgs"),
         name(CONFIDENCE, F.col("confidence_rank")).alias("confidence"),
@@ -82,3 +83,4 @@ def verify(events: DataFrame, items: DataFrame, observed_from: Column, reported_
         name(STATUS, status).alias("status"),
         review_state(F.coalesce("review_state", F.lit("none")), F.col("confidence_rank")).alias("review_state"),
     )
+    return verdicts.unionByName(silent, allowMissingColumns=True)

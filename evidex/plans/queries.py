@@ -34,8 +34,10 @@ def query(name: str, sql: str | None = None):
 
 
 def written(spark: SparkSession):
-    """Reliable checkpoints between rounds of iterative operators."""
+    """Reliable checkpoints between rounds of iterative operators; a local folder serves a local session alone."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
@@ -341,9 +343,9 @@ def semantic_dedup(spark, d):
     vectors = table(spark, d, "embeddings")
     pairs = similarity.band_pairs(vectors, "vec_id", "embedding", 0.30)
     label = lambda c: vectors.select(F.col("vec_id").alias(c), F.col("label").alias(f"l{c}"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cosine"), "a", "b")))
+    ranked = pairs.withColumn("place", F.struct((-F.col("cosine")).alias("far"), "a", "b"))
     judged = ranked.join(label("a"), "a").join(label("b"), "b")
-    return E.semantic_drops(judged.select("rank", "a", "b", F.col("a").alias("a_at"), F.col("b").alias("b_at"), (F.col("la") == F.col("lb")).alias("dup")))
+    return E.semantic_drops(judged.select("place", "a", "b", F.col("a").alias("a_at"), F.col("b").alias("b_at"), (F.col("la") == F.col("lb")).alias("dup")))
 
 
 # ---------------------------------------------------------------- verification
@@ -665,7 +667,7 @@ def ui_facets(spark, d):
     "hybrid_search",
     """with q as (select cast(embedding as double[]) as e from embeddings order by vec_id limit 1),
     s as (select d.doc_id, contains(lower(d.text), 'license') as lexical, list_cosine_similarity(cast(v.embedding as double[]), q.e) as c
-          from documents d join embeddings v on v.vec_id = d.doc_id, q)
+          from documents d left join embeddings v on v.vec_id = d.doc_id left join q on true)
     select doc_id, lexical, round(case when c >= 0.30 then c end, 6) as similarity from s where lexical or c >= 0.30
     order by lexical desc, case when c >= 0.30 then c end desc nulls last, doc_id limit 50""",
 )
@@ -783,12 +785,21 @@ def context_budget(spark, d):
 
 @query(
     "conversation_trim",
-    """with b as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn desc) as back from conversations qualify back <= 20),
-    s as (select *, sum(length(text)) over (partition by conv_id order by (back - 1) // 2 range between unbounded preceding and current row) as chars from b)
-    select conv_id, turn from s where chars <= 3000""",
+    """with q as (select conv_id, max(turn) as last, arg_max(length(text), turn) as asked from conversations group by conv_id),
+    h as (select c.conv_id, c.turn, length(c.text) as n, q.asked, row_number() over (partition by c.conv_id order by c.turn) as nth, count(*) over (partition by c.conv_id) as m
+          from conversations c join q on q.conv_id = c.conv_id where c.turn < q.last),
+    r as (select *, nth - greatest(m - 20, 0) - 1 as place from h where nth > m - 20),
+    k as (select distinct r.conv_id, p.place as cut, r.asked + coalesce((select sum(n) from r x where x.conv_id = r.conv_id and x.place >= p.place), 0) as chars
+          from r join (select conv_id, place from r where place % 2 = 0) p on p.conv_id = r.conv_id),
+    f as (select conv_id, min(cut) as cut from k where chars <= 3000 group by conv_id)
+    select r.conv_id, r.turn from r join f on f.conv_id = r.conv_id where r.place >= f.cut""",
 )
 def conversation_trim(spark, d):
-    return search.conversation_trim(table(spark, d, "conversations"), "conv_id", "turn", "text", 20, 3000).select("conv_id", "turn")
+    """The last turn is the question, the turns before it are the conversation."""
+    turns = table(spark, d, "conversations")
+    asked = turns.groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", "turn").alias("question"))
+    before = turns.join(asked, "conv_id").where("turn < last")
+    return search.conversation_trim(before, "conv_id", "turn", "text", 20, 3000, F.col("question")).select("conv_id", "turn")
 
 
 @query("search_index", f"with {SQL_ITEMS} select item_id as id, title, md5(left(text, 200)) as summary, company from items")

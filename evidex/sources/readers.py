@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import decode_charset, parse_time, present, strip_html
-from ..functions.url import authority, host
+from ..functions.url import authority
+from ..functions.url import path as url_path
 
 ITEM = "url string, title string, content string, published_at timestamp, time_source string"
 
@@ -18,26 +19,31 @@ def captured(spark: SparkSession, path: str) -> DataFrame:
     return data.select("path", decode_charset(F.substring("content", 1, 600_000)).alias("text"))
 
 
+#: The elements of a feed, what wraps text, and how a link is written.
+FEED_ITEM, FEED_ENTRY = r"(?is)<item[\s>].*?</item>", r"(?is)<entry[\s>].*?</entry>"
+WRAPPED = r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$"
+#: Characters that are kept of a body, a title and an excerpt.
+CONTENT_CHARS, TITLE_CHARS, EXCERPT_CHARS = 6000, 300, 400
+
+
 def tag(block: Column, *names: str) -> Column:
-    """Content of the first non-empty element of these names, CDATA unwrapped, else its href."""
-    found = []
-    for name in names:
-        body = F.regexp_extract(block, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1)
-        found.append(present(F.trim(F.regexp_replace(body, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"))))
-        found.append(present(F.regexp_extract(block, rf"(?is)<{name}\s[^>]*href=[\"']([^\"']+)", 1)))
-    return F.coalesce(*found)
+    """The first of a list of candidates that says something: for each name the element's text, then its href."""
+    text = lambda name: F.regexp_replace(F.regexp_extract(block, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>", 1), WRAPPED, "$1")
+    href = lambda name: F.regexp_extract(block, rf"(?is)<{name}\s[^>]*href=[\"']([^\"']+)", 1)
+    candidates = F.array(*(F.trim(take(name)) for name in names for take in (text, href)))
+    return F.get(F.filter(candidates, lambda x: x != ""), 0)
 
 
-def parse_feed(pages: DataFrame, most: int = 50) -> DataFrame:
+def parse_feed(pages: DataFrame, content_chars: int = CONTENT_CHARS) -> DataFrame:
     """Items of RSS and Atom texts (path, text); without a title or a web link they are left out."""
-    items = F.regexp_extract_all("text", F.lit(r"(?is)<item[\s>].*?</item>"), F.lit(0))
-    entries = F.regexp_extract_all("text", F.lit(r"(?is)<entry[\s>].*?</entry>"), F.lit(0))
-    blocks = pages.select("path", F.posexplode(F.slice(F.when(F.size(items) > 0, items).otherwise(entries), 1, most)).alias("place", "block"))
+    items = F.regexp_extract_all("text", F.lit(FEED_ITEM), F.lit(0))
+    entries = F.regexp_extract_all("text", F.lit(FEED_ENTRY), F.lit(0))
+    blocks = pages.select("path", F.posexplode(F.when(F.size(items) > 0, items).otherwise(entries)).alias("place", "block"))
     block = F.col("block")
     at = parse_time(tag(block, "pubDate", "published", "updated", "dc:date"), exact=True)
     rows = blocks.select(
-        "path", "place", F.trim(tag(block, "link", "guid", "id")).alias("url"), F.left(strip_html(tag(block, "title")), F.lit(300)).alias("title"),
-        strip_html(F.coalesce(tag(block, "content:encoded", "description", "content", "summary"), F.lit(""))).alias("content"), at.alias("at"),
+        "path", "place", tag(block, "link", "guid").alias("url"), F.left(strip_html(tag(block, "title")), F.lit(TITLE_CHARS)).alias("title"),
+        F.left(strip_html(F.coalesce(tag(block, "content:encoded", "description", "summary", "content"), F.lit(""))), F.lit(content_chars)).alias("content"), at.alias("at"),
     )
     return rows.where((F.coalesce("title", F.lit("")) != "") & F.startswith("url", F.lit("http"))).select(
         "path", "place", "url", "title", "content", F.col("at.at").alias("published_at"), F.col("at.time_source").alias("time_source")
@@ -57,27 +63,101 @@ def absolute(href: Column, base: Column) -> Column:
     )
 
 
-_NAVIGATION = r"(?i)/(?:tags?|category|about|contact|login|search|author|page)(?:/|$)"
-_ARTICLE = r"\d{4,}|[a-z0-9]+(?:-[a-z0-9]+){2,}|\.s?html?$|/(?:article|news|detail|post|blog)s?/"
+#: Paths of menus and sections, paths of articles, and links in a page and in a rendered list.
+NAVIGATION = (
+    "about", "contact", "career", "careers", "job", "jobs", "privacy", "terms", "legal", "sitemap", "search", "login", "register", "rss", "feed",
+    "tag", "tags", "category", "categories", "topic", "topics", "author", "channel", "column", "list", "index", "home", "investor-relations", "ir",
+)
+ARTICLE_PATH = r"(/20\d{2}[-/]\d{1,2}|/\d{5,}|[-_/]\d{6,})"
+ANCHOR = r"(?is)<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
+RENDERED_LINK = r"- \[([^\]]{4,90})\]\((https?://[^)]+)\)"
+BARE_LINK = r"https?://[^\s<>\"'()\[\]]+"
+DATE_IN_PATH = r"/(20\d{2})(\d{2})(\d{2})/"
+#: Articles of a list that are read, and rendered ones; Chinese characters that a rendered article has at least.
+LISTED, RENDERED, LEAST_CJK = 25, 8, 120
+
 
+def listing_links(pages: DataFrame, most: int = LISTED) -> DataFrame:
+    """Article links of list pages (url, html, domains, and pattern or null): on the source's domains, each address once.
 
-def listing_links(pages: DataFrame, most: int = 25) -> DataFrame:
-    """Article links of list pages (url, html): in-domain, with a headline for text, each address once."""
-    anchors = pages.select("url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*href=[\"'][^\"'#]+[\"'][^>]*>.*?</a>"), F.lit(0))).alias("place", "a"))
+    The text is a headline: 10 to 120 characters with five Chinese ones or eight words.
+    """
+    pattern = F.coalesce("pattern", F.lit(ARTICLE_PATH))
+    anchors = pages.select("url", "domains", pattern.alias("pattern"), F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("place", "a"))
     rows = anchors.select(
-        "url", "place", absolute(F.regexp_extract("a", r"(?is)href=[\"']([^\"'#]+)", 1), F.col("url")).alias("link"), strip_html(F.col("a")).alias("title")
+        "url", "domains", "pattern", "place", absolute(F.regexp_extract("a", ANCHOR, 1), F.col("url")).alias("link"), strip_html(F.regexp_extract("a", ANCHOR, 2)).alias("title")
     )
     words = F.size(F.split("title", " "))
     cjk = F.regexp_count("title", F.lit(r"[\x{4E00}-\x{9FFF}]"))
-    site = lambda c: F.array_join(F.slice(F.split(host(c), r"\."), -2, 2), ".")
+    site, folder = authority(F.col("link")), url_path(F.col("link"))
     good = rows.where(
-        F.char_length("title").between(10, 120) & ((cjk >= 5) | (words >= 8)) & (site(F.col("link")) == site(F.col("url")))
-        & F.col("link").rlike(_ARTICLE) & ~F.col("link").rlike(_NAVIGATION)
+        F.char_length("title").between(10, 120) & ((cjk >= 5) | (words >= 8)) & F.col("link").rlike("^https?://")
+        & F.exists("domains", lambda d: F.contains(site, d)) & F.regexp_like(folder, F.col("pattern")) & ~folder.rlike(rf"(?i)/({'|'.join(NAVIGATION)})(/|$|\.)")
     )
     first = good.groupBy("url", "link").agg(F.min_by("title", "place").alias("title"), F.min("place").alias("place"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("url").orderBy("place"))).where(F.col("rank") <= most)
 
 
+def rendered_links(pages: DataFrame) -> DataFrame:
+    """(source_id, place, url, title): links of rendered list pages (source_id, text, pattern) that match the source's pattern.
+
+    Pairs of title and address; where a page has none that match, addresses alone. Each address once, at its first place.
+    """
+    clean = lambda u: F.regexp_replace(u, r"[.,;]+$", "")
+    pairs = F.transform(F.regexp_extract_all("text", F.lit(RENDERED_LINK), F.lit(0)), lambda m: F.named_struct(F.lit("url"), clean(F.regexp_extract(m, RENDERED_LINK, 2)), F.lit("title"), F.regexp_extract(m, RENDERED_LINK, 1)))
+    bare = F.transform(F.regexp_extract_all("text", F.lit(BARE_LINK), F.lit(0)), lambda u: F.named_struct(F.lit("url"), clean(u), F.lit("title"), F.lit("")))
+    wanted = lambda links: F.filter(links, lambda x: F.regexp_like(x["url"], F.col("pattern")))
+    named = wanted(pairs)
+    found = pages.select("source_id", F.posexplode(F.when(F.size(named) > 0, named).otherwise(wanted(bare))).alias("place", "l"))
+    first = found.groupBy("source_id", "l.url").agg(F.min(F.struct("place", "l.title")).alias("f"))
+    return first.select("source_id", "f.place", "url", strip_html(F.col("f.title")).alias("title"))
+
+
+def listing_only(links: DataFrame, most: int = LISTED) -> DataFrame:
+    """Items of a source whose articles can't be read: titles, and dates as the address gives them."""
+    day = F.regexp_extract("url", DATE_IN_PATH, 0)
+    at = F.try_to_timestamp(F.concat_ws("-", *(F.regexp_extract("url", DATE_IN_PATH, k) for k in (1, 2, 3))), F.lit("yyyy-MM-dd"))
+    nth = F.row_number().over(Window.partitionBy("source_id").orderBy("place"))
+    rows = links.where("title <> ''").withColumn("nth", nth).where(F.col("nth") <= most)
+    published = F.when(day != "", at)
+    return rows.select("source_id", "url", F.left("title", F.lit(TITLE_CHARS)).alias("title"), published.alias("published_at"), F.when(published.isNotNull(), "parsed").alias("time_source"))
+
+
+def rendered_plan(links: DataFrame, terms: tuple[str, ...], most: int = RENDERED) -> DataFrame:
+    """``links`` with ``prefilter_drop`` (no term in the title) and ``read``: the first of the others of each source.
+
+    Without terms, or for a source without titles, the first links are read.
+    """
+    marked = title_prefilter(links, terms)
+    marked = marked.withColumn("prefilter_drop", F.when(F.col("title") != "", F.col("prefilter_drop")))
+    titled = F.max(F.col("title") != "").over(Window.partitionBy("source_id"))
+    open_ones = marked.withColumn("_skip", F.col("prefilter_drop").isNotNull() | (titled & (F.col("title") == "") & F.lit(bool(terms))))
+    nth = F.sum((~F.col("_skip")).cast("int")).over(Window.partitionBy("source_id").orderBy("place"))
+    return open_ones.withColumn("read", ~F.col("_skip") & (nth <= most)).drop("_skip")
+
+
+def rendered_articles(pages: DataFrame, content_chars: int = CONTENT_CHARS) -> DataFrame:
+    """Items of rendered article pages (url, text): title, text without pictures and link marks, enough Chinese."""
+    title = F.regexp_extract("text", r"(?m)^Title: (.+)$", 1)
+    body = F.substring_index("text", "Markdown Content:", -1)
+    for pattern, left in ((r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", ""), (r"\s+", " ")):
+        body = F.regexp_replace(body, pattern, left)
+    rows = pages.select("url", F.trim(title).alias("title"), F.trim(body).alias("content"), parse_time(present(F.regexp_extract("text", "Published Time: (.+)", 1)), exact=True).alias("at"))
+    fine = (F.col("title") != "") & ~F.col("title").rlike("403|Forbidden") & (F.regexp_count("content", F.lit(r"[\x{4E00}-\x{9FFF}]")) >= LEAST_CJK)
+    return rows.where(fine).select("url", F.left("title", F.lit(TITLE_CHARS)).alias("title"), F.left("content", F.lit(content_chars)).alias("content"), F.col("at.at").alias("published_at"), F.col("at.time_source").alias("time_source"))
+
+
+def collected(rows: DataFrame, errors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, failures): what the channels gave, and a row for each source that failed or gave nothing.
+
+    ``rows``: source_id and item columns; ``errors``: source_id, status, one for each source that was asked.
+    """
+    counted = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = errors.join(counted, "source_id", "left")
+    why = F.when(F.col("status") != "200", F.concat(F.lit("HTTP "), F.col("status"))).when(F.coalesce("n", F.lit(0)) == 0, "no items")
+    return rows, asked.select("source_id", why.alias("reason")).where("reason is not null")
+
+
 def discovered_feeds(pages: DataFrame) -> DataFrame:
     """(url, feed): feeds that pages (url, html) announce."""
     links = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<link\s[^>]*>"), F.lit(0))).alias("l"))
@@ -149,13 +229,16 @@ def effective_class(own: Column, attributed: Column) -> Column:
 
 
 def union_channels(channels: dict[str, DataFrame]) -> DataFrame:
-    """All channels in one frame, each row with its channel and a total order ``seq``."""
+    """All channels in one frame, each row with its channel and a total order ``seq``.
+
+    Rows are sorted in ranges and numbered by range, so ``seq`` rises with (channel, address, title) but has gaps.
+    """
     out = None
     for rank, (name, rows) in enumerate(channels.items()):
         tagged = rows.withColumn("channel", F.lit(name)).withColumn("_rank", F.lit(rank))
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    order = Window.orderBy("_rank", "url", "title")
-    return out.withColumn("seq", F.row_number().over(order).cast("long")).drop("_rank")
+    ordered = out.repartitionByRange("_rank", "url", "title").sortWithinPartitions("_rank", "url", "title")
+    return ordered.withColumn("seq", F.monotonically_increasing_id() + 1).drop("_rank")
 
 
 class FetchReader(DataSourceReader):

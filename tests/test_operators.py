@@ -7,7 +7,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-import reference_rules as R
 from evidex.config import EngineConfig
 from evidex.operators import dedup, events, reports, review, search, similarity, tables, verify
 from evidex.plugins import embedder, judge
@@ -35,6 +34,30 @@ def random_items(n, seed):
     return out
 
 
+def greedy(spark, rows, known, terms):
+    """The reason of each row, one after the other, by the engine's own columns of it."""
+    from evidex.functions.simhash import simhash_value
+    from evidex.functions.text import normalize_title
+    from evidex.functions.url import canonical_url
+
+    frame = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate([*known, *rows])], "i long, url string, name string, body string")
+    seen = frame.select("i", canonical_url(F.col("url")).alias("u"), normalize_title(F.col("name")).alias("t"), simhash_value(F.concat_ws(" ", "name", "body")).alias("p")).orderBy("i").collect()
+    accepted, out = list(seen[: len(known)]), []
+    for row, (_, name, body, at, source) in zip(seen[len(known) :], rows):
+        near = any(((row.p ^ a.p) % (1 << 64)).bit_count() <= 3 for a in accepted)
+        checks = {
+            "no_title": not name.strip(),
+            "duplicate_url": row.u in {a.u for a in accepted},
+            "stale": source != "inferred" and at < START,
+            "off_topic": bool(terms) and not any(t in f"{name} {body}" for t in terms),
+            "syndication": near or bool(row.t) and row.t in {a.t for a in accepted},
+        }
+        out.append(next((reason for reason, hit in checks.items() if hit), None))
+        if out[-1] is None:
+            accepted.append(row)
+    return out
+
+
 RAW = "seq long, url string, title string, content string, published_at timestamp_ntz, time_source string, prefilter_drop string"
 
 
@@ -48,7 +71,7 @@ def test_layered_dedup_is_the_greedy_one(spark, seed):
     old = spark.createDataFrame([(i - 100, *r, None) for i, r in enumerate(rows[:20])], RAW)
     known = dedup.prepare(old, config, ntz("2024-01-01")).select("seq", "url_canonical", "title_norm", "simhash")
     got = {r.seq: r.reason for r in dedup.layered_dedup(keep(ready), known, 3, keep).collect()}
-    want = R.greedy(rows[20:], [r[:3] for r in rows[:20]], START, ("alpha", "omega"))
+    want = greedy(spark, rows[20:], rows[:20], ("alpha", "omega"))
     assert got == dict(enumerate(want))
 
 
@@ -91,7 +114,7 @@ def test_verify_rules(spark):
     got = {r.id: r for r in verify.verify(base, items, ntz("2024-01-01"), ntz("2024-01-24")).collect()}
     assert got["e1"].confidence == "官方确认·多源印证" and got["e1"].stage == "试点探索" and got["e1"].status == "延续" and got["e1"].review_state == "watching"
     assert got["e2"].confidence == "单源待确认" and got["e2"].independent_orgs == 0 and got["e2"].status == "旧闻/背景" and got["e2"].review_state == "pending"
-    assert got["e3"].stage == "规模化应用" and got["e3"].status == "旧闻/背景" and "e4" not in got
+    assert got["e3"].stage == "规模化应用" and got["e3"].status == "旧闻/背景" and got["e4"].confidence is None
 
 
 def test_merge_moves_everything(spark):
@@ -117,7 +140,7 @@ def test_survivors_of_people_and_rules_differ(spark):
 def test_semantic_drops_follow_the_order(spark):
     pairs = spark.createDataFrame(
         [(1, "a", "b", 2, 1, True), (2, "b", "c", 1, 3, True), (3, "a", "c", 2, 3, True), (4, "x", "y", 1, 1, False)],
-        "rank long, a string, b string, a_at long, b_at long, dup boolean",
+        "place long, a string, b string, a_at long, b_at long, dup boolean",
     )
     assert {(r.id, r.merged_into) for r in events.semantic_drops(pairs).collect()} == {("a", "b"), ("c", "b")}
 
@@ -149,13 +172,42 @@ def test_review_trail(spark):
     acts = spark.createDataFrame([("a", "confirm", "ok", "me"), ("ghost", "watch", "", "me")], "id string, action string, note string, reviewer string")
     changed, trail = review.apply_event_verdicts(evs, acts, F.lit("2024-01-01"))
     assert {(r.id, r.review_state) for r in changed.collect()} == {("a", "confirmed"), ("b", "suspect_duplicate")} and trail.count() == 1
-    items = spark.createDataFrame([("i", "e", None), ("j", "e", None)], "id string, event_id string, source_item_id string")
-    claims = spark.createDataFrame([("c", "e", "i")], "id string, event_id string, source_item_id string")
-    one = spark.createDataFrame([("i",)], "id string")
-    moved, said = review.unmerge(items, claims, one, "new")
-    assert {(r.id, r.event_id) for r in moved.collect()} == {("i", "new"), ("j", "e")} and said.first().event_id == "new"
-    with pytest.raises(ValueError):
-        review.unmerge(items, claims, items.select("id"), "new")
+
+
+def test_unmerge_makes_a_confirmed_event_and_keeps_it_apart(spark):
+    held = {
+        "events": tables.conform(spark.createDataFrame([("e", "co", "Title", "suspect_duplicate")], "id string, company string, title string, review_state string"), "events"),
+        "items": spark.createDataFrame([("i", "e", "First", "2024-01-03"), ("j", "e", "Other", "2024-01-01")], "id string, event_id string, title string, published_at string"),
+        "claims": spark.createDataFrame([("c", "e", "i"), ("d", "e", None)], "id string, event_id string, source_item_id string"),
+    }
+    held["items"] = held["items"].withColumn("published_at", F.col("published_at").cast("timestamp")).withColumn("discovered_at", F.col("published_at"))
+    one, now = spark.createDataFrame([("i",)], "id string"), F.lit("2024-02-01").cast("timestamp")
+    done = review.unmerge(held, one, "e", None, "apart", "me", now)
+    new = next(r for r in done["events"].collect() if r.id != "e")
+    assert (new.title, new.company, new.review_state, str(new.event_date), new.confidence) == ("First", "co", "confirmed", "2024-01-03", None)
+    assert {(r.id, r.event_id) for r in done["items"].collect()} == {("i", new.id), ("j", "e")}
+    assert {(r.id, r.event_id) for r in done["claims"].collect()} == {("c", new.id), ("d", "e")}
+    assert {(r.action, r.target_id) for r in done["reviews"].collect()} == {("unmerge", new.id), ("split", f"e|{new.id}")}
+    for chosen in (held["items"].select("id"), one.where("false"), spark.createDataFrame([("z",)], "id string")):
+        with pytest.raises(ValueError):
+            review.unmerge(held, chosen, "e", None, "", "me", now)
+
+
+def test_retier_tells_what_changed(spark):
+    sources = spark.createDataFrame([("s", "C", True), ("t", "C", True)], "id string, source_class string, active boolean")
+    changed, trail = review.retier(sources, "s", "why", "me", F.lit("2024-01-01"), source_class="A", active=False)
+    assert {tuple(r) for r in changed.collect()} == {("s", "A", False), ("t", "C", True)}
+    assert [(r.action, r.note) for r in trail.collect()] == [("retier", "source_class C → A; active true → false. why")]
+    assert review.retier(sources, "s", "", "me", F.lit("2024-01-01"))[1].count() == 0
+
+
+def test_groups_fold_in_order(spark):
+    """What a group has merged away is no member of a later one."""
+    rows = [(1, "a", "2024-01-01", 1), (1, "b", "2024-01-02", 1), (2, "b", "2024-01-02", 1), (2, "c", "2024-01-03", 9), (3, "c", "2024-01-03", 9), (3, "d", "2024-01-03", 2), (4, "e", None, 1), (4, "f", None, 1)]
+    members = spark.createDataFrame(rows, "group long, id string, first_seen_at string, n_items long").withColumn("first_seen_at", F.col("first_seen_at").cast("timestamp_ntz"))
+    splits = spark.createDataFrame([(["f", "e"],)], "members array<string>")
+    merges, blocked = events.fold_groups(members, splits)
+    assert {(r.loser, r.survivor) for r in merges.collect()} == {("b", "a"), ("d", "c")} and [r.group for r in blocked.collect()] == [4]
 
 
 def test_replace_resets_and_merge_keeps(spark):
@@ -181,7 +233,8 @@ def test_feeds_and_links(spark):
     got = readers.parse_feed(spark.createDataFrame([("r", feed), ("a", atom)], "path string, text string")).collect()
     assert {(r.url, r.title, r.time_source) for r in got} == {("https://e.com/1", "A & B", "exact"), ("https://e.com/2", "T", "exact")}
     page = '<a href="/news/12345.html">one two three four five six seven eight</a><a href="/news/12345.html">again</a><a href="https://other.org/news/1234">one two three four five six seven eight</a><a href="/tag/9999">one two three four five six seven eight</a>'
-    links = readers.listing_links(spark.createDataFrame([("https://www.e.com/list/", page)], "url string, html string")).collect()
+    pages = spark.createDataFrame([("https://www.e.com/list/", page, ["e.com"], None)], "url string, html string, domains array<string>, pattern string")
+    links = readers.listing_links(pages).collect()
     assert [r.link for r in links] == ["https://www.e.com/news/12345.html"]
 
 
@@ -203,7 +256,7 @@ def test_named_sources_and_classes(spark):
 def test_channels_and_mirrors(spark):
     one = spark.createDataFrame([("u1", "t")], "url string, title string")
     both = readers.union_channels({"rss": one, "exa": one.withColumn("extra", F.lit(1))}).orderBy("seq").collect()
-    assert [(r.seq, r.channel, r.extra) for r in both] == [(1, "rss", None), (2, "exa", 1)]
+    assert [(r.channel, r.extra) for r in both] == [("rss", None), ("exa", 1)] and both[0].seq < both[1].seq
     rows = spark.createDataFrame([("s", 2, "x"), ("s", 1, "y"), ("s", 1, "z"), ("t", 3, "w")], "source_id string, mirror int, url string")
     assert {r.url for r in readers.first_mirror(rows).collect()} == {"y", "z", "w"}
     found = spark.createDataFrame([("u", "T", "Acme Official", "2024"), ("u", "S", "Blog", "2025"), ("v", "V", "Blog", "2024")], "url string, title string, publisher string, published string")
@@ -277,7 +330,7 @@ def test_two_batches_are_one(spark, tmp_path):
         (source / f"{k}.json").write_text("\n".join(map(json.dumps, lines[20 * k : 20 * k + 20])))
         run_available(spark, str(source), str(tmp_path / "out"), config, ntz("2024-01-01"), 1)
     got = {r.seq for r in spark.read.parquet(str(tmp_path / "out" / "accepted")).collect()}
-    assert got == {i for i, reason in enumerate(R.greedy(rows, [], START, ())) if reason is None}
+    assert got == {i for i, reason in enumerate(greedy(spark, rows, [], ())) if reason is None}
 
 
 def test_hybrid_search_query_keeps_documents_without_a_vector(spark):

@@ -41,10 +41,12 @@ def test_retries_end():
 
 def test_markdown(spark):
     text = "---\na: 1\n---\n# Top\n```\n# not\n```\n## Same\n## Same\n| a | b |\n|---|---|\n| 1 | 2 |\n| 1 | 2 | 3 |\n\n| x |\n"
-    docs = spark.createDataFrame([("d", text)], "id string, text string")
+    docs = spark.createDataFrame([("d", text)], "id string, text string").withColumn("text", documents.strip_frontmatter(F.col("text")))
     heads = [(r.level, r.anchor) for r in documents.outline(docs).orderBy("pos").collect()]
-    assert heads == [(1, "top"), (2, "same"), (2, "same-1")]
-    assert [(r.cells, r.expected) for r in documents.broken_tables(docs).collect()] == [(3, 2)]
+    assert heads == [(1, "top"), (2, "same"), (2, "same-2")]
+    assert [r.pos for r in documents.broken_tables(docs).collect()] == [12]
+    slugs = spark.createDataFrame([(" `A` b_c! ",), ("第一 节。",), ("!?",)], "t string").select(documents.slug(F.col("t")).alias("s"))
+    assert [r.s for r in slugs.collect()] == ["a-bc", "第一-节", "h"]
     counts = spark.createDataFrame([("a", 1), ("b", 5000), ("c", 7)], "value string, n long")
     assert documents.counted_table(counts, "kind", ("c",)).first()[0] == "| kind | n |\n|---|---|\n| c | 7 |\n| b | 5,000 |\n| a | 1 |"
     live = spark.createDataFrame([("x <!-- live:n -->\nold\n<!-- /live:n --> y",)], "t string")
