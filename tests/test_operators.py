@@ -87,9 +87,9 @@ def test_hamming_pairs(spark, threshold):
     prints = {b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randint(0, 6))) for b in base for _ in range(6)}
     signed = lambda p: p - (p >> 63 << 64)
     frame = spark.createDataFrame([(signed(p),) for p in prints], "simhash long")
-    got = sorted((r.a, r.b, r.distance) for r in similarity.hamming_pairs(frame, "simhash", threshold).collect())
+    got, *wider = (sorted((r.a, r.b, r.distance) for r in similarity.hamming_pairs(frame, "simhash", threshold, shared).collect()) for shared in (None, 2, 3))
     want = sorted((signed(a), signed(b), (a ^ b).bit_count()) for a in prints for b in prints if signed(a) < signed(b) and (a ^ b).bit_count() <= threshold)
-    assert got == want
+    assert got == want and wider == [want, want]
 
 
 def test_jaccard_pairs(spark):
