@@ -4,17 +4,19 @@ Every normalised text is cut into fixed-size blocks. The distinct blocks are
 sorted and each gets an integer name; adjacent pairs of names are then named
 in turn until one integer is left for each document. Names are assigned to
 distinct values, so two documents share (number of blocks, last name) exactly
-when their texts are equal: no hash decides.
+when their texts are equal. No hash decides that; a 64-bit one only tells
+texts of one doc_id apart.
 
 Defined cases: null text is the empty text (one empty block); a null doc_id is
 a document like any other; a row repeated under one doc_id is one more member
-of its group and is returned as often as it came; an empty table gives an
-empty result; further columns are ignored.
+of its group and is returned as often as it came; a very long text is as many
+rows as it has blocks; an empty table gives an empty result; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -49,7 +51,8 @@ def block_identity(docs: DataFrame, key: str, text: str, block: int = BLOCK) ->
     level = scratch.write(blocks.join(names, "block").select(key, "pos", "name"), "level0")
     scratch.drop(names)
     depth, longest = 0, level.agg(F.max("pos")).first()[0] or 0
-    done = level.where("pos = 0").select(key, F.lit(0).alias("depth"), "name")
+    first_of = lambda: scratch.write(level.where("pos = 0").select(key, F.lit(depth).alias("depth"), "name"), "first")
+    done = first_of()
     while longest > 0:
         depth, longest = depth + 1, longest // 2
         side = F.col("pos") % 2
@@ -59,9 +62,12 @@ def block_identity(docs: DataFrame, key: str, text: str, block: int = BLOCK) ->
         )
         # A document with one name left is done; an odd last name is paired with -1.
         pairs = scratch.write(pairs.where("pos > 0 or right >= 0"), f"pairs{depth}")
+        scratch.drop(level)
         names = _named(pairs, ["left", "right"], scratch, depth)
         level = scratch.write(pairs.join(names, ["left", "right"]).select(key, "pos", "name"), f"level{depth}")
-        done = done.unionByName(level.where("pos = 0").select(key, F.lit(depth).alias("depth"), "name"))
+        scratch.drop(pairs, names)
+        done = done.unionByName(first_of())
+    scratch.drop(level)
     return done.groupBy(key).agg(F.max(F.struct("depth", "name"))["name"].alias("name"))
 
 
@@ -76,28 +82,29 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text")).select(
         F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"),
         F.char_length("text").cast("long").alias("n"),
+        F.monotonically_increasing_id().alias("place"),
         without_white_space(F.col("text")).alias("normal"),
     )
     names = block_identity(rows, "key", "normal", block)
     scratch = Scratch(docs.sparkSession, "exact-dedup")
-    copies = Window.partitionBy("key").orderBy("n")
     sized = rows.select(
         "key",
         "n",
+        "place",
         F.ceil(F.char_length("normal") / block).cast("long").alias("blocks"),
         F.sha2("normal", 256).alias("text_sha256"),
     )
-    placed = sized.join(names, "key").withColumn("copy", F.row_number().over(copies))
-    placed = scratch.write(placed, "placed")
+    # Written, so that the place that tells copies of one row apart is the same for all that reads it.
+    placed = scratch.write(sized.join(names, "key"), "placed")
     best = placed.groupBy("blocks", "name").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), "key")).alias("best"), F.count(F.lit(1)).alias("group_size")
+        F.min(F.struct((-F.col("n")).alias("n"), "key", "place")).alias("best"), F.count(F.lit(1)).alias("group_size")
     )
     best = scratch.write(best, "best")
     return placed.join(best, ["blocks", "name"]).select(
         F.col("key.doc_id").alias("doc_id"),
         F.col("best.key.doc_id").alias("keep_id"),
         "group_size",
-        ((F.col("key") == F.col("best.key")) & (F.col("copy") == 1)).alias("kept"),
+        (F.col("place") == F.col("best.place")).alias("kept"),
         "text_sha256",
         F.col("key.h").alias("text_hash"),
     )
