@@ -9,8 +9,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
+from test_near_copies import least_of_components
 from test_repeats import brute
-from test_simhash import classes, plain
 
 SF = "/root/testdata/sf0.001"
 WS = re.compile("[\x20\x09-\x0d]")
@@ -52,12 +52,7 @@ def test_exact_copies_go(results):
 
 def test_near_copies_go(results):
     before, after = results[2]
-    prints = {r.doc_id: plain(r.text) for r in before}
-    root = classes(set(prints.values()), 4)
-    least = {}
-    for i, p in sorted(prints.items(), reverse=True):
-        least[root[p]] = i
-    assert texts(after).keys() == set(least.values())
+    assert texts(after).keys() == least_of_components([(r.doc_id, r.text) for r in before])
 
 
 def test_passages_go(results):
@@ -98,3 +93,55 @@ def test_run_and_no_documents(spark, results):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.collect() == []
+
+
+@pytest.fixture(scope="module")
+def odd(spark, awkward):
+    """Awkward rows with columns that stages use inside, of other types."""
+    rows = [(i, t, "en", "s", len(t or ""), 1, "x", 0.1, "y") for i, t in awkward]
+    names = "row int, text_hash string, toxicity_score double, kept string"
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}").repartition(3)
+
+
+def kept_rows(stage, odd):
+    got = stage(odd.sparkSession, odd, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+
+def test_toxicity_stage_on_odd_rows(odd, awkward):
+    """Nothing here is toxic: all rows stay, nulls and repeats too."""
+    assert kept_rows(corpus_pipeline.toxicity_stage, odd) == sorted(awkward, key=str)
+
+
+def test_exact_stage_on_odd_rows(odd, awkward):
+    order = lambda r: (-len(r[1] or ""), r[0] is not None, r[0] or 0)
+    groups = defaultdict(list)
+    for row in awkward:
+        groups[WS.sub("", row[1] or "")].append(row)
+    got = kept_rows(corpus_pipeline.exact_dedup_stage, odd)
+    want = [min(rows, key=order) for rows in groups.values()]
+    assert sorted((i is None, i or 0, t or "") for i, t in got) == sorted((i is None, i or 0, t or "") for i, t in want)
+
+
+def test_simhash_stage_on_odd_rows(odd, awkward):
+    """One row's key of each component stays, each as often as it came."""
+    keys = sorted({(i is None, i or 0, t or "") for i, t in awkward})
+    least = least_of_components([(n, k[2]) for n, k in enumerate(keys)])
+    texts_kept = {keys[n][2] for n in least}
+    got = kept_rows(corpus_pipeline.simhash_stage, odd)
+    assert {(i is None, i or 0) for i, _ in got} == {keys[n][:2] for n in least} and {t or "" for _, t in got} == texts_kept
+
+
+def test_suffix_array_stage_on_odd_rows(odd, awkward):
+    got = kept_rows(corpus_pipeline.suffix_array_stage, odd)
+    want = [(i, kept.decode(errors="ignore")) for i, *_, kept in brute(awkward, 50)]
+    assert got == sorted(want, key=str)
+
+
+def test_packing_stage_on_odd_rows(spark, odd, awkward):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in awkward)
+    assert sum(r.length for r in corpus_pipeline.packing_stage(spark, odd, SF).collect()) == want
