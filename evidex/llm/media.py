@@ -8,8 +8,10 @@ frequencies of a cosine transform of the picture shrunk to 32 x 32.
 Defined cases: a null text is the empty text; the payload is the UTF-8 text,
 padded with bytes 255 to a positive multiple of the row width, so an empty
 text is one row of 255; equal texts give equal values; a null or repeated
-doc_id is passed through, one result per row; an empty table gives an empty
-result. Damaged media raise ValueError.
+doc_id is passed through, one result per row; a very long text is one picture,
+whose rows are filtered some at a time; an empty table gives an empty result;
+further columns are ignored, whatever their names. Damaged media raise
+ValueError.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .text import whole
 WIDTH = 576
 #: Bytes of media that one output batch may hold before it is sent on.
 BATCH_BYTES = 16 << 20
+#: Rows of a picture that are filtered at once.
+ROWS_AT_ONCE = 2048
 #: Fixed value: the eight bytes that open a PNG.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -48,16 +52,20 @@ def encode_png(payload: bytes, width: int = WIDTH) -> bytes:
     Each row takes the filter among none, left and up with the least sum of
     absolute differences.
     """
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    left, up = rows.copy(), rows.copy()
-    left[:, 1:] -= rows[:, :-1]
-    up[1:] -= rows[:-1]
-    tried = np.stack([rows, left, up])
-    kind = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
-    out = np.empty((len(rows), width + 1), np.uint8)
-    out[:, 0] = kind
-    out[:, 1:] = tried[kind, np.arange(len(rows))]
-    head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
+    every = np.frombuffer(payload, np.uint8).reshape(-1, width)
+    out = np.empty((len(every), width + 1), np.uint8)
+    for low in range(0, len(every), ROWS_AT_ONCE):
+        rows = every[low : low + ROWS_AT_ONCE]
+        left, up = rows.copy(), rows.copy()
+        left[:, 1:] -= rows[:, :-1]
+        up[1:] -= rows[:-1]
+        if low:
+            up[0] -= every[low - 1]
+        tried = np.stack([rows, left, up])
+        kind = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
+        out[low : low + len(rows), 0] = kind
+        out[low : low + len(rows), 1:] = tried[kind, np.arange(len(rows))]
+    head = struct.pack(">IIBBBBB", width, len(every), 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(out.tobytes())) + _chunk(b"IEND", b"")
 
 
