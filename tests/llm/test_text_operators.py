@@ -54,7 +54,7 @@ def test_line_dedup(docs_of, awkward):
 
 def test_media_round_trip_and_damage():
     rnd = np.random.default_rng(3)
-    for rows in (1, 2, 40):
+    for rows in (1, 2, 40, media.ROWS_AT_ONCE + 3):
         payload = rnd.integers(0, 255, rows * media.WIDTH, np.uint8).tobytes()
         png = media.encode_png(payload)
         assert media.decode_png(png).tobytes() == payload
