@@ -8,7 +8,8 @@ from ..config import EngineConfig
 from ..functions import text as T
 from ..operators import documents, export, reports, review, screening, search, stages, tables, verify
 from ..operators import events as E
-from ..plugins.judge import RuleJudge
+from ..plugins import embedder
+from ..plugins.judge import RuleJudge, cache_entries
 from ..schemas import DRAFT
 from ..sources import readers
 from . import fixtures as X
@@ -707,3 +708,69 @@ def doc_outline(spark, d):
 def frontmatter(spark, d):
     m = documents.frontmatter(F.col("text"))
     return _markdown(spark, d).select("id", m["title"].alias("title"), m["tags"].alias("tags"), F.size(m).cast("long").alias("n"))
+
+
+@query("discovery_items", """select 'u' || cast(doc_id // 3 as varchar) as url, min(doc_id) as first, case when min(doc_id) % 2 = 0 then 'A' else 'C' end as source_class from documents group by doc_id // 3""")
+def discovery_items(spark, d):
+    """Three answers of a discovery service for each address; the earliest stays, its class follows its publisher."""
+    i = F.col("doc_id")
+    publisher = F.when(i % 2 == 0, "Acme Official").otherwise("Blog")
+    answers = table(spark, d, "documents").select(F.concat(F.lit("u"), F.floor(i / 3).cast("string")).alias("url"), i.cast("string").alias("title"), publisher.alias("publisher"), F.lpad(i.cast("string"), 9, "0").alias("published"))
+    return readers.discovery_items(answers, ("Official",)).select("url", F.col("title").cast("long").alias("first"), "source_class")
+
+
+@query("cache_entries", "select 'k' || cast(doc_id % 50 as varchar) as key, cast(max(doc_id) as varchar) as value from documents where doc_id % 7 <> 0 group by 1")
+def cache_lines(spark, d):
+    """A log of answers in which every seventh line is cut off."""
+    i = F.col("doc_id")
+    line = F.to_json(F.struct(F.concat(F.lit("k"), (i % 50).cast("string")).alias("key"), i.cast("string").alias("value")))
+    return cache_entries(table(spark, d, "documents").select(i.alias("n"), F.when(i % 7 == 0, F.left(line, F.lit(9))).otherwise(line).alias("line")))
+
+
+@query("page_metrics", """select page_id, length(html) - length(regexp_replace(html, '[\u4e00-\u9fff]', '', 'g')) as cjk, contains(lower(html), 'captcha') or contains(lower(html), 'access denied') or contains(lower(html), 'subscribe to continue') as blocked from pages""")
+def page_metrics(spark, d):
+    m = documents.page_metrics(F.col("html"))
+    return table(spark, d, "pages").select("page_id", m["cjk"].cast("long").alias("cjk"), m["blocked"].alias("blocked"))
+
+
+@query("title_prefilter", f"with {SQL_ITEMS} select cast(item_id as varchar) as id, case when not contains(title, 'an') then 'title' end as prefilter_drop from items")
+def title_prefilter(spark, d):
+    return readers.title_prefilter(_items(spark, d), ("an",)).select("id", "prefilter_drop")
+
+
+@query("title_suspects", f"""with {SQL_EVENTS}, w as (select event_id, list_distinct(regexp_extract_all(lower(company || ' group event ' || chr(cast(97 + event_id % 26 as int)) || 'xx'), '[a-z]{{3,}}')) as s from ev where confidence = 1)
+    select cast(least(a.event_id, b.event_id) as varchar) as a, cast(greatest(a.event_id, b.event_id) as varchar) as b from w a join w b on a.event_id < b.event_id
+    where len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.9""")
+def title_suspects(spark, d):
+    """Events whose titles share nearly all of their words."""
+    from ..operators.similarity import jaccard_pairs
+
+    title = F.concat(F.col("company"), F.lit(" group event "), F.expr("char(97 + event_id % 26)"), F.lit("xx"))
+    sets = X.events(spark, d).where("confidence = 1").select(F.col("event_id").alias("id"), T.sliding_tokens(title).alias("s"))
+    return jaccard_pairs(sets, "id", "s", 0.9).select(_text("a").alias("a"), _text("b").alias("b"))
+
+
+@query("vector_keys", f"with {SQL_ITEMS} select cast(item_id as varchar) as id, substr(sha1('m|match|' || left(trim(title || '。' || left(text, 600), ' '), 1600)), 1, 20) as key from items")
+def vector_keys(spark, d):
+    """Under which key the vector of an item's text is known."""
+    text = embedder.item_text(F.col("title"), F.col("content"))
+    return _items(spark, d).select("id", embedder.cache_key(text, "m", "match").alias("key"))
+
+
+@query("event_texts", f"""with {SQL_EVENTS}, f as (select event_id, 'text of ' || cast(item_id as varchar) as text, row_number() over (partition by event_id order by 'c' || cast(item_id as varchar)) as rank from items where item_id % 4 <> 0)
+    select cast(e.event_id as varchar) as id, 'title ' || cast(e.event_id as varchar) || '。' || coalesce((select string_agg(' ' || text, '' order by rank) from f where f.event_id = e.event_id and rank <= 2), '') as text from ev e""")
+def event_texts(spark, d):
+    return embedder.event_text(_events(spark, d), _claims(spark, d))
+
+
+@query("embed_known", "select vec_id as id, case when vec_id % 2 = 0 then 'known' when vec_id % 3 = 0 then 'none' else 'new' end as how from embeddings")
+def embed_known(spark, d):
+    """Every other text is in the cache, of the others the embedder can't do every third."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("text "), _text("vec_id")).alias("text"))
+    known = rows.where("id % 2 = 0").select(embedder.cache_key(F.col("text"), "m", "match").alias("cache_key"), F.array(F.lit(1.0)).alias("vector"))
+    vectors, _ = embedder.embed(rows, "id", "text", known, _two_or_nothing, "m")
+    return vectors.select("id", F.when(F.col("vector").isNull(), "none").when(F.col("vector")[0] == 1.0, "known").otherwise("new").alias("how"))
+
+
+def _two_or_nothing(texts: list[str]) -> list:
+    return [None if int(t.split()[1]) % 3 == 0 else [2.0] for t in texts]

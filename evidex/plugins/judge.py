@@ -111,6 +111,12 @@ def token_cost(tokens_in, tokens_out):
     return F.bround(tokens_in / 1e6 * 2 + tokens_out / 1e6 * 3, 4)
 
 
+def cache_entries(lines: DataFrame) -> DataFrame:
+    """(key, value) of a log of JSON lines (n, line): lines that don't parse or lack a key are skipped, the last of a key stays."""
+    entry = F.from_json("line", "key string, value string")
+    return latest_cache(lines.select("n", entry.alias("e")).select("n", "e.key", "e.value"), "key", "value", "n")
+
+
 def latest_cache(log: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """The last value written for each key; broken values are skipped."""
     good = log.where(F.col(key).isNotNull() & F.col(value).isNotNull())
