@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import counterparts
+from .conversations import damaged, repair_report
 from .exact_dedup import exact_dedup
 from .licences import licence_scan
 from .licences import oracle as licence_oracle
 from .line_dedup import line_dedup
 from .media import media_column, media_features
+from .merkle import folded, manifest, proof_digest, tampered
+from .mixing import label_weights, mix
 from .packing import pack
 from .piece_codec import decoded_digest, encode_pieces
 from .repeats import remove_repeats
@@ -73,6 +77,22 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(_documents(spark, sf_dir), label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    again = folded(F.col("changed"), F.col("places"), F.col("proof")).alias("folded_root")
+    told = manifest(docs, tampered(docs)).select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), again)
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_licence_scan": op2_licence_scan,
@@ -84,9 +104,15 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_repeats": op10_repeats,
+    "op11_mixing": op11_mixing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
+    "op11_mixing": counterparts.mixing(),
+    "op12_merkle_manifest": counterparts.merkle(),
+    "op13_conversation_repair": counterparts.conversations(),
     "op10_repeats": r"""
         with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(encode(coalesce(text, ''))) as n from documents),
         w as (select doc_id, p, array_slice(b, p + 1, p + 50) as w from d, unnest(range(n - 49)) as t(p)),
