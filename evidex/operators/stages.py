@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import present
+from ..plugins.answers import AnswerLog
 from ..plugins.judge import Judge, ask
 from . import events as E
 from .review import flag_once
@@ -29,7 +30,7 @@ def reject_rows(rows: DataFrame, run_id: str, stage: str, reason: str, detail: C
     )
 
 
-def semantic_dedup(items: DataFrame, vectors: DataFrame, judge: Judge, config: EngineConfig, since: Column, run_id: str, at: Column, size: int = 6) -> dict[str, DataFrame]:
+def semantic_dedup(items: DataFrame, vectors: DataFrame, judge: Judge, config: EngineConfig, since: Column, run_id: str, at: Column, size: int = 6, log: AnswerLog | None = None) -> dict[str, DataFrame]:
     """S1b: pending items against each other and the recent pool; the later side of a judged copy is rejected.
 
     ``items``: id, title, content, url, status, published_at, discovered_at; ``vectors``: id, vector.
@@ -45,7 +46,7 @@ def semantic_dedup(items: DataFrame, vectors: DataFrame, judge: Judge, config: E
     )
     asked = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("place", F.struct((-F.col("cosine")).alias("far"), "a", "b"))
     rows = asked.select("a", "b", "cosine", "a_at", "b_at", "place", "title_a", "text_a", "title_b", "text_b")
-    answers = ask(rows.drop("place", "a_at", "b_at"), judge, "syndication", ["a", "b"], size)
+    answers = ask(rows.drop("place", "a_at", "b_at"), judge, "syndication", ["a", "b"], size, log)
     dup = F.coalesce(F.from_json("answer", "dup boolean")["dup"], F.lit(False))
     drops = E.semantic_drops(rows.join(answers, ["a", "b"]).select("place", "a", "b", "a_at", "b_at", dup.alias("dup")))
     gone = drops.select("id", "merged_into")
@@ -138,7 +139,7 @@ def merge_across(tables: dict[str, DataFrame], duplicates: DataFrame, suspects:
     }
 
 
-def relate(events: DataFrame, claims: DataFrame, edges: DataFrame, reviews: DataFrame, vectors: DataFrame, judge: Judge, config: EngineConfig, since: Column, at: Column, size: int = 8) -> dict[str, DataFrame]:
+def relate(events: DataFrame, claims: DataFrame, edges: DataFrame, reviews: DataFrame, vectors: DataFrame, judge: Judge, config: EngineConfig, since: Column, at: Column, size: int = 8, log: AnswerLog | None = None) -> dict[str, DataFrame]:
     """S6b: new edges, and review rows for pairs without a relation, among near but different events.
 
     ``vectors``: id, vector. Pairs that were answered before are not asked again.
@@ -151,7 +152,7 @@ def relate(events: DataFrame, claims: DataFrame, edges: DataFrame, reviews: Data
     told = events.select("id", "company", "title", "event_date").join(facts, "id", "left")
     side = lambda c: told.select(F.col("id").alias(c), *(F.col(x).cast("string").alias(f"{x}_{c}") for x in ("company", "title", "event_date", "facts")))
     rows = todo.join(side("a"), "a").join(side("b"), "b")
-    answers = ask(rows, judge, "relate", ["a", "b"], size).where("answer is not null")
+    answers = ask(rows, judge, "relate", ["a", "b"], size, log).where("answer is not null")
     said = F.from_json("answer", "relation string, `from` string, basis string")
     verdicts = answers.select("a", "b", said["relation"].alias("relation"), F.upper(said["from"]).alias("source"), said["basis"].alias("basis"))
     new, none = E.accepted_relations(verdicts)

@@ -14,6 +14,7 @@ from ..functions.vector import from_base64, quantise, to_base64
 from ..operators import dedup, reports, review, search, similarity, tables, verify
 from ..operators import events as E
 from ..plugins.judge import batches, latest_cache
+from ..shared import shared_folder
 from ..sources import readers
 from . import fixtures as X
 from .fixtures import AI_TERMS, INDUSTRY_TERMS, SQL_EDGES, SQL_EVENTS, SQL_ITEMS, table, when
@@ -34,13 +35,9 @@ def query(name: str, sql: str | None = None):
 
 
 def written(spark: SparkSession):
-    """Reliable checkpoints between rounds of iterative operators; a local folder serves a local session alone."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    """Reliable checkpoints between rounds of iterative operators, in the folder that executors share."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return lambda df: df.checkpoint()
 
 

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import documents, export, reports, review, screening, search, stages, tables, verify
 from ..operators import events as E
 from ..plugins import embedder
+from ..plugins.answers import AnswerLog
 from ..plugins.judge import RuleJudge, cache_entries
 from ..schemas import DRAFT
 from ..sources import readers
@@ -305,6 +306,22 @@ def prescreen_judged(spark, d):
     return screening.prescreen(_items(spark, d).withColumn("status", F.lit("pending")), RuleJudge(_keep_rule)).select("id", "status", "why")
 
 
+@query("answer_log", f"""with {SQL_ITEMS} select md5(text) as text_md5, case when min(discovered_at) < timestamp '{X.REPORTED_FROM}' then 'first run' else 'second run' end as asked_in,
+    cast('0x' || substr(md5(text), 1, 1) as int) % 3 = 0 as keep from items group by md5(text)""")
+def answer_log(spark, d):
+    """Two runs ask about texts, the second about all of them; each text is asked about once, in the run that first sees it."""
+    items = X.items(spark, d).select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "discovered_at")
+    log = AnswerLog(spark)
+    for name, seen in (("first run", items.where(F.col("discovered_at") < when(X.REPORTED_FROM))), ("second run", items)):
+        log.ask(seen.select("text_md5"), RuleJudge(_digit_rule), "digit", ["text_md5"], 50, name)
+    told = F.from_json("answer", "text_md5 string, keep boolean")
+    return log.read().select(told.alias("t"), "asked_in").select("t.text_md5", "asked_in", "t.keep")
+
+
+def _digit_rule(row: dict) -> dict:
+    return {"text_md5": row["text_md5"], "keep": int(row["text_md5"][0], 16) % 3 == 0}
+
+
 def _stage_rule(row: dict) -> dict:
     return {"stage": None if int(row["id"]) % 5 == 0 else f"s{int(row['id']) % 4}"}
 

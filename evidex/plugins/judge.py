@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
+from .answers import AnswerLog
+
 
 class Judge(Protocol):
     """Answers one batch: a list of dicts in, a JSON text out."""
@@ -77,33 +79,16 @@ def with_retries(judge: Judge, tries: int = 3, wait: Callable[[int], None] = lam
 
 def batches(rows: DataFrame, size: int, *order: str, within: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with batch (from 0) and i (place in the batch), in a total order, inside groups if given."""
-    place = F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.floor(place / size).cast("long")).withColumn("i", (place % size).cast("int"))
+    placed = numbered(rows, order, within, "_place")
+    return placed.select(*rows.columns, F.floor(F.col("_place") / size).cast("long").alias("batch"), (F.col("_place") % size).cast("int").alias("i"))
 
 
-def ask(rows: DataFrame, judge: Judge, task: str, keys: list[str], size: int) -> DataFrame:
-    """(keys, answer): every batch of each partition is put to the judge; answer is null where it failed.
+def ask(rows: DataFrame, judge: Judge, task: str, keys: list[str], size: int, log: AnswerLog | None = None) -> DataFrame:
+    """(keys, answer): what ``log`` doesn't hold is put to the judge in batches of ``size``, once, before this returns.
 
-    An answer is a list with one element for a row, or has an element's place in ``i``.
+    The frame reads the log, so reading it again asks nothing; answer is null where the judge failed.
     """
-    fields = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for low in range(0, len(frame), size):
-                part = frame.iloc[low : low + size]
-                try:
-                    found = json.loads(judge.answer(task, part.to_dict("records")))
-                    if isinstance(found, dict):
-                        found = found.get("results") or found.get("pairs") or []
-                    by_place = {v.get("i", n) if isinstance(v, dict) else n: v for n, v in enumerate(found)}
-                except Exception:
-                    by_place = {}
-                out = part[keys].copy()
-                out["answer"] = [json.dumps(by_place[n]) if n in by_place else None for n in range(len(part))]
-                yield out
-
-    return rows.mapInPandas(run, f"{fields}, answer string")
+    return (log or AnswerLog(rows.sparkSession)).ask(rows, judge, task, keys, size)
 
 
 def token_cost(tokens_in, tokens_out):
