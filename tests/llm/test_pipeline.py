@@ -124,12 +124,12 @@ def test_exact_stage_on_odd_rows(odd, awkward):
     assert sorted((i is None, i or 0, t or "") for i, t in got) == sorted((i is None, i or 0, t or "") for i, t in want)
 
 
-def test_simhash_stage_on_odd_rows(odd, awkward):
+def test_near_copies_stage_on_odd_rows(odd, awkward):
     """One row's key of each component stays, each as often as it came."""
     keys = sorted({(i is None, i or 0, t or "") for i, t in awkward})
     least = least_of_components([(n, k[2]) for n, k in enumerate(keys)])
     texts_kept = {keys[n][2] for n in least}
-    got = kept_rows(corpus_pipeline.simhash_stage, odd)
+    got = kept_rows(corpus_pipeline.near_copies_stage, odd)
     assert {(i is None, i or 0) for i, _ in got} == {keys[n][:2] for n in least} and {t or "" for _, t in got} == texts_kept
 
 
