@@ -5,13 +5,16 @@ reason. Addresses, titles and fingerprints count only against rows that were
 accepted, in earlier runs or earlier in this one, which makes the accepted
 rows the first maximal independent set of the conflict graph in that order.
 It is found by rounds: a row whose earlier neighbours are all rejected is
-accepted, a row with an earlier accepted neighbour is rejected. Neighbours are
-never listed: an address, a title or a fingerprint carries the least accepted
-and the least open ``seq`` of its rows.
+accepted, a row with an earlier accepted neighbour is rejected. Rows of one
+address, title or fingerprint are not paired: each of these carries the least
+accepted and the least open ``seq`` of its rows. Different fingerprints of the
+new rows that are near are listed as pairs.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from ..config import TRUSTED_TIME, EngineConfig
 from ..functions.simhash import simhash_value
 from ..functions.text import keyword_gate, normalize_plain_title, normalize_title, present
 from ..functions.url import canonical_url, item_id
+from .comparators import ComparatorIndex, against_history
 from .similarity import hamming_pairs
 
 
@@ -39,17 +43,20 @@ def prepare(raw: DataFrame, config: EngineConfig, window_start: Column, entities
     ).withColumn("late_reason", F.when(F.coalesce(stale, F.lit(False)), "stale").when(~F.col("gate.passes"), "off_topic"))
 
 
-def layered_dedup(rows: DataFrame, known: DataFrame, threshold: int, write) -> DataFrame:
+def layered_dedup(rows: DataFrame, known: DataFrame | ComparatorIndex, threshold: int, write) -> DataFrame:
     """(seq, reason, dup_of): reason is null for accepted rows, dup_of the earliest accepted one that stands against it.
 
-    ``rows`` as of prepare(); ``known``: seq (negative), url_canonical, title_norm,
-    simhash of accepted items of earlier runs. ``write`` materialises a frame.
+    ``rows`` as of prepare(); ``known``: seq (before all of ``rows``), url_canonical,
+    title_norm, simhash of accepted items of earlier runs, or an index of them.
+    History is met by the keys of ``rows`` once, and never with itself; a round
+    reads the rows that are open and what the round before accepted. ``write``
+    materialises a frame.
     """
-    cols = ["seq", "url_canonical", "title_norm", "simhash"]
+    cols, kinds = ["seq", "url_canonical", "title_norm", "simhash"], ("url_canonical", "title_norm", "simhash")
     early = rows.where("early_reason is not null").select("seq", F.col("early_reason").alias("reason"), F.lit(None).cast("long").alias("dup_of"))
-    live = write(rows.where("early_reason is null").select(*cols, "late_reason"))
-    graph = live.where("late_reason is null").select(*cols, F.lit("open").alias("state"))
-    graph = write(graph.unionByName(known.select(*cols, F.lit("accepted").alias("state"))))
+    live = write(against_history(rows.where("early_reason is null").select(*cols, "late_reason"), known, threshold))
+    graph = live.where("late_reason is null").select(*cols, *(f"{k}_stood" for k in kinds), F.lit("open").alias("state"))
+    graph = write(graph)
     pairs = hamming_pairs(graph, "simhash", threshold)
     near = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = write(near.union(graph.select(F.col("simhash").alias("a"), F.col("simhash").alias("b")).distinct()))
@@ -61,7 +68,7 @@ def layered_dedup(rows: DataFrame, known: DataFrame, threshold: int, write) -> D
         )
 
     def faced(frame: DataFrame, graph: DataFrame) -> DataFrame:
-        """``frame`` with the earliest accepted and open rows that it conflicts with."""
+        """``frame`` with the earliest accepted and open rows of ``graph`` that it conflicts with."""
         by_print = least(graph, "simhash").withColumnRenamed("simhash", "b")
         by_print = near.join(by_print, "b").groupBy("a").agg(
             F.min("simhash_accepted").alias("simhash_accepted"), F.min("simhash_open").alias("simhash_open")
@@ -69,16 +76,19 @@ def layered_dedup(rows: DataFrame, known: DataFrame, threshold: int, write) -> D
         out = frame.join(least(graph, "url_canonical"), "url_canonical", "left").join(least(graph, "title_norm"), "title_norm", "left")
         return out.join(by_print.withColumnRenamed("a", "simhash"), "simhash", "left")
 
-    kinds = ("url_canonical", "title_norm", "simhash")
+    taken = []
     while graph.where("state = 'open'").limit(1).count():
-        against = F.least(*(F.col(f"{k}_accepted") for k in kinds), F.lit(1 << 62))
+        stood = {k: F.least(F.col(f"{k}_stood"), F.col(f"{k}_accepted")) for k in kinds}
+        against = F.least(*stood.values(), F.lit(1 << 62))
         before = F.least(*(F.col(f"{k}_open") for k in kinds), F.lit(1 << 62))
         # What is accepted and earlier rejects; without anything open and earlier the row is accepted.
         step = F.when(against < F.col("seq"), "rejected").when(before >= F.col("seq"), "accepted").otherwise("open")
-        decided = faced(graph.where("state = 'open'"), graph).select(*cols, step.alias("state"))
-        graph = write(graph.where("state = 'accepted'").unionByName(decided.where("state <> 'rejected'")))
-    final = faced(live, graph)
-    hit = lambda k: F.when(F.col(f"{k}_accepted") < F.col("seq"), F.col(f"{k}_accepted"))
+        decided = faced(graph.where("state = 'open'"), graph).select(*cols, *(v.alias(f"{k}_stood") for k, v in stood.items()), step.alias("state"))
+        graph = write(decided.where("state <> 'rejected'"))
+        taken.append(graph.where("state = 'accepted'").select(*cols, "state"))
+    accepted = reduce(DataFrame.unionByName, taken, graph.where("false").select(*cols, "state"))
+    final = faced(live, accepted)
+    hit = lambda k: F.least(F.col(f"{k}_stood"), F.when(F.col(f"{k}_accepted") < F.col("seq"), F.col(f"{k}_accepted")))
     url, title, near_hit = (hit(k) for k in kinds)
     reason = (
         F.when(url.isNotNull(), "duplicate_url")

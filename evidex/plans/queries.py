@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from ..functions.simhash import simhash, simhash_hex
 from ..functions.vector import from_base64, quantise, to_base64
 from ..operators import dedup, reports, review, search, similarity, tables, verify
 from ..operators import events as E
+from ..operators.comparators import ComparatorIndex
 from ..plugins.judge import batches, latest_cache
 from ..shared import shared_folder
 from ..sources import readers
@@ -243,6 +245,23 @@ def layered_dedup(spark, d):
     return _decisions(spark, d).select("seq", "reason")
 
 
+@query("layered_dedup_history", f"{_SQL_FOLD} select seq, nullif(reason, 'accepted') as reason from fold where n > 0")
+def layered_dedup_history(spark, d):
+    """The lower half of the ids is a run of its own; the other half is held against the index of what that accepted."""
+    from ..config import EngineConfig
+
+    config = EngineConfig(ai_terms=AI_TERMS, industry_terms=INDUSTRY_TERMS)
+    keep = written(spark)
+    rows = keep(dedup.prepare(X.raw_items(spark, d), config, when(X.OBSERVED_FROM), entities=False))
+    half = (rows.agg(F.max("seq")).first()[0] or 0) // 2
+    index = ComparatorIndex(spark, f"{shared_folder(spark)}/comparators-{uuid.uuid4().hex}", config.hamming_threshold)
+    decided = []
+    for batch, part in enumerate((rows.where(F.col("seq") <= half), rows.where(F.col("seq") > half))):
+        decided.append(keep(dedup.layered_dedup(part, index.before(batch), config.hamming_threshold, keep)))
+        index.add(part.join(decided[-1].where("reason is null"), "seq", "left_semi"), batch)
+    return decided[0].unionByName(decided[1]).select("seq", "reason")
+
+
 @query("reject_funnel", f"{_SQL_FOLD} select reason, count(*) as n from fold where n > 0 group by reason")
 def reject_funnel(spark, d):
     return dedup.funnel(_decisions(spark, d))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..operators.comparators import ComparatorIndex
 from ..operators.dedup import layered_dedup, prepare
 
 RAW = "url string, title string, content string, published_at timestamp_ntz, time_source string, prefilter_drop string, seq long"
-KNOWN = "seq long, url_canonical string, title_norm string, simhash long"
 
 
 def raw_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> DataFrame:
@@ -17,33 +16,23 @@ def raw_stream(spark: SparkSession, folder: str, files_at_once: int = 100) -> Da
     return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_at_once).json(folder)
 
 
-def accepted(spark: SparkSession, folder: str) -> DataFrame:
-    """Comparators of earlier batches; they never expire, so they are a table, not streaming state."""
-    try:
-        return spark.read.schema(KNOWN + ", batch long").parquet(f"{folder}/accepted")
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], KNOWN + ", batch long")
-
-
 def dedup_batch(config: EngineConfig, folder: str, window_start):
     """A foreachBatch function: accepted rows and the ledger, one partition for each batch.
 
-    A batch that is run again overwrites its own partition and compares only
-    with earlier ones, so a restart changes nothing.
+    Accepted rows go into an index, which never expires, so it is a table and
+    not streaming state. A batch that is run again overwrites its own partition
+    and compares only with earlier ones, so a restart changes nothing.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         keep = lambda df: df.checkpoint()
+        index = ComparatorIndex(batch.sparkSession, f"{folder}/comparators", config.hamming_threshold)
         rows = keep(prepare(batch, config, window_start))
-        known = accepted(spark, folder).where(F.col("batch") < number)
         # Earlier rows come before all of this batch, whatever their numbers were.
-        earlier = known.select((F.col("seq") - (1 << 61)).alias("seq"), "url_canonical", "title_norm", "simhash")
-        decided = keep(layered_dedup(rows, earlier, config.hamming_threshold, keep))
-        new = rows.join(decided.where("reason is null").select("seq"), "seq", "left_semi")
-        new.select("seq", "url_canonical", "title_norm", "simhash").write.mode("overwrite").parquet(f"{folder}/accepted/batch={number}")
+        decided = keep(layered_dedup(rows, index.before(number, -(1 << 61)), config.hamming_threshold, keep))
+        new = keep(rows.join(decided.where("reason is null").select("seq"), "seq", "left_semi").select("seq", "url_canonical", "title_norm", "simhash"))
+        index.add(new, number)
+        new.write.mode("overwrite").parquet(f"{folder}/accepted/batch={number}")
         lost = rows.join(decided.where("reason is not null"), "seq").select("seq", "item_id", "url", "title", "reason", "dup_of")
         lost.write.mode("overwrite").parquet(f"{folder}/rejects/batch={number}")
 
