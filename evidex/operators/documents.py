@@ -88,12 +88,13 @@ def numbered_reports(reports: DataFrame) -> DataFrame:
 
 def page_metrics(text: Column) -> Column:
     """(cjk, items, blocked) of a fetched page: visible Chinese length, feed items, signs of a wall."""
-    lower = F.lower(text)
+    shown = F.regexp_replace(text, r"(?is)<(script|style|noscript).*?</\1>", " ")
+    lower, visible = F.lower(text), F.regexp_replace(shown, r"(?s)<[^>]+>", " ")
     walls = F.lit(False)
     for sign in ("subscribe to continue", "captcha", "access denied", "请登录", "付费"):
         walls = walls | F.contains(lower, F.lit(sign))
     return F.struct(
-        F.regexp_count(text, F.lit(r"[\x{4E00}-\x{9FFF}]")).alias("cjk"),
+        F.regexp_count(visible, F.lit(r"[\x{4E00}-\x{9FFF}]")).alias("cjk"),
         F.regexp_count(lower, F.lit(r"<(?:item|entry)[\s>]")).alias("items"),
         walls.alias("blocked"),
     )

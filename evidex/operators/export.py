@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
 from .reports import source_health
 
 #: Channels that the list of sources counts, and rows that lists show.
@@ -126,15 +127,33 @@ def in_scope(events: DataFrame, companies: Column, domains: Column) -> DataFrame
     return asked.where(by_company & by_domain).drop("_companies", "_domains")
 
 
-def checked_turns(turns: DataFrame, by: str, role: str, text: str, most_chars: int = 24_000) -> DataFrame:
-    """(by, problem): what is wrong with a conversation that is put to an event, null if nothing is.
+#: Messages of a request, characters of a question, an answer and all texts, bytes of the request.
+MOST_TURNS, QUESTION_CHARS, ANSWER_CHARS, ALL_CHARS, BODY_BYTES = 21, 2000, 8000, 24_000, 80_000
+#: What counts as empty: white space of any script.
+BLANK = r"^[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*$"
 
-    Roles are user and assistant, no text is empty, the last turn is a user's, and the texts fit in all.
+
+def units(text: Column) -> Column:
+    """Length in 16-bit units, as a browser counts."""
+    return F.char_length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def checked_turns(turns: DataFrame, by: str, turn: str, role: str, text: str) -> DataFrame:
+    """(by, problem): why a conversation that is put to an event is refused, null if it isn't.
+
+    A request that is too large is refused as such. Else there is an odd number
+    of messages, 21 at most; a user's and an assistant's alternate, the user
+    begins; none is blank; questions, answers and all of them have a greatest length.
     """
-    bad_role = F.bool_or(~F.col(role).isin("user", "assistant") | F.col(role).isNull())
-    empty = F.bool_or(F.trim(F.coalesce(text, F.lit(""))) == "")
-    last = F.max_by(role, "turn")
-    size = F.sum(F.char_length(text))
-    found = turns.groupBy(by).agg(bad_role.alias("r"), empty.alias("e"), last.alias("l"), size.alias("s"))
-    problem = F.when(F.col("r"), "role").when(F.col("e"), "empty").when(F.col("l") != "user", "last").when(F.col("s") > most_chars, "length")
+    rows = turns.select(by, F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
+    placed = numbered(rows, ["turn", "role", "content"], [by], "_i")
+    due = F.when(F.col("_i") % 2 == 0, "user").otherwise("assistant")
+    most = F.when(F.col("role") == "user", QUESTION_CHARS).otherwise(ANSWER_CHARS)
+    wrong = ~F.col("role").eqNullSafe(due) | F.col("content").isNull() | F.coalesce(F.rlike("content", F.lit(BLANK)), F.lit(True)) | (units(F.col("content")) > most)
+    message = F.octet_length(F.to_json(F.struct("role", "content"))) + 1
+    found = placed.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(wrong).alias("wrong"), F.sum(units(F.col("content"))).alias("size"), (F.sum(message) + len('{"messages":[]}') - 1).alias("bytes"),
+    )
+    invalid = (F.col("n") > MOST_TURNS) | (F.col("n") % 2 != 1) | F.col("wrong") | (F.col("size") > ALL_CHARS)
+    problem = F.when(F.col("bytes") > BODY_BYTES, "body_too_large").when(invalid, "invalid_messages")
     return found.select(by, problem.alias("problem"))

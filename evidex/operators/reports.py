@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.url import display_host
+from .ordered import as_of, row_before
+
+#: Characters of an item's body that its event shows.
+EXCERPT_CHARS = 400
+
 
 def week_of(day: Column) -> Column:
     """Monday of the day's week."""
@@ -42,18 +48,29 @@ def needs_report(reports: DataFrame, period_start: Column, period_end: Column) -
 
 def previous_report(reports: DataFrame, columns: list[str]) -> DataFrame:
     """Each report with what the latest earlier one said, as prev_<column>."""
-    before = Window.orderBy("period_start")
-    earlier = [F.lag(c).over(before).alias(f"prev_{c}") for c in columns]
-    return reports.select("*", *earlier)
+    found = row_before(reports, ["period_start"], (), columns, "_before")
+    return found.select(*reports.columns, *(F.col(f"_before.{c}").alias(f"prev_{c}") for c in columns))
+
+
+def previous_watchlist(reports: DataFrame, start: Column) -> DataFrame:
+    """(place, text): what the latest report before ``start`` watches; its entries are objects with a text, or texts."""
+    last = reports.where(F.col("period_start") < start).agg(F.max_by("body", "period_start").alias("body"))
+    entry = F.coalesce(F.get_json_object("w", "$.text"), F.when(~F.startswith(F.ltrim("w"), F.lit("{")), F.col("w")), F.lit(""))
+    listed = last.select(F.posexplode(F.from_json("body", "watchlist array<string>")["watchlist"]).alias("place", "w"))
+    return listed.select("place", entry.alias("text"))
+
+
+def normal_summary(value: Column) -> Column:
+    """A domain's {summary, watch}: a judge may give the summary alone as a text."""
+    parsed = F.from_json(value, "summary string, watch string")
+    is_object = F.startswith(F.ltrim(value), F.lit("{")) & F.get_json_object(value, "$").isNotNull()
+    return F.when(is_object, F.struct(parsed["summary"].alias("summary"), parsed["watch"].alias("watch"))).otherwise(F.struct(value.alias("summary"), F.lit("").alias("watch")))
 
 
 def previous_asof(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """As-of join: the last ``value`` of ``right`` strictly before each row of ``left``, inside ``by``."""
-    marked = left.select(by, at, F.lit(1).alias("side"), F.lit(None).cast(dict(right.dtypes)[value]).alias(value), F.struct(*left.columns).alias("row"))
-    given = right.select(by, at, F.lit(2).alias("side"), value, F.lit(None).cast(marked.schema["row"].dataType).alias("row"))
-    earlier = Window.partitionBy(by).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, -1)
-    both = marked.unionByName(given).withColumn(f"prev_{value}", F.last(value, ignorenulls=True).over(earlier))
-    return both.where("side = 1").select("row.*", f"prev_{value}")
+    found = as_of(left, right.where(F.col(value).isNotNull()), at, [by], [value], "_asof")
+    return found.select(*left.columns, F.col(f"_asof.{value}").alias(f"prev_{value}"))
 
 
 def sanitize_evidence(findings: DataFrame, known: DataFrame) -> DataFrame:
@@ -91,19 +108,50 @@ def source_health(sources: DataFrame, items: DataFrame, rejects: DataFrame) -> D
     )
 
 
-def event_documents(events: DataFrame, claims: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, document): one JSON text for each event with its claims, items and edges in both directions."""
-    listed = lambda df, key, *cols: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))))
-    c = listed(claims, "event_id", "kind", "id", "text").toDF("id", "claims")
-    i = listed(items, "event_id", "published_at", "id", "url", "title").toDF("id", "items")
-    out = edges.select(F.col("from_event").alias("id"), F.lit("out").alias("direction"), F.col("to_event").alias("other"), "relation", "basis")
-    back = edges.select(F.col("to_event").alias("id"), F.lit("in").alias("direction"), F.col("from_event").alias("other"), "relation", "basis")
-    alive = events.select(F.col("id").alias("other"))
-    ends = out.unionByName(back).join(alive, "other", "left_semi").dropDuplicates(["id", "other", "relation"])
-    e = ends.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((F.col("relation") != "follows").alias("later"), "other", "relation", "direction", "basis"))).alias("edges"))
-    return events.join(c, "id", "left").join(i, "id", "left").join(e, "id", "left").select(
-        "id", F.to_json(F.struct(*events.columns, *(F.coalesce(x, F.array()).alias(x) for x in ("claims", "items", "edges")))).alias("document")
-    )
+CLAIM = ("id", "text", "source_item_id", "attributed_to", "audience", "needs_internal_data")
+ITEM = ("id", "title", "url", "source_id", "source_class", "effective_class", "original_source", "published_at", "time_source", "discovered_at", "channel")
+#: Fixed value: the name of a source without a registration and without a host.
+UNKNOWN_SOURCE = "来源未知"
+
+
+def event_documents(events: DataFrame, claims: DataFrame, items: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(id, document): one JSON text for each event with its claims by kind, its items and its edges in both directions.
+
+    Claims come by id, items by their dates, edges those that follow first, then
+    by the other event's date, one for each other event and relation. Edges to
+    events that are gone, or to the event itself, are left out. An item's source
+    is its registered name, else its host.
+    """
+    known = lambda df, names: [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in names]
+    listed = lambda df, key, name, *cols: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name)).withColumnRenamed(key, "_id")
+    parts = [
+        listed(claims.where(F.col("kind") == kind).select("event_id", *known(claims, CLAIM)), "event_id", name, *CLAIM)
+        for kind, name in (("fact", "facts"), ("inference", "inferences"), ("recommendation", "recommendations"))
+    ]
+    named = items.select("event_id", *known(items, ITEM), *([F.left("content", F.lit(EXCERPT_CHARS)).alias("excerpt")] if "content" in items.columns else [F.lit("").alias("excerpt")]))
+    if sources is not None:
+        said = sources.select(F.col("id").alias("source_id"), F.col("name").alias("_name"), F.coalesce("partial_content", F.lit(False)).alias("partial_content"))
+        named = named.join(said, "source_id", "left")
+    else:
+        named = named.withColumn("_name", F.lit(None).cast("string")).withColumn("partial_content", F.lit(False))
+    host = F.nullif(display_host(F.coalesce(F.col("url"), F.lit(""))), F.lit(""))
+    named = named.withColumn("source_name", F.coalesce("_name", host, F.lit(UNKNOWN_SOURCE))).withColumn("registered", F.col("_name").isNotNull()).fillna(False, ["partial_content"])
+    # A text sorts as the document has it: what has no date comes first.
+    shown = [F.coalesce(F.col("published_at").cast("string"), F.lit("")).alias("_at"), *ITEM, "source_name", "registered", "partial_content", "excerpt"]
+    parts.append(listed(named, "event_id", "items", *shown).withColumn("items", F.transform("items", lambda x: x.dropFields("_at"))))
+    more = [c for c in ("basis", "created_by") if c in edges.columns]
+    end = lambda own, direction, other: edges.select(F.col(own).alias("_id"), F.lit(direction).alias("direction"), F.col(other).alias("other"), "relation", *more)
+    ends = end("from_event", "out", "to_event").unionByName(end("to_event", "in", "from_event")).where("_id <> other")
+    ends = ends.groupBy("_id", "other", "relation").agg(F.max(F.struct("direction", *more)).alias("e")).select("_id", "other", "relation", "e.*")
+    meta = events.select(F.col("id").alias("other"), *known(events, ("title", "company", "event_date")))
+    ends = ends.join(meta, "other").withColumn("_place", F.struct(F.col("relation") != "follows", F.coalesce(F.col("event_date").cast("string"), F.lit("")), "other"))
+    shown = listed(ends, "_id", "edges", "_place", "other", "relation", *more, "direction", "title", "company", "event_date")
+    parts.append(shown.withColumn("edges", F.transform("edges", lambda x: x.dropFields("_place"))))
+    out = events
+    for part in parts:
+        out = out.join(part, out["id"] == part["_id"], "left").drop("_id")
+    names = ("facts", "inferences", "recommendations", "items", "edges")
+    return out.select("id", F.to_json(F.struct(*events.columns, *(F.coalesce(x, F.array()).alias(x) for x in names))).alias("document"))
 
 
 def write_snapshot(documents: dict[str, DataFrame], folder: str) -> dict[str, int]:

@@ -75,8 +75,8 @@ def merge(items: DataFrame, events: DataFrame, groups: DataFrame, relations: Dat
     named = groups.select("company", "ordinal", "key", "title", "reason", F.posexplode(F.array_distinct("members")).alias("nth", "place"))
     named = named.join(cand, ["company", "place"]).withColumn("key", F.coalesce(present(F.col("key")), F.first("own_key").over(Window.partitionBy("company", "ordinal").orderBy("nth"))))
     alone = cand.join(named.select("id"), "id", "left_anti")
-    # A lone candidate is an event of its own as well, after all groups of its company.
-    single = alone.select("company", F.lit(1 << 30).alias("ordinal"), F.col("own_key").alias("key"), F.col("draft.event_title").alias("title"), F.lit("").alias("reason"), F.lit(0).alias("nth"), *(c for c in cand.columns if c != "company"))
+    # A lone candidate is an event of its own as well, after all groups of its company; of several with one key the last one stays.
+    single = alone.select("company", (F.lit(1 << 30).cast("long") + F.col("place")).alias("ordinal"), F.col("own_key").alias("key"), F.col("draft.event_title").alias("title"), F.lit("").alias("reason"), F.lit(0).alias("nth"), *(c for c in cand.columns if c != "company"))
     rows = named.select(*single.columns).unionByName(single).withColumn("event_id", E.event_id(F.col("company"), F.col("key")))
     day = F.coalesce(present(F.col("draft.event_date")), F.date_format("published_at", "yyyy-MM-dd"))
     by_group = rows.withColumn("day", F.try_to_date(day)).groupBy("event_id", "company", "ordinal", "key").agg(
@@ -163,18 +163,27 @@ def relate(events: DataFrame, claims: DataFrame, edges: DataFrame, reviews: Data
     }
 
 
-def weekly_report(events: DataFrame, claims: DataFrame, reports: DataFrame, findings: DataFrame, implications: DataFrame, watchlist: DataFrame, headline: str, start: Column, run_id: str, at: Column, force: bool = False) -> dict[str, DataFrame]:
+def weekly_report(
+    events: DataFrame, claims: DataFrame, reports: DataFrame, findings: DataFrame, implications: DataFrame, watchlist: DataFrame, headline: str, start: Column, run_id: str, at: Column,
+    force: bool = False, domain_summaries: DataFrame | None = None, continuity: DataFrame | None = None, method_notes: str = "",
+) -> dict[str, DataFrame]:
     """S7: one report for a finished week, whose statements cite events of that week, and its recommendations as claims.
 
     ``findings`` (finding, title, detail, evidence), ``implications`` (text,
-    audience, needs_internal_data, based_on) and ``watchlist`` (text, evidence)
-    are what the judge says of the digest. A report that was written after its
-    week ended stays; an earlier one was a draft and is written again.
+    audience, needs_internal_data, based_on), ``watchlist`` (text, evidence),
+    ``domain_summaries`` (domain, value: a JSON object or a plain text) and
+    ``continuity`` (prev_watch, status, note), about what previous_watchlist
+    gives, are what the judge says of the digest. A report that was written
+    after its week ended stays; an earlier one was a draft and is written again.
     """
-    from .reports import needs_report, sanitize_evidence
+    from .reports import needs_report, normal_summary, sanitize_evidence
 
     end = F.date_add(start, 6)
     spark = events.sparkSession
+    if domain_summaries is None:
+        domain_summaries = spark.createDataFrame([], "domain string, value string")
+    if continuity is None:
+        continuity = spark.createDataFrame([], "prev_watch string, status string, note string")
     week = spark.range(1).select(start.alias("period_start"), end.alias("period_end")).withColumn("id", F.concat(F.lit("W-"), F.col("period_start").cast("string")))
     inside = events.where(F.col("event_date").between(start, end)).select("id")
     due = reports.agg(needs_report(reports, start, end).alias("due"))
@@ -183,14 +192,21 @@ def weekly_report(events: DataFrame, claims: DataFrame, reports: DataFrame, find
     watched = watchlist.select(F.col("text").alias("finding"), "evidence")
     cited = sanitize_evidence(watched, inside)
     watched = watched.select("finding").join(cited, "finding", "left").select(F.col("finding").alias("text"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"))
-    based = implications.withColumn("finding", F.monotonically_increasing_id())
-    backed = sanitize_evidence(based.select("finding", F.col("based_on").alias("evidence")), inside).join(based.drop("based_on"), "finding")
-    listed = lambda df, *cols: df.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("x"))
-    parts = open_week.crossJoin(listed(kept, "finding", "title", "detail", "evidence").withColumnRenamed("x", "key_findings"))
-    parts = parts.crossJoin(listed(backed, "text", "audience", "evidence").withColumnRenamed("x", "implications")).crossJoin(listed(watched, "text", "evidence").withColumnRenamed("x", "watchlist"))
-    body = F.to_json(F.struct("key_findings", "implications", "watchlist"))
+    # Written, so that the number that tells implications apart is the same for all that reads it.
+    based = implications.withColumn("finding", F.monotonically_increasing_id()).checkpoint()
+    backed = sanitize_evidence(based.select("finding", F.col("based_on").alias("evidence")), inside).join(based.drop("based_on"), "finding").withColumnRenamed("evidence", "based_on")
+    listed = lambda df, name, *cols: df.agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    summaries = domain_summaries.groupBy("domain").agg(F.max("value").alias("value")).select("domain", normal_summary(F.col("value")).alias("summary"))
+    by_domain = listed(summaries, "domain_summaries", "domain", "summary").select(F.map_from_entries("domain_summaries").alias("domain_summaries"))
+    parts = open_week
+    for part in (
+        listed(kept, "key_findings", "finding", "title", "detail", "evidence"), by_domain, listed(continuity, "continuity", "prev_watch", "status", "note"),
+        listed(backed, "implications", "text", "audience", "needs_internal_data", "based_on"), listed(watched, "watchlist", "text", "evidence"),
+    ):
+        parts = parts.crossJoin(part)  # one row each
+    body = F.to_json(F.struct(F.lit(headline).alias("headline"), "key_findings", "domain_summaries", "continuity", "implications", "watchlist", F.lit(method_notes).alias("method_notes")))
     report = parts.select("id", "period_start", "period_end", F.lit(headline).alias("headline"), F.lit(run_id).alias("run_id"), body.alias("body"), at.alias("generated_at"))
-    advice = backed.where(F.char_length("text") >= 8).select(F.explode("evidence").alias("event_id"), "text", "audience", "needs_internal_data").crossJoin(open_week.select(F.col("id").alias("attributed_to")))
+    advice = backed.where(F.char_length("text") >= 8).select(F.explode("based_on").alias("event_id"), "text", "audience", "needs_internal_data").crossJoin(open_week.select(F.col("id").alias("attributed_to")))
     new_claims = conform(
         advice.withColumn("id", E.claim_id(F.col("event_id"), F.lit(""), "r", F.col("text"))).withColumn("kind", F.lit("recommendation")).withColumn("text", F.left("text", F.lit(500))), "claims"
     ).dropDuplicates(["id"])

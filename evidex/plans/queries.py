@@ -122,19 +122,21 @@ def page_title_normalized(spark, d):
 
 @query(
     "parse_time_formats",
-    """select * from (values
-        (1, timestamp '2026-09-01 02:00:00', 'exact'), (2, timestamp '2026-09-01 10:00:00', 'exact'), (3, timestamp '2026-09-01 02:00:00', 'exact'),
-        (4, timestamp '2026-09-01 10:00:00', 'exact'), (5, timestamp '2026-09-01 10:00:00.25', 'exact'), (6, timestamp '2026-09-01 10:00:00', 'exact'),
-        (7, timestamp '2026-09-01 00:00:00', 'exact'), (8, timestamp '2026-09-01 00:00:00', 'parsed'), (9, null, null), (10, null, null)
-    ) as t(id, "at", time_source)""",
+    """with t as (select doc_id, doc_id % 8 as form, timestamp '2026-01-01' + to_minutes(cast(doc_id * 61 % 400000 as int)) as m from documents)
+    select doc_id, case when form < 6 then m when form = 6 then date_trunc('day', m) end as "at", case when form < 5 then 'exact' when form < 7 then case when form = 5 then 'exact' else 'parsed' end end as time_source from t""",
 )
 def parse_time_formats(spark, d):
-    rows = [
-        (1, "Tue, 01 Sep 2026 10:00:00 +0800"), (2, "Tue, 01 Sep 2026 10:00:00 GMT"), (3, "2026-09-01T10:00:00+08:00"), (4, "2026-09-01T10:00:00Z"),
-        (5, "2026-09-01T10:00:00.25Z"), (6, "2026-09-01 10:00:00"), (7, "2026-09-01"), (8, "发布于 2026年9月1日"), (9, "2026-13-40"), (10, None),
+    """Each document's own minute, written in one of eight ways."""
+    m = F.lit("2026-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("doc_id") * 61 % 400_000).cast("int"))
+    way = lambda pattern, at=m: F.date_format(at, pattern)
+    later = m + F.make_dt_interval(F.lit(0), F.lit(8))
+    forms = [
+        F.concat(way("EEE, dd MMM yyyy HH:mm:ss", later), F.lit(" +0800")), F.concat(way("EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), F.concat(way("yyyy-MM-dd'T'HH:mm:ss", later), F.lit("+08:00")),
+        way("yyyy-MM-dd'T'HH:mm:ss'Z'"), way("yyyy-MM-dd HH:mm:ss"), way("yyyy-MM-dd'T'HH:mm:ss'.000Z'"), F.concat(F.lit("发布于 "), way("yyyy年M月d日")), F.concat(way("yyyy"), F.lit("-13-40")),
     ]
-    found = spark.createDataFrame(rows, "id int, raw string").select("id", T.parse_time(F.col("raw"), True).alias("t"))
-    return found.select("id", F.col("t.at").cast("timestamp_ntz").alias("at"), "t.time_source")
+    raw = F.element_at(F.array(*forms), (F.col("doc_id") % 8 + 1).cast("int"))
+    found = table(spark, d, "documents").select("doc_id", T.parse_time(raw, True).alias("t"))
+    return found.select("doc_id", F.col("t.at").cast("timestamp_ntz").alias("at"), "t.time_source")
 
 
 _SQL_WORDS = "list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z]{3,}'), lambda w: lower(w)))"
@@ -570,23 +572,33 @@ def top_facts(spark, d):
 
 @query(
     "event_detail",
-    f"""with {SQL_EDGES}, x as (select from_event as id, 'out' as direction, to_event as other from edges union all select to_event, 'in', from_event from edges)
-    select e.event_id as id, (select count(*) from items i where i.event_id = e.event_id) as n_items,
-           (select count(*) from x where x.id = e.event_id and x.other in (select event_id from ev)) as n_edges,
-           (select string_agg(cast(item_id as varchar), ',' order by item_id) from items i where i.event_id = e.event_id) as items from ev e""",
+    f"""with {SQL_EDGES}, x as (select from_event as id, 'out' as direction, to_event as other, relation from edges union all select to_event, 'in', from_event, relation from edges),
+    y as (select x.*, o.event_date, o.company from x join ev o on o.event_id = x.other where x.id <> x.other),
+    c as (select event_id, kind, string_agg(id, ',' order by id) as ids from (select event_id, 'c' || cast(item_id as varchar) as id, ['fact', 'inference', 'recommendation'][item_id % 3 + 1] as kind from items) group by all)
+    select e.event_id as id, (select ids from c where c.event_id = e.event_id and kind = 'fact') as facts,
+           (select ids from c where c.event_id = e.event_id and kind = 'inference') as inferences, (select ids from c where c.event_id = e.event_id and kind = 'recommendation') as recommendations,
+           (select string_agg(cast(item_id as varchar) || coalesce(' ' || case source_id when 'src1' then 'Source One' else source || '.example.com' end, ' ' || source || '.example.com'), ',' order by discovered_at, cast(item_id as varchar)) from items i where i.event_id = e.event_id) as items,
+           (select string_agg(direction || ' ' || relation || ' ' || company || ' ' || coalesce(cast(event_date as varchar), ''), ',' order by relation <> 'follows', coalesce(cast(event_date as varchar), ''), cast(other as varchar))
+            from y where y.id = e.event_id) as edges from ev e""",
 )
 def event_detail(spark, d):
-    """Documents of events, read back from their JSON."""
-    events = X.events(spark, d).select(F.col("event_id").cast("string").alias("id"), "company")
-    items = X.items(spark, d).select(F.col("event_id").cast("string").alias("event_id"), F.col("discovered_at").alias("published_at"), F.col("item_id").alias("id"), F.lit("").alias("url"), F.lit("").alias("title"))
-    claims = items.select("event_id", F.lit("fact").alias("kind"), F.col("id").cast("string").alias("id"), F.lit("").alias("text")).limit(0)
+    """Documents of events, read back from their JSON: claims by kind, items by date with their sources, edges by the other end's date."""
+    events = X.events(spark, d).select(F.col("event_id").cast("string").alias("id"), "company", "event_date")
+    site = F.concat(F.lit("https://www."), "source", F.lit(".example.com/x"))
+    items = X.items(spark, d).select(F.col("event_id").cast("string").alias("event_id"), F.col("discovered_at").alias("published_at"), F.col("item_id").cast("string").alias("id"), site.alias("url"), F.lit("").alias("title"), "source_id", F.col("text").alias("content"))
+    kind = F.element_at(F.array(*map(F.lit, ("fact", "inference", "recommendation"))), (F.col("id").cast("long") % 3 + 1).cast("int"))
+    claims = items.select("event_id", kind.alias("kind"), F.concat(F.lit("c"), "id").alias("id"), F.lit("").alias("text"))
     edges = _text_edges(spark, d).withColumn("basis", F.lit("given"))
-    documents = reports.event_documents(events, claims, items, edges)
-    parsed = F.from_json("document", "id string, items array<struct<id: long>>, edges array<struct<other: string>>")
-    ids = F.array_join(F.array_sort(F.transform("p.items", lambda i: i["id"])).cast("array<string>"), ",")
-    return documents.select(parsed.alias("p")).select(
-        F.col("p.id").cast("long").alias("id"), F.size("p.items").cast("long").alias("n_items"), F.size("p.edges").cast("long").alias("n_edges"), ids.alias("items")
-    )
+    sources = spark.createDataFrame([("src1", "Source One", None)], "id string, name string, partial_content boolean")
+    claim, ids = "array<struct<id: string>>", lambda c: F.nullif(F.array_join(F.transform(c, lambda x: x["id"]), ","), F.lit(""))
+    kinds = f"id string, facts {claim}, inferences {claim}, recommendations {claim}, items array<struct<id: string, source_name: string>>, edges array<struct<direction: string, relation: string, company: string, event_date: string>>"
+    told = reports.event_documents(events, claims, items, edges, sources).select(F.from_json("document", kinds).alias("p")).select("p.*")
+    edge = lambda x: F.concat(x["direction"], F.lit(" "), x["relation"], F.lit(" "), x["company"], F.lit(" "), F.coalesce(x["event_date"], F.lit("")))
+    return told.select(
+        F.col("id").cast("long").alias("id"), *(ids(c).alias(c) for c in ("facts", "inferences", "recommendations")),
+        F.array_join(F.transform("items", lambda x: F.concat(x["id"], F.lit(" "), x["source_name"])), ",").alias("items"),
+        F.nullif(F.array_join(F.transform("edges", edge), ","), F.lit("")).alias("edges"),
+    )
 
 
 @query(

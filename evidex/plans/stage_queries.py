@@ -103,7 +103,7 @@ _SQL_CAND = f"""{SQL_ITEMS},
              row_number() over (partition by item_id % 9 order by cast(item_id as varchar)) - 1 as place from items),
     named as (select *, 'g' || cast(place // 4 as varchar) as key, place // 4 as ordinal from cand where company <> 'co8' and place % 4 <> 3),
     every as (select id, company, key, own_key, day, false as alone, place from named
-              union all select id, company, own_key, own_key, day, true, 0 from cand where company = 'co8' or place % 4 = 3)"""
+              union all select id, company, own_key, own_key, day, true, place from cand where company = 'co8' or place % 4 = 3)"""
 
 
 def _extracted(spark, d):
@@ -137,17 +137,18 @@ def _merged(spark, d):
     "stage_merge",
     f"""with {_SQL_CAND}
     select 'EV-' || substr(sha1(company || ':' || key), 1, 8) as id, company, key as event_key, count(*) filter (not alone or not exists (select 1 from named n where n.company = every.company and n.key = every.key)) as n_items,
-           case when bool_or(alone) then (select cast(try_cast(min(x.day) as date) as varchar) from every x where x.company = every.company and x.key = every.key and x.alone) else min(day) end as event_date
+           case when bool_or(alone) then (select cast(try_cast(x.day as date) as varchar) from every x where x.company = every.company and x.key = every.key and x.alone order by x.place desc limit 1) else min(day) end as event_date,
+           case when bool_or(alone) then (select 't' || x.id from every x where x.company = every.company and x.key = every.key and x.alone order by x.place desc limit 1) else 'title ' || substr(key, 2) end as title
     from every group by company, key""",
 )
 def stage_merge(spark, d):
     done = _merged(spark, d)
     n = done["items"].groupBy(F.col("event_id").alias("id")).agg(F.count(F.lit(1)).alias("n_items"))
-    return done["events"].join(n, "id").select("id", "company", "event_key", "n_items", F.col("event_date").cast("string").alias("event_date"))
+    return done["events"].join(n, "id").select("id", "company", "event_key", "n_items", F.col("event_date").cast("string").alias("event_date"), "title")
 
 
 @query("stage_merge_ledger", f"""with {_SQL_CAND} select 'EV-' || substr(sha1(company || ':' || key), 1, 8) as merged_into, 'merge' as stage, 'merged' as reason_code from (
-    select company, key, count(*) as n from named group by all union all select company, key, count(*) from every where alone group by all) where n > 1""")
+    select company, key, count(*) as n from named group by all) where n > 1""")
 def stage_merge_ledger(spark, d):
     return _merged(spark, d)["rejects"].select("merged_into", "stage", "reason_code")
 
@@ -254,7 +255,42 @@ def _weekly(spark, d):
     old = spark.createDataFrame([("cl_old", "1", "recommendation", "an earlier advice", None, "W-" + _WEEK)], "id string, event_id string, kind string, text string, source_item_id string, attributed_to string")
     earlier = spark.createDataFrame([("W-" + _WEEK, "2024-01-24")], "id string, g string").select("id", F.lit(_WEEK).cast("date").alias("period_start"), F.col("g").cast("timestamp").alias("generated_at"), F.lit("draft").alias("headline"))
     watch = cited.select(F.concat(F.lit("watch "), "company").alias("text"), "evidence")
-    return stages.weekly_report(_events(spark, d), _claims(spark, d).unionByName(old), earlier, findings, advice, watch, "headline", F.lit(_WEEK).cast("date"), "R", _now())
+    told = F.to_json(F.struct(F.concat(F.lit("of "), "company").alias("summary"), F.lit("next").alias("watch")))
+    domains = cited.select(F.col("company").alias("domain"), F.when(F.col("company") < "co5", told).otherwise(F.concat(F.lit("plain "), "company")).alias("value"))
+    continuity = reports.previous_watchlist(_earlier_reports(spark, d), F.lit(_WEEK).cast("date")).select(F.col("text").alias("prev_watch"), F.lit("open").alias("status"), F.lit("").alias("note"))
+    return stages.weekly_report(_events(spark, d), _claims(spark, d).unionByName(old), earlier, findings, advice, watch, "headline", F.lit(_WEEK).cast("date"), "R", _now(), domain_summaries=domains, continuity=continuity)
+
+
+def _earlier_reports(spark, d):
+    """A report for each week of events, watching its companies, by a text or by an object."""
+    e = X.events(spark, d).where("event_date is not null").select(reports.week_of(F.col("event_date")).alias("period_start"), "company").distinct()
+    entry = F.when(F.col("company") < "co4", F.to_json(F.struct(F.concat(F.lit("watch "), "company").alias("text")))).otherwise(F.to_json(F.array(F.col("company"))).substr(F.lit(2), F.char_length(F.to_json(F.array(F.col("company")))) - 2))
+    body = F.concat(F.lit('{"watchlist":['), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("]}"))
+    return e.groupBy("period_start").agg(body.alias("body"))
+
+
+_SQL_WATCHED = f"""earlier as (select distinct cast(date_trunc('week', event_date) as date) as period_start, company from ev where event_date is not null),
+    watched as (select case when company < 'co4' then 'watch ' || company else company end as text from earlier where period_start = (select max(period_start) from earlier where period_start < date '{_WEEK}'))"""
+
+
+@query("previous_watchlist", f"with {SQL_EVENTS}, {_SQL_WATCHED} select text from watched")
+def previous_watchlist(spark, d):
+    """What the report before the week watches; objects come before texts in its list."""
+    return reports.previous_watchlist(_earlier_reports(spark, d), F.lit(_WEEK).cast("date")).select("text")
+
+
+@query("stage_weekly_body", f"""with {SQL_EVENTS}, {_SQL_WEEK}, {_SQL_WATCHED}
+    select 'domain' as part, company as name, case when company < 'co5' then 'of ' || company else 'plain ' || company end as text, case when company < 'co5' then 'next' else '' end as more from (select distinct company from ev) where exists (select 1 from inside)
+    union all select 'continuity', text, 'open', '' from watched where exists (select 1 from inside)
+    union all select 'implication', 'advice for ' || company, 'all', string_agg(cast(event_id as varchar), ',' order by cast(event_id as varchar)) from inside group by company""")
+def stage_weekly_body(spark, d):
+    """Domain summaries, of objects and of plain texts, continuity with the report before, and what implications are based on."""
+    kind = "domain_summaries map<string, struct<summary: string, watch: string>>, continuity array<struct<prev_watch: string, status: string>>, implications array<struct<text: string, audience: string, based_on: array<string>>>"
+    b = _weekly(spark, d)["reports"].select(F.from_json("body", kind).alias("b")).select("b.*")
+    domain = b.select(F.explode("domain_summaries").alias("name", "v")).select(F.lit("domain").alias("part"), "name", F.col("v.summary").alias("text"), F.col("v.watch").alias("more"))
+    again = b.select(F.explode("continuity").alias("c")).select(F.lit("continuity").alias("part"), F.col("c.prev_watch").alias("name"), F.col("c.status").alias("text"), F.lit("").alias("more"))
+    based = b.select(F.explode("implications").alias("i")).select(F.lit("implication").alias("part"), F.col("i.text").alias("name"), F.col("i.audience").alias("text"), F.array_join("i.based_on", ",").alias("more"))
+    return domain.unionByName(again).unionByName(based)
 
 
 @query("stage_weekly_report", f"""with {SQL_EVENTS}, {_SQL_WEEK} select 'W-{_WEEK}' as id, 'headline' as headline, count(distinct company) as n_findings, (select count(distinct company) from ev) as n_watched from inside""")
@@ -547,9 +583,15 @@ def _no_texts():
     return F.lit(None).cast("array<string>")
 
 
-@query("checked_turns", "select conv_id, case when bool_or(role not in ('user', 'assistant') or role is null) then 'role' when bool_or(trim(coalesce(text, '')) = '') then 'empty' when arg_max(role, turn) <> 'user' then 'last' when sum(length(text)) > 3000 then 'length' end as problem from conversations group by conv_id")
+@query("checked_turns", r"""with m as (select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as i,
+            length(text) + length(text) - length(regexp_replace(text, '[\x{10000}-\x{10FFFF}]', '', 'g')) as size from conversations),
+    j as (select *, octet_length(encode(to_json({'role': role, 'content': text}))) + 1 as bytes,
+            role is distinct from case when i % 2 = 0 then 'user' else 'assistant' end or text is null or trim(text, ' \t\n\v\f\r\u00a0') = ''
+            or size > case when role = 'user' then 2000 else 8000 end as wrong from m)
+    select conv_id, case when sum(bytes) + 14 > 80000 then 'body_too_large' when count(*) > 21 or count(*) % 2 = 0 or bool_or(wrong) or sum(size) > 24000 then 'invalid_messages' end as problem
+    from j group by conv_id""")
 def checked_turns(spark, d):
-    return export.checked_turns(table(spark, d, "conversations"), "conv_id", "role", "text", 3000)
+    return export.checked_turns(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
 
 
 @query("item_source_names", f"with {SQL_ITEMS} select cast(item_id as varchar) as id, case when source_id is null or source_id = 'src0' then '未登记来源' else 'name of ' || source_id end as source_name from items")
@@ -744,7 +786,8 @@ def cache_lines(spark, d):
     return cache_entries(table(spark, d, "documents").select(i.alias("n"), F.when(i % 7 == 0, F.left(line, F.lit(9))).otherwise(line).alias("line")))
 
 
-@query("page_metrics", """select page_id, length(html) - length(regexp_replace(html, '[\u4e00-\u9fff]', '', 'g')) as cjk, contains(lower(html), 'captcha') or contains(lower(html), 'access denied') or contains(lower(html), 'subscribe to continue') as blocked from pages""")
+@query("page_metrics", r"""with v as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '<noscript.*?</noscript>', ' ', 'gis'), '<[^>]+>', ' ', 'g') as shown from pages)
+    select page_id, length(shown) - length(regexp_replace(shown, '[\x{4E00}-\x{9FFF}]', '', 'g')) as cjk, contains(lower(html), 'captcha') or contains(lower(html), 'access denied') or contains(lower(html), 'subscribe to continue') as blocked from v""")
 def page_metrics(spark, d):
     m = documents.page_metrics(F.col("html"))
     return table(spark, d, "pages").select("page_id", m["cjk"].cast("long").alias("cjk"), m["blocked"].alias("blocked"))

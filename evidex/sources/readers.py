@@ -22,8 +22,8 @@ def captured(spark: SparkSession, path: str) -> DataFrame:
 #: The elements of a feed, what wraps text, and how a link is written.
 FEED_ITEM, FEED_ENTRY = r"(?is)<item[\s>].*?</item>", r"(?is)<entry[\s>].*?</entry>"
 WRAPPED = r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$"
-#: Characters that are kept of a body, a title and an excerpt.
-CONTENT_CHARS, TITLE_CHARS, EXCERPT_CHARS = 6000, 300, 400
+#: Characters that are kept of a body and a title.
+CONTENT_CHARS, TITLE_CHARS = 6000, 300
 
 
 def tag(block: Column, *names: str) -> Column:

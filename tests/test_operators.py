@@ -271,7 +271,58 @@ def test_documents_of_events(spark):
     edges = spark.createDataFrame([("a", "b", "follows", "x"), ("ghost", "a", "causes", "y")], "from_event string, to_event string, relation string, basis string")
     got = {r.id: json.loads(r.document) for r in reports.event_documents(evs, claims, items, edges).collect()}
     assert [(e["other"], e["direction"]) for e in got["a"]["edges"]] == [("b", "out")] and got["b"]["edges"][0]["direction"] == "in"
-    assert got["a"]["claims"][0]["id"] == "c1" and got["b"]["items"] == []
+    assert got["a"]["facts"][0]["id"] == "c1" and got["b"]["items"] == got["a"]["inferences"] == []
+    assert got["a"]["items"][0]["source_name"] == "来源未知" and got["a"]["edges"][0]["title"] == "B"
+
+
+def test_edges_are_ordered_by_the_other_end(spark):
+    evs = spark.createDataFrame([("a", None), ("b", "2026-03-01"), ("c", "2026-01-01"), ("d", None)], "id string, event_date string")
+    edges = spark.createDataFrame([("a", "b", "causes"), ("a", "c", "causes"), ("d", "a", "causes"), ("b", "a", "follows"), ("a", "a", "follows"), ("c", "a", "causes")], "from_event string, to_event string, relation string")
+    none = spark.createDataFrame([], "event_id string, kind string, published_at timestamp_ntz, id string, url string, title string, text string")
+    got = {r.id: json.loads(r.document) for r in reports.event_documents(evs, none, none, edges).collect()}
+    assert [(e["other"], e["relation"], e["direction"]) for e in got["a"]["edges"]] == [("b", "follows", "in"), ("d", "causes", "in"), ("c", "causes", "out"), ("b", "causes", "out")]
+
+
+def test_requests_about_an_event(spark):
+    from evidex.operators import export
+
+    turn = lambda n: ("user", "assistant")[n % 2]
+    cases = {
+        "ok": [("user", "Why?")], "three": [("user", "a"), ("assistant", "b"), ("user", "c")], "even": [("user", "a"), ("assistant", "b")],
+        "twice": [("user", "a"), ("user", "b"), ("user", "c")], "blank": [("user", " \u3000")], "null": [("user", None)], "long": [("user", "x" * 2001)],
+        "fits": [("user", "x" * 2000)], "wide": [("user", "\U0001f600" * 1001)], "answer": [("user", "a"), ("assistant", "b" * 8000), ("user", "c")],
+        "answer2": [("user", "a"), ("assistant", "b" * 8001), ("user", "c")], "21": [(turn(n), "x") for n in range(21)], "23": [(turn(n), "x") for n in range(23)],
+        "sum": [(turn(n), "x" * 1900) for n in range(13)], "bytes": [(turn(n), "漢" * 1900) for n in range(15)], "system": [("system", "a")],
+    }
+    rows = [(k, n, r, t) for k, v in cases.items() for n, (r, t) in enumerate(v)]
+    got = {r.k: r.problem for r in export.checked_turns(spark.createDataFrame(rows, "k string, n int, r string, t string"), "k", "n", "r", "t").collect()}
+    assert {k for k, p in got.items() if p is None} == {"ok", "three", "fits", "answer", "21"}
+    assert {k for k, p in got.items() if p == "body_too_large"} == {"bytes"}
+
+
+def test_summaries_and_visible_text(spark):
+    rows = spark.createDataFrame([('{"summary": "s", "watch": "w"}',), ("plain",), ("{broken",)], "v string")
+    assert [tuple(r.s) for r in rows.select(reports.normal_summary(F.col("v")).alias("s")).collect()] == [("s", "w"), ("plain", ""), ("{broken", "")]
+    from evidex.operators import documents
+
+    page = spark.createDataFrame([("<p>漢字</p><script>漢</script><STYLE>字</STYLE><a title='漢'>x</a><noscript>漢</noscript>",)], "h string")
+    assert page.select(documents.page_metrics(F.col("h"))["cjk"]).first()[0] == 2
+
+
+def test_orphans_of_one_key(spark):
+    """Candidates that no group names come one after the other: the last one's title and date stay, nothing is said in the ledger."""
+    from evidex.operators import stages
+    from evidex.schemas import DRAFT
+
+    told = lambda t, day: json.dumps({"relevant": True, "company": "co1", "event_key": "k", "event_title": t, "event_date": day, "facts": ["f " + t]})
+    rows = spark.createDataFrame([("i1", told("first", "2026-01-01")), ("i2", told("second", "2026-02-02"))], "id string, d string")
+    items = rows.select("id", F.lit("extracted").alias("status"), F.lit(None).cast("string").alias("event_id"), F.lit("A").alias("effective_class"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.from_json("d", DRAFT).alias("draft"))
+    groups = spark.createDataFrame([], "company string, ordinal int, key string, title string, reason string, members array<int>")
+    relations = spark.createDataFrame([], "company string, `from` string, `to` string, relation string, basis string")
+    events = spark.createDataFrame([], "id string, event_key string, first_seen_at timestamp")
+    done = stages.merge(items, events, groups, relations, EngineConfig(companies=("co1",)), "R", F.lit("2026-03-01").cast("timestamp"))
+    assert [(r.title, str(r.event_date)) for r in done["events"].collect()] == [("second", "2026-02-02")]
+    assert done["rejects"].count() == 0 and {r.status for r in done["items"].collect()} == {"accepted"} and done["claims"].count() == 2
 
 
 def test_old_vectors_are_carried(spark):
