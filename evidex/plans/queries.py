@@ -15,6 +15,8 @@ from ..functions.vector import from_base64, quantise, to_base64
 from ..operators import dedup, reports, review, search, similarity, tables, verify
 from ..operators import events as E
 from ..operators.comparators import ComparatorIndex
+from ..operators.gram_index import GramIndex
+from ..operators.gram_index import hybrid_search as indexed_search
 from ..plugins.judge import batches, latest_cache
 from ..shared import shared_folder
 from ..sources import readers
@@ -691,14 +693,14 @@ def ui_facets(spark, d):
     return search.any_of(events, company=["co1", "co2"], confidence=["3", "5"], domains=["d1"]).select("id")
 
 
-@query(
-    "hybrid_search",
-    """with q as (select cast(embedding as double[]) as e from embeddings order by vec_id limit 1),
+_SQL_HYBRID = """with q as (select cast(embedding as double[]) as e from embeddings order by vec_id limit 1),
     s as (select d.doc_id, contains(lower(d.text), 'license') as lexical, list_cosine_similarity(cast(v.embedding as double[]), q.e) as c
           from documents d left join embeddings v on v.vec_id = d.doc_id left join q on true)
     select doc_id, lexical, round(case when c >= 0.30 then c end, 6) as similarity from s where lexical or c >= 0.30
-    order by lexical desc, case when c >= 0.30 then c end desc nulls last, doc_id limit 50""",
-)
+    order by lexical desc, case when c >= 0.30 then c end desc nulls last, doc_id limit 50"""
+
+
+@query("hybrid_search", _SQL_HYBRID)
 def hybrid_search(spark, d):
     vectors = table(spark, d, "embeddings")
     first = vectors.orderBy("vec_id").select("embedding").first()
@@ -707,6 +709,20 @@ def hybrid_search(spark, d):
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("hybrid_search_indexed", _SQL_HYBRID)
+def hybrid_search_indexed(spark, d):
+    """The same by posting lists: of the documents' texts those are read that hold every trigram."""
+    written(spark)
+    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    first = vectors.orderBy("doc_id").select("embedding").first()
+    docs = table(spark, d, "documents")
+    index = GramIndex(spark, f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}")
+    index.build(docs, "doc_id", ["text"])
+    of_docs = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
+    hits = indexed_search(index, "doc_id", of_docs, "embedding", "license", [float(x) for x in first[0]] if first else None, 0.30)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
 _PROMPT = "the worthless license of thing and ering version"
 _PROMPT_WORDS = "[" + listed(sorted(set(_PROMPT.split()))) + "]"
 
