@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import url as U
 from ..functions.simhash import simhash, simhash_hex
@@ -17,6 +18,7 @@ from ..operators import events as E
 from ..operators.comparators import ComparatorIndex
 from ..operators.gram_index import GramIndex
 from ..operators.gram_index import hybrid_search as indexed_search
+from ..operators.ordered import numbered
 from ..plugins.judge import batches, latest_cache
 from ..shared import shared_folder
 from ..sources import readers
@@ -210,6 +212,34 @@ def keyword_gate(spark, d):
     return X.items(spark, d).select("item_id", gate.alias("g")).select("item_id", "g.passes", "g.misses")
 
 
+_SQL_TERMS = "terms as (select distinct unnest(regexp_extract_all(text, '[a-zA-Z]{6,}')) as pattern from benchmark)"
+
+
+@query(
+    "pattern_hits",
+    f"with {_SQL_TERMS} select doc_id, count(*) as n, min(pattern) as first, max(pattern) as last from documents join terms on contains(text, pattern) group by doc_id",
+)
+def pattern_hits(spark, d):
+    """Every longer word of the benchmark, as a pattern, in every document."""
+    terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{6,}"), F.lit(0))).alias("pattern"))
+    hits = P.pattern_hits(table(spark, d, "documents"), "doc_id", "text", terms)
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("pattern").alias("first"), F.max("pattern").alias("last"))
+
+
+@query(
+    "original_source",
+    f"""with {_SQL_TERMS}, r as (select pattern, row_number() over (order by md5(pattern)) - 1 as place from terms),
+    h as (select doc_id, min(place) as place from documents join r on contains(text[1:600], pattern) group by doc_id)
+    select d.doc_id, 's' || cast(h.place % 40 as varchar) as original_source from documents d left join h on h.doc_id = d.doc_id""",
+)
+def original_source(spark, d):
+    """Words of the benchmark are the names of forty sources; the first name in the registry's order counts."""
+    terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{6,}"), F.lit(0))).alias("pattern")).distinct()
+    written(spark)
+    registry = numbered(terms.withColumn("hash", F.md5(F.col("pattern").cast("binary"))), ["hash"]).withColumn("source_id", F.concat(F.lit("s"), (F.col("place") % 40).cast("string")))
+    return readers.original_source(table(spark, d, "documents"), "doc_id", "text", registry.select("pattern", "source_id", "place"))
+
+
 _SQL_FOLD = f"""with recursive {SQL_ITEMS}, {SQL_GATE},
     {SQL_SIMHASH.format("string_split(text, chr(10))[1] || ' ' || text")},
     r as materialized (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.patterns import pattern_hits
 from ..functions.text import decode_charset, parse_time, present, strip_html
 from ..functions.url import authority
 from ..functions.url import path as url_path
@@ -206,19 +207,13 @@ def attribute(items: DataFrame, key: str, url: str, index: DataFrame) -> DataFra
     return items.select(key).join(hits, key, "left")
 
 
-#: Patterns that a registry may hold to be sent to every task.
-MOST_PATTERNS = 10_000
-
-
 def original_source(items: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
     """(key, original_source): the first registered source named in the first 600 characters.
 
-    ``patterns`` (pattern, source_id, place) come from the registry, whose size is checked before it is broadcast.
+    ``patterns`` (pattern, source_id, place) come from the registry, however large it is.
     """
-    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns")
     heads = items.select(key, F.left(F.col(text), F.lit(600)).alias("_head"))
-    hits = heads.join(F.broadcast(patterns), F.contains(F.col("_head"), F.col("pattern")))
+    hits = pattern_hits(heads, key, "_head", patterns).join(patterns, "pattern")
     best = hits.groupBy(key).agg(F.min_by("source_id", "place").alias("original_source"))
     return items.select(key).join(best, key, "left")
 
