@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import present
+from .ordered import row_before
 
 
 def event_id(company: Column, key: Column) -> Column:
@@ -178,13 +179,13 @@ def dangling(edges: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def adjacent_edges(events: DataFrame, existing: DataFrame) -> DataFrame:
-    """New rule edges: neighbours in time among the dated events of a company."""
-    order = Window.partitionBy("company").orderBy("event_date", "id")
-    pairs = events.where("event_date is not null").select(
-        "company", F.col("id").alias("from_event"), F.lead("id").over(order).alias("to_event"),
-        F.col("event_date").alias("from_date"), F.lead("event_date").over(order).alias("to_date"),
-    )
-    pairs = pairs.where("to_event is not null").withColumn("relation", F.lit("same_actor_track"))
+    """New rule edges: neighbours in time among the dated events of a company, however many it has."""
+    dated = events.where("event_date is not null").select("company", "event_date", "id")
+    found = row_before(dated, ["event_date", "id"], ["company"], ["id", "event_date"])
+    pairs = found.select(
+        "company", F.col("previous.id").alias("from_event"), F.col("id").alias("to_event"), F.col("previous.event_date").alias("from_date"), F.col("event_date").alias("to_date")
+    )
+    pairs = pairs.where("from_event is not null").withColumn("relation", F.lit("same_actor_track"))
     return pairs.join(existing.select("from_event", "to_event", "relation"), ["from_event", "to_event", "relation"], "left_anti")
 
 

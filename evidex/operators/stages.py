@@ -15,6 +15,7 @@ from ..functions.text import present
 from ..plugins.answers import AnswerLog
 from ..plugins.judge import Judge, ask
 from . import events as E
+from .ordered import numbered
 from .review import flag_once
 from .similarity import top_band
 from .tables import conform, replace_rows
@@ -60,7 +61,7 @@ def candidates(items: DataFrame, config: EngineConfig) -> DataFrame:
     """Extracted items (id, published_at, effective_class, draft) with their company and their place in it, by id."""
     company = E.normal_company(F.coalesce("draft.company", F.lit("industry")), config)
     rows = items.where("status = 'extracted'").withColumn("company", company)
-    return rows.withColumn("place", (F.row_number().over(Window.partitionBy("company").orderBy("id")) - 1).cast("int"))
+    return numbered(rows, ["id"], ["company"]).withColumn("place", F.col("place").cast("int"))
 
 
 def merge(items: DataFrame, events: DataFrame, groups: DataFrame, relations: DataFrame, config: EngineConfig, run_id: str, at: Column) -> dict[str, DataFrame]:

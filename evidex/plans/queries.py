@@ -102,8 +102,8 @@ def source_attribution(spark, d):
     """Every second registrable domain, in order, is a registered source."""
     pages = table(spark, d, "pages")
     domains = pages.select(F.replace(U.org_key(F.col("url")), F.lit("unregistered:"), F.lit("")).alias("domain")).distinct()
-    numbered = domains.withColumn("place", F.row_number().over(Window.orderBy("domain")) - 1).where("place % 2 = 0")
-    sources = numbered.select(F.concat(F.lit("src"), F.col("place").cast("string")).alias("id"), F.array("domain").alias("domains"), "place")
+    written(spark)
+    sources = numbered(domains, ["domain"]).where("place % 2 = 0").select(F.concat(F.lit("src"), F.col("place").cast("string")).alias("id"), F.array("domain").alias("domains"), "place")
     return readers.attribute(pages, "page_id", "url", readers.domain_index(sources))
 
 
@@ -453,6 +453,7 @@ def independent_orgs(spark, d):
     where n.to_event is not null and e.from_event is null""",
 )
 def adjacent_edges(spark, d):
+    written(spark)
     events = X.events(spark, d).withColumnRenamed("event_id", "id")
     return E.adjacent_edges(events, X.edges(spark, d)).select("from_event", "to_event")
 
