@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as T
 from ..operators import documents, export, reports, review, screening, search, stages, tables, verify
 from ..operators import events as E
+from ..operators.versions import VersionedTable
 from ..plugins import embedder
 from ..plugins.answers import AnswerLog
 from ..plugins.judge import RuleJudge, cache_entries
 from ..schemas import DRAFT
+from ..shared import shared_folder
 from ..sources import readers
 from . import fixtures as X
 from .fixtures import SQL_EDGES, SQL_EVENTS, SQL_ITEMS, table, when
 from .queries import SQL_PAIRS, SQL_QUANT, query, written
+from .run import Run
 
 TEXT = "cast({} as varchar)"
 
@@ -358,6 +363,30 @@ def _digit_rule(row: dict) -> dict:
     return {"text_md5": row["text_md5"], "keep": int(row["text_md5"][0], 16) % 3 == 0}
 
 
+@query("run_resumed", f"""with {SQL_ITEMS} select cast(item_id as varchar) as id, case when item_id % 3 = 0 then 'rejected' when effective_class = 'D' then 'evidence_only'
+    when item_id % 4 <> 0 and item_id % 7 <> 0 then 'extracted' else 'rejected' end as status, 'failed' as middle from items""")
+def run_resumed(spark, d):
+    """A run that ends after its first stage goes on at the second; a stage in the middle fails and changes nothing."""
+    log = AnswerLog(spark)
+
+    def of(judged):
+        def stage(tables):
+            decided = judged(tables["items"]).select("id", F.col("status").alias("_new"))
+            items = tables["items"].join(decided, "id", "left").withColumn("status", F.coalesce("_new", "status")).drop("_new")
+            return {"items": items}, {"n": decided.count()}
+
+        return stage
+
+    def failing(tables):
+        raise ValueError("no answer")
+
+    steps = [("S2", of(lambda i: screening.prescreen(i, RuleJudge(_keep_rule), log=log))), ("S2b", failing), ("S3", of(lambda i: screening.extract(i, RuleJudge(_draft_rule), EngineConfig(), log=log)))]
+    folder, start = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}", {"items": _items(spark, d).withColumn("status", F.lit("pending"))}
+    Run(spark, folder, "RUN").go(start, steps[:1])
+    done, stats = Run(spark, folder, "RUN").go(start, steps)
+    return done["items"].select("id", "status", F.lit("failed" if "error" in stats["S2b"] else "").alias("middle"))
+
+
 def _stage_rule(row: dict) -> dict:
     return {"stage": None if int(row["id"]) % 5 == 0 else f"s{int(row['id']) % 4}"}
 
@@ -635,6 +664,21 @@ def registry_upsert(spark, d):
     return tables.upsert_registry(nation.drop("k"), given).select("id", "name", "reliability")
 
 
+@query("versioned_orders", """select o_orderkey, case when o_orderkey % 100 = 0 then 2 * o_totalprice else o_totalprice end as o_totalprice, case when o_orderkey % 100 = 0 then 'changed' when o_orderkey % 97 = 5 then 'last' else o_orderstatus end as state
+    from orders where o_orderkey % 1000 <> 7 or o_orderkey % 97 = 5 union all select -1, 1.5, 'new'""")
+def versioned_orders(spark, d):
+    """A table of deltas: a change, a deletion, compaction, and another change that brings some of the deleted back."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), F.col("o_orderstatus").alias("state"))
+    kept = VersionedTable(spark, f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", "o_orderkey", "o_orderkey long, o_totalprice double, state string")
+    kept.upsert(orders)
+    kept.upsert(orders.where("o_orderkey % 100 = 0").select("o_orderkey", (2 * F.col("o_totalprice")).alias("o_totalprice"), F.lit("changed").alias("state")))
+    kept.delete(orders.where("o_orderkey % 1000 = 7"))
+    kept.compact()
+    kept.upsert(orders.where("o_orderkey % 97 = 5 and o_orderkey % 100 <> 0").withColumn("state", F.lit("last")))
+    kept.upsert(spark.createDataFrame([(-1, 1.5, "new")], "o_orderkey long, o_totalprice double, state string"))
+    return kept.read()
+
+
 @query("batch_scope", f"with {SQL_EVENTS} select cast(event_id as varchar) as id from ev where event_id % 11 <> 0 and confidence = 5 and independent_orgs <= 1")
 def batch_scope(spark, d):
     return review.batch_scope(_events(spark, d), "single").select("id")

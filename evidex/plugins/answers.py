@@ -28,37 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import numbered
-from ..shared import no_path, shared_folder
+from ..shared import delete_folder, names_in, no_path, read_file, shared_folder, write_file
 
 LOG = "key string, task string, answer string, asked_in string"
 
 
-def _files(uri: str):
-    """(file system, path) of a folder."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
-def _read(uri: str) -> bytes | None:
-    files, path = _files(uri)
-    if not files.get_file_info(path).is_file:
-        return None
-    with files.open_input_stream(path) as source:
-        return source.read()
-
-
-def _write(uri: str, data: bytes) -> None:
-    """Under another name first, so that a reader sees a whole file or none."""
-    files, path = _files(uri)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with files.open_output_stream(part) as sink:
-        sink.write(data)
-    files.move(part, path)
-
-
 def parsed(text: str, size: int) -> list[str | None]:
     """One answer for each of ``size`` rows: a list, alone or under a name, whose elements may say their place in ``i``."""
     found = json.loads(text)
@@ -87,13 +61,8 @@ class AnswerLog:
 
     def recover(self) -> None:
         """Take in what calls that did not end have left in the journal."""
-        files, path = _files(f"{self.folder}/journal")
-        from pyarrow import fs
-
-        if files.get_file_info(path).type == fs.FileType.Directory:
-            for call in files.get_file_info(fs.FileSelector(path)):
-                if call.type == fs.FileType.Directory:
-                    self._take_in(f"{self.folder}/journal/{call.base_name}")
+        for call in names_in(f"{self.folder}/journal", folders=True):
+            self._take_in(f"{self.folder}/journal/{call}")
 
     def _take_in(self, journal: str) -> None:
         try:
@@ -105,8 +74,7 @@ class AnswerLog:
         # What has been taken in before the journal went is not added again.
         new = rows.where("key is not null and answer is not null").join(self.read().select("key"), "key", "left_anti")
         new.select("key", "task", "answer", "asked_in").write.mode("append").parquet(f"{self.folder}/log")
-        files, path = _files(journal)
-        files.delete_dir(path)
+        delete_folder(journal)
 
     def ask(self, rows: DataFrame, judge, task: str, keys: list[str], size: int, asked_in: str = "") -> DataFrame:
         """``keys`` of each of ``rows`` with its answer, a JSON text or null; asks what the log doesn't hold."""
@@ -125,7 +93,7 @@ class AnswerLog:
         placed = numbered(new, [*order, "key"]).withColumn("batch", F.floor(F.col("place") / size))
         batches = placed.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("place", "key", "content"))).alias("rows")).checkpoint()
         journal = f"{self.folder}/journal/{uuid.uuid4().hex}"
-        _files(journal)[0].create_dir(_files(journal)[1], recursive=True)
+        write_file(f"{journal}/task", task.encode())
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -133,14 +101,14 @@ class AnswerLog:
                 for given in frame["rows"]:
                     names = [r["key"] for r in given]
                     entry = f"{journal}/{hashlib.sha1(''.join(names).encode()).hexdigest()}.json"
-                    if _read(entry) is not None:
+                    if read_file(entry) is not None:
                         continue
                     try:
                         answers = parsed(judge.answer(task, [json.loads(r["content"]) for r in given]), len(given))
                     except Exception:
                         continue
                     told = [json.dumps({"key": k, "task": task, "answer": a, "asked_in": asked_in}) for k, a in zip(names, answers) if a is not None]
-                    _write(entry, "\n".join(told).encode())
+                    write_file(entry, "\n".join(told).encode())
                     done += len(told)
                 yield pd.DataFrame({"done": [done]})
 

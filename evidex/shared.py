@@ -1,8 +1,9 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and small files in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,50 @@ def shared_folder(spark: SparkSession) -> str:
 def no_path(error: Exception) -> bool:
     """Whether a read failed as nothing was written there yet."""
     return "PATH_NOT_FOUND" in str(error)
+
+
+# ---------------------------------------------------------------- small files of a folder, through Arrow's file systems
+
+
+def files_of(uri: str):
+    """(file system, path) of a local path or a URI."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def read_file(uri: str) -> bytes | None:
+    """A file's content, None if there is none."""
+    files, path = files_of(uri)
+    if not files.get_file_info(path).is_file:
+        return None
+    with files.open_input_stream(path) as source:
+        return source.read()
+
+
+def write_file(uri: str, data: bytes) -> None:
+    """Written under another name first, so that a reader sees a whole file or none."""
+    files, path = files_of(uri)
+    files.create_dir(path.rpartition("/")[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with files.open_output_stream(part) as sink:
+        sink.write(data)
+    files.move(part, path)
+
+
+def names_in(uri: str, folders: bool = False) -> list[str]:
+    """Names of the files, or of the folders, directly in a folder."""
+    from pyarrow import fs
+
+    files, path = files_of(uri)
+    if files.get_file_info(path).type != fs.FileType.Directory:
+        return []
+    wanted = fs.FileType.Directory if folders else fs.FileType.File
+    return sorted(x.base_name for x in files.get_file_info(fs.FileSelector(path)) if x.type == wanted)
+
+
+def delete_folder(uri: str) -> None:
+    files, path = files_of(uri)
+    files.delete_dir(path)
