@@ -236,6 +236,20 @@ def union_channels(channels: dict[str, DataFrame]) -> DataFrame:
     return ordered.withColumn("seq", F.monotonically_increasing_id() + 1).drop("_rank")
 
 
+def fetch(url: str, timeout: float = 20, most: int = 600_000) -> tuple[str, bytes]:
+    """(status, body) of one address; an error's name is its status."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, headers={"User-Agent": "evidex"}), timeout=timeout) as answer:
+            return str(getattr(answer, "status", None) or 200), answer.read(most)
+    except HTTPError as error:
+        return str(error.code), b""
+    except Exception as error:
+        return type(error).__name__, b""
+
+
 class FetchReader(DataSourceReader):
     """Fetches addresses, one partition each; an error is a row with its name, never a failed task."""
 
@@ -247,18 +261,8 @@ class FetchReader(DataSourceReader):
         return [InputPartition(u) for u in self.urls] or [InputPartition(None)]
 
     def read(self, partition):
-        if partition.value is None:
-            return
-        from urllib.error import HTTPError
-        from urllib.request import Request, urlopen
-
-        try:
-            with urlopen(Request(partition.value, headers={"User-Agent": "evidex"}), timeout=self.timeout) as answer:
-                yield partition.value, str(answer.status), answer.read(self.most)
-        except HTTPError as error:
-            yield partition.value, str(error.code), b""
-        except Exception as error:
-            yield partition.value, type(error).__name__, b""
+        if partition.value is not None:
+            yield partition.value, *fetch(partition.value, self.timeout, self.most)
 
 
 class FetchSource(DataSource):
