@@ -80,6 +80,44 @@ def spliced(text: Column, name: str, block: Column) -> Column:
     return F.when(found != "", F.replace(text, found, fresh)).otherwise(text)
 
 
+def exported(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, index, missing) of Markdown ``files`` (name, text) by a registry (name, id, group, description, place).
+
+    documents: (id, document), a JSON text with title, outline, body and what the
+    front matter says; index: (place, id, title, group, lines, sections) in the
+    registry's order, index_document makes one text of it; missing: the names
+    that have no file. A document's title is its first heading of the first
+    level, else its name without the ending.
+    """
+    held = registry.join(files.select("name", "text"), "name")
+    bare = strip_frontmatter(F.col("text"))
+    body = held.select("id", bare.alias("text"))
+    place = F.struct("pos", "level", F.col("title").alias("text"), "anchor")
+    listed = outline(body).groupBy("id").agg(F.array_sort(F.collect_list(place)).alias("outline"))
+    rows = held.withColumn("markdown", bare).withColumn("front", frontmatter(F.col("text"))).join(listed, "id", "left")
+    rows = rows.withColumn("outline", F.coalesce("outline", F.array()))
+    first = F.get(F.filter("outline", lambda x: x["level"] == 1), 0)["text"]
+    rows = rows.withColumn("title", F.coalesce(first, F.regexp_replace("name", r"\.[^.]*$", "")))
+    told = F.struct("id", "title", "group", "description", F.col("name").alias("source"), F.transform("outline", lambda x: F.struct(x["level"].alias("level"), x["text"].alias("text"), x["anchor"].alias("anchor"))).alias("outline"),
+                    "markdown", F.try_element_at("front", F.lit("created")).alias("updated"), F.try_element_at("front", F.lit("status")).alias("status"))
+    sections = F.transform(F.filter("outline", lambda x: x["level"] == 2), lambda x: x["text"])
+    lines = F.size(F.split("markdown", "\n", -1))
+    index = rows.select("place", "id", "title", "group", "description", F.col("name").alias("source"), lines.alias("lines"), sections.alias("sections"))
+    missing = registry.join(files.select("name"), "name", "left_anti").select("name")
+    return rows.select("id", F.to_json(told).alias("document")), index, missing
+
+
+def index_document(index: DataFrame) -> DataFrame:
+    """(document): how many documents there are, their groups by first appearance, and their entries, in order.
+
+    A registry is configuration, so its entries fit into one text.
+    """
+    cols = [c for c in index.columns if c != "place"]
+    groups = index.groupBy("group").agg(F.min("place").alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "group"))), lambda x: x["group"]).alias("groups"))
+    entries = index.agg(F.count(F.lit(1)).alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("place", *cols))), lambda x: x.dropFields("place")).alias("results"))
+    return entries.crossJoin(groups).select(F.to_json(F.struct("total", "groups", "results")).alias("document"))
+
+
 def numbered_reports(reports: DataFrame) -> DataFrame:
     """Reports with their issue number, the first one being 1."""
     # One report a week: a thousand rows are twenty years, so one task orders them.

@@ -807,6 +807,33 @@ def doc_outline(spark, d):
     return documents.outline(docs).select("id", "pos", "level", "anchor")
 
 
+def _registry(spark, d):
+    """Every document but the fifths, which have no file, in three groups."""
+    i = F.col("id")
+    docs = _markdown(spark, d)
+    entry = docs.select(F.concat(F.lit("n"), i.cast("string"), F.lit(".md")).alias("name"), i.cast("string").alias("id"), F.concat(F.lit("g"), (i % 3).cast("string")).alias("group"), F.lit("about").alias("description"), i.alias("place"))
+    plain = F.when(i % 7 == 0, F.lit("no heading\n\nat all")).otherwise(F.col("text"))
+    files = docs.where(i % 5 != 0).select(F.concat(F.lit("n"), i.cast("string"), F.lit(".md")).alias("name"), plain.alias("text"))
+    return files, entry
+
+
+@query("docs_index", """with r as (select cast(doc_id as varchar) as id, doc_id as place, 'g' || cast(doc_id % 3 as varchar) as grp, doc_id % 7 = 0 as plain, doc_id % 3 as t from documents where doc_id % 5 <> 0)
+    select id, case when plain then 'n' || id else 'Part `One`!' end as title, case when plain then 3 else case t when 0 then 13 when 1 then 12 else 11 end end as n_lines, case when plain then '' else '中文 part' end as sections,
+        place - (select min(place) from r x where x.grp = r.grp) as after_group from r""")
+def docs_index(spark, d):
+    """The index as its one document has it: entries in order, groups by first appearance."""
+    index = documents.index_document(documents.exported(*_registry(spark, d))[1])
+    kind = "groups array<string>, results array<struct<id: string, title: string, group: string, lines: int, sections: array<string>>>"
+    b = index.select(F.from_json("document", kind).alias("b")).select(F.explode("b.results").alias("r"), "b.results").select("r.*", "results")
+    first = F.get(F.filter("results", lambda x: x["group"] == F.col("group")), 0)["id"]
+    return b.select("id", "title", F.col("lines").cast("long").alias("n_lines"), F.array_join("sections", ",").alias("sections"), (F.col("id").cast("long") - first.cast("long")).alias("after_group"))
+
+
+@query("docs_missing", "select 'n' || cast(doc_id as varchar) || '.md' as name from documents where doc_id % 5 = 0")
+def docs_missing(spark, d):
+    return documents.exported(*_registry(spark, d))[2]
+
+
 @query("frontmatter", "select doc_id as id, 'T' || cast(doc_id as varchar) as title, 'x: y' as tags, cast(2 as bigint) as n from documents")
 def frontmatter(spark, d):
     m = documents.frontmatter(F.col("text"))

@@ -64,3 +64,17 @@ def test_stages_are_isolated(spark):
 
     tables, stats = run_stages({"a": one}, [("first", good), ("second", bad), ("third", good)], lambda df: df)
     assert tables["a"].count() == 4 and stats["second"]["error"].startswith("ValueError") and stats["third"] == {"n": 2}
+
+
+def test_exported_documents(spark):
+    from evidex.operators import documents
+
+    files = spark.createDataFrame([("a.md", "---\ncreated: 2026-01-01\nstatus: open\n---\n# Title\n## One\ntext\n## Two\n"), ("b.md", "no heading"), ("x.md", "# not registered")], "name string, text string")
+    registry = spark.createDataFrame([("b.md", "b", "second", "B", 1), ("a.md", "a", "first", "A", 2), ("gone.md", "g", "first", "G", 3)], "name string, id string, `group` string, description string, place int")
+    told, index, missing = documents.exported(files, registry)
+    got = {r.id: json.loads(r.document) for r in told.collect()}
+    assert got["a"]["title"] == "Title" and got["a"]["updated"] == "2026-01-01" and got["a"]["status"] == "open" and got["b"]["title"] == "b"
+    assert [(o["level"], o["anchor"]) for o in got["a"]["outline"]] == [(1, "title"), (2, "one"), (2, "two")] and got["a"]["markdown"].startswith("# Title")
+    whole = json.loads(documents.index_document(index).first().document)
+    assert whole["total"] == 2 and whole["groups"] == ["second", "first"] and [e["id"] for e in whole["results"]] == ["b", "a"]
+    assert whole["results"][1]["sections"] == ["One", "Two"] and whole["results"][1]["lines"] == 5 and [r.name for r in missing.collect()] == ["gone.md"]
