@@ -74,6 +74,19 @@ TEMPLATES = {
 }
 
 
+#: Words that the templates of a table may have in all: they are part of the plan.
+MOST_WORDS = 60_000
+
+
+def templates_of(table: DataFrame, most: int = MOST_WORDS) -> dict[str, str]:
+    """Templates of a table (name, text), notices or full texts, whose size is checked before it is read; of one name the least text stays."""
+    known = table.where("name is not null and text is not null")
+    words = known.agg(F.sum(F.size(_words(F.col("text"))))).first()[0] or 0
+    if words > most:
+        raise ValueError(f"the templates have {words} words, more than {most}")
+    return {r["name"]: r["text"] for r in known.groupBy("name").agg(F.min("text").alias("text")).collect()}
+
+
 def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     """Distinct bigrams of each template, by name."""
     out = {}

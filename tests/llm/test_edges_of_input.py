@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from evidex.llm import exact_dedup, licences, line_dedup, media, packing, piece_codec, repeats, simhash, token_counts
+from evidex.llm import exact_dedup, licences, line_dedup, media, merkle, mixing, packing, piece_codec, repeats, simhash, token_counts, toxicity
 
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
 OPERATORS = {
@@ -16,6 +16,9 @@ OPERATORS = {
     "simhash": simhash.near_dedup,
     "lines": line_dedup.line_dedup,
     "repeats": repeats.remove_repeats,
+    "toxicity": lambda d: toxicity.toxicity(d, d.sparkSession.createDataFrame([(1, 0), (2, 1), (4, 1), (None, 1), (9, None)], "doc_id long, toxic int")),
+    "mixing": lambda d: mixing.mix(d.selectExpr("*", "key as source", "n as n_chars")),
+    "manifest": lambda d: merkle.manifest(d.selectExpr("*", "key as source", "n as n_chars")),
 }
 
 

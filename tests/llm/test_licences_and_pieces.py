@@ -39,6 +39,92 @@ def test_licence_scan(docs_of, awkward):
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) >= 4
 
 
+def expected(text, templates, threshold=0.8):
+    """(unit, licence, dice) of a text by trying every line, the whole text and every window."""
+    reach = threshold / (2 - threshold)
+    split = lambda part: re.findall(r"[^\W_]+", part.lower())
+    pairs_of = lambda words: list(zip(words, words[1:]))
+    known = {name: (set(pairs_of(split(t))), len(split(t)) - 1) for name, t in templates.items()}
+
+    def best(pairs):
+        a = set(pairs)
+        scores = [(-2 * len(a & t) / (len(a) + len(t)), name) for name, (t, _) in known.items()] if a else []
+        return min((x for x in scores if -x[0] >= threshold), default=None)
+
+    lines = text.split("\n")
+    words = [(w, n) for n, line in enumerate(lines) for w in split(line)]
+    pairs = pairs_of([w for w, _ in words])
+    in_lines = [(n, m) for n, line in enumerate(lines) if (m := best(pairs_of(split(line))))]
+    in_all = best(pairs) if len(lines) > 1 else None
+    out = [(n, m[1], -m[0]) for n, m in in_lines] + ([(-1, in_all[1], -in_all[0])] if in_all else [])
+    if in_all or len(lines) == 1 and in_lines:
+        return out
+    found = []
+    for name, (template, length) in known.items():
+        span = int(length / reach + 1e-9)
+        for i in (i for i, p in enumerate(pairs) if p in template):
+            for j in range(i, min(i + span, len(pairs))):
+                if pairs[j] in template:
+                    a = set(pairs[i : j + 1])
+                    dice = 2 * len(a & template) / (len(a) + len(template))
+                    if dice >= threshold:
+                        found.append((-dice, name, i, j))
+    touched = lambda i, j: any(words[i][1] <= n <= words[j + 1][1] for n, _ in in_lines)
+    kept = []
+    for loss, name, i, j in sorted(f for f in found if not touched(f[2], f[3])):
+        if all(y + 1 < i or j + 1 < x for x, y in kept):
+            kept.append((i, j))
+            out.append((words[i][1], name, -loss))
+    return out
+
+
+def test_windows_of_random_mixtures(docs_of):
+    import random
+
+    rnd = random.Random(11)
+    own = {
+        "short": "Released under the Sample License.", "notice": "Permission is granted to copy, modify and sell this thing, provided that this notice stays in all copies of the thing.",
+        "twin": "Permission is granted to copy, modify and sell this thing, provided that this text stays in all copies of the thing.", "repeats": "one two one two one two three four five one two",
+    }
+    noise = ["the", "License", "copy", "one", "two", "x", "thing", "of", "code", "=", "//", "*", "permission", "under"]
+    texts = []
+    for _ in range(160):
+        parts = []
+        for _ in range(rnd.randrange(1, 5)):
+            parts += [rnd.choice(noise) for _ in range(rnd.randrange(12))]
+            if rnd.random() < 0.7:
+                words = rnd.choice(list(own.values())).split()
+                for _ in range(rnd.randrange(3)):
+                    at = rnd.randrange(len(words))
+                    words[at : at + rnd.randrange(2)] = [rnd.choice(noise)] * rnd.randrange(2)
+                parts += words
+        glue = rnd.choice([[" "], [" ", " ", "\n"], [" ", "\n", "\n// "], [" ", " ", " ", "\n * "]])
+        texts.append("".join(w + rnd.choice(glue) for w in parts))
+    got: dict[int, list] = {}
+    for r in licences.licence_scan(docs_of([*enumerate(texts)]), own).collect():
+        got.setdefault(r.doc_id, []).append((r.unit, r.licence, round(r.dice, 9)))
+    want = {i: sorted((u, n, round(d, 9)) for u, n, d in expected(t, own)) for i, t in enumerate(texts)}
+    assert {i: sorted(g) for i, g in got.items()} == {i: w for i, w in want.items() if w}
+    assert sum(len(w) for w in want.values()) > 100 and {n for w in want.values() for _, n, _ in w} == set(own)
+
+
+def test_templates_of_a_table(spark, docs_of):
+    import random
+
+    import pytest
+
+    rnd = random.Random(5)
+    full = [" ".join(f"w{rnd.randrange(300)}" for _ in range(700)) for _ in range(2)]
+    table = spark.createDataFrame([("A", full[0]), ("B", full[1]), ("C", "This thing is free."), (None, "x"), ("D", None), ("C", "This thing is free of charge.")], "name string, text string")
+    known = licences.templates_of(table)
+    assert set(known) == {"A", "B", "C"} and known["C"] == "This thing is free of charge."
+    body = full[0].split()
+    texts = ["code before\n" + "\n".join(" ".join(body[i : i + 9]) for i in range(0, 700, 9)) + "\nand a long end " + "y z " * 900, full[1], "This thing is free of any charge.", "nothing"]
+    assert {(r.doc_id, r.licence) for r in licences.licence_scan(docs_of([*enumerate(texts)]), known).collect()} >= {(0, "A"), (1, "B")}
+    with pytest.raises(ValueError, match="words"):
+        licences.templates_of(table, 1000)
+
+
 def test_piece_codec(docs_of, awkward):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
