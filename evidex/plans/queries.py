@@ -12,7 +12,7 @@ from ..functions import patterns as P
 from ..functions import text as T
 from ..functions import url as U
 from ..functions.simhash import simhash, simhash_hex
-from ..functions.vector import from_base64, quantise, to_base64
+from ..functions.vector import cosine, from_base64, quantise, to_base64
 from ..operators import dedup, reports, review, search, similarity, tables, verify
 from ..operators import events as E
 from ..operators.comparators import ComparatorIndex
@@ -760,14 +760,19 @@ _PROMPT_WORDS = "[" + listed(sorted(set(_PROMPT.split()))) + "]"
 
 @query(
     "brief_score",
-    f"""with s as (select doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z]{{2,}}')), {_PROMPT_WORDS})) + 6 * (doc_id % 7) / 10.0
-        + case when doc_id % 3 = 0 then 2 when doc_id % 3 = 1 then 1 else 0 end as score from documents)
+    f"""with q as (select cast(embedding as double[]) as e from embeddings order by vec_id limit 1),
+    s as (select d.doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z]{{2,}}')), {_PROMPT_WORDS})) + 6 * coalesce(list_cosine_similarity(cast(v.embedding as double[]), q.e), 0)
+        + case when d.doc_id % 3 = 0 then 2 when d.doc_id % 3 = 1 then 1 else 0 end as score from documents d left join embeddings v on v.vec_id = d.doc_id left join q on true)
     select doc_id, round(score, 6) as score from s order by round(score, 6) desc, doc_id limit 15""",
 )
 def brief_score(spark, d):
+    """Nearness to the first vector counts six times, for documents that have one."""
+    vectors = table(spark, d, "embeddings")
+    first = vectors.orderBy("vec_id").select("embedding").first()
+    near = cosine(F.array(*(F.lit(float(x)) for x in first[0])), F.col("embedding")) if first else F.lit(None).cast("double")
     status = F.when(F.col("doc_id") % 3 == 0, "new").when(F.col("doc_id") % 3 == 1, "continuing").otherwise("old")
-    rows = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 7 / 10.0).alias("sim"), status.alias("status"))
-    return search.brief_candidates(rows, "doc_id", "text", _PROMPT, F.col("sim"), F.col("status")).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id")
+    rows = table(spark, d, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), near.alias("sim")), "doc_id", "left").select("doc_id", "text", "sim", status.alias("status"))
+    return search.brief_candidates(rows, "doc_id", "text", _PROMPT, F.round("sim", 9), F.col("status")).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id")
 
 
 @query(
@@ -821,14 +826,17 @@ def flag_once(spark, d):
 
 @query(
     "stale_suspects",
-    f"""with {SQL_EVENTS}, f as (select event_id as k, unnest([event_id, event_id + 1, event_id + 2]) as id from ev where confidence >= 4),
+    f"""with {SQL_EVENTS}, f as (select event_id as k, unnest([event_id, event_id + 1, event_id + 2]) as id from ev where event_id % 10 in (0, 3)),
     live as (select k, bool_and(id in (select event_id from ev)) as live from f group by k),
     m as (select f.id, bool_or(live.live) as live from f join live on live.k = f.k group by f.id)
     select e.event_id as id from ev e join m on m.id = e.event_id where not m.live""",
 )
 def stale_suspects(spark, d):
+    """Every event is a suspect; of the flagged groups those that begin at a three name an event that is gone."""
     events = X.events(spark, d).select(F.col("event_id").cast("string").alias("id"), F.lit("suspect_duplicate").alias("review_state"))
-    return review.stale_suspects(events, _flags(spark, d)).select(F.col("id").cast("long").alias("id"))
+    e = F.col("event_id")
+    flags = X.events(spark, d).where("event_id % 10 in (0, 3)").select(F.lit("flag").alias("action"), F.array_join(F.transform(F.array(e + 2, e, e + 1), lambda x: x.cast("string")), "|").alias("target_id"))
+    return review.stale_suspects(events, flags).select(F.col("id").cast("long").alias("id"))
 
 
 @query("review_queue", f"with {SQL_EVENTS} select event_id as id, case when event_id % 5 = 0 then 'suspect_duplicate' else 'pending' end as review_state from ev where confidence = 5 or event_id % 5 = 0")

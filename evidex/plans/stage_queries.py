@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import text as T
+from ..functions.vector import from_base64, quantise, to_base64
 from ..operators import documents, export, reports, review, screening, search, stages, tables, verify
 from ..operators import events as E
 from ..operators.versions import VersionedTable
@@ -650,11 +651,13 @@ def open_pairs(spark, d):
     return E.open_pairs(pairs, _edges(spark, d), _none(spark, REVIEWS)).select("a", "b")
 
 
-@query("carried_vectors", "select vec_id as id, case when vec_id % 3 = 0 then 'old' else 'new' end as which from embeddings")
+@query("carried_vectors", f"""with {SQL_QUANT} select vec_id as id, array_to_string(case when vec_id % 3 = 0 then list_transform(q, lambda x: -x) else q end, ',') as q from v where vec_id % 3 <> 0 or vec_id % 4 <> 1""")
 def carried_vectors(spark, d):
-    """A third of the vectors is known from the pack before only."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    return reports.carried_vectors(e.where("id % 3 <> 0").withColumn("vector", F.lit("new")), e.where("id % 2 = 0 or id % 3 = 0").withColumn("vector", F.lit("old"))).withColumnRenamed("vector", "which")
+    """Packed vectors, of which a third is known from the pack before only; that one has all but some, turned round."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), quantise(F.col("embedding")).alias("q"))
+    new = e.select("id", F.when(F.col("id") % 3 != 0, to_base64(F.col("q"))).alias("vector"))
+    old = e.where("id % 4 <> 1").select("id", to_base64(F.transform("q", lambda x: -x)).alias("vector"))
+    return reports.carried_vectors(new, old).select("id", F.array_join(from_base64(F.col("vector")).cast("array<string>"), ",").alias("q"))
 
 
 @query("registry_upsert", "select cast(n_nationkey as varchar) as id, case when n_nationkey % 4 = 0 then 'given' else n_name end as name, cast(1.0 as double) as reliability from nation")
