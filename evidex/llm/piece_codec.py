@@ -89,39 +89,44 @@ def in_lines(tokenizer):
 
 
 class PieceDecoder:
-    """Text of ids by the rebuilt decoder; what follows a marked piece up to the next one is decoded once and remembered."""
+    """Text of ids by the rebuilt decoder. It treats pieces one by one but for runs of bytes, so each piece is decoded once, and each such run."""
 
     def __init__(self, path: str):
         self.model = PieceModel.load(path)
         self.tokenizer = rebuilt(self.model)
-        self.opens = np.array([p[0] == SPACE for p in self.model.pieces])
-        self.known: dict[bytes, str] = {}
+        self.is_byte = np.array([k == BYTE for k in self.model.kinds])
+        self.pieces = self._decoded([[i] for i in range(len(self.model.pieces))])
+        self.runs: dict[bytes, str] = {}
 
-    def _learn(self, runs: list[bytes]) -> None:
-        """Decode runs behind a piece that keeps its place: the decoder treats only the front of a whole text otherwise."""
+    def _decoded(self, given: list[list[int]]) -> list[str]:
+        """Decode behind a piece that keeps its place: the decoder treats only the front of a whole text otherwise."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         guard = [i for i, p in enumerate(self.model.pieces) if p == "x" or p == SPACE + "x"][:1] or [self.model.pieces.index(SPACE)]
         front = len(self.tokenizer.decode(guard, skip_special_tokens=False))
-        given = [guard + np.frombuffer(run, "<u4").tolist() for run in runs]
-        for run, text in zip(runs, self.tokenizer.decode_batch(given, skip_special_tokens=False)):
-            self.known[run] = text[front:]
+        return [t[front:] for t in self.tokenizer.decode_batch([guard + ids for ids in given], skip_special_tokens=False)]
 
     def decode(self, texts: list[bytes]) -> list[str]:
         """Texts of little-endian 32-bit ids; a marker before the text goes, bytes that are no UTF-8 are replaced."""
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        cut = []
-        for data in texts:
-            at = (4 * np.flatnonzero(self.opens[np.frombuffer(data, "<u4")])).tolist()
-            bounds = [*([0] if not at or at[0] else []), *at, len(data)]
-            cut.append([data[i:j] for i, j in zip(bounds, bounds[1:])])
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*cut) - self.known.keys())
-        self._learn(new)
-        found = ["".join(map(self.known.__getitem__, runs)) for runs in cut]
+        numbers = [np.frombuffer(data, "<u4") for data in texts]
+        # Where runs of bytes begin and end in each text.
+        cuts = [np.flatnonzero(np.diff(self.is_byte[ids], prepend=False, append=False)).reshape(-1, 2).tolist() for ids in numbers]
+        new = list({ids[i:j].tobytes() for ids, at in zip(numbers, cuts) for i, j in at} - self.runs.keys())
+        self.runs.update(zip(new, self._decoded([np.frombuffer(run, "<u4").tolist() for run in new]) if new else ()))
+        out, piece = [], self.pieces.__getitem__
+        for ids, at in zip(numbers, cuts):
+            parts, done = [], 0
+            for i, j in at:
+                parts += [*map(piece, ids[done:i].tolist()), self.runs[ids[i:j].tobytes()]]
+                done = j
+            parts += map(piece, ids[done:].tolist())
+            text = "".join(parts)
+            out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
         for run in new:
             if len(run) > 4 * REMEMBERED_CHARS:
-                del self.known[run]
-        return [t[1:] if self.model.dummy_prefix and t[:1] == " " else t for t in found]
+                self.runs.pop(run, None)
+        return out
 
 
 class PieceEncoder:
