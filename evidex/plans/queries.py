@@ -179,7 +179,8 @@ def simhash_query(spark, d):
 )
 def hamming_pairs(spark, d):
     """Pairs of classes of equal fingerprints, each by its smallest document; simhash gives the members."""
-    prints = simhash(table(spark, d, "documents"), "doc_id", "text").groupBy("simhash").agg(F.min("doc_id").alias("id"))
+    # Written: texts are hashed once, whatever counts, joins and names the prints.
+    prints = written(spark)(simhash(table(spark, d, "documents"), "doc_id", "text").groupBy("simhash").agg(F.min("doc_id").alias("id")))
     pairs = similarity.hamming_pairs(prints)
     ids = lambda c, n: prints.select(F.col("simhash").alias(c), F.col("id").alias(n))
     named = pairs.join(ids("a", "x"), "a").join(ids("b", "y"), "b")
