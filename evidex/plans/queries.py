@@ -15,6 +15,7 @@ from ..functions.simhash import simhash, simhash_hex
 from ..functions.vector import cosine, from_base64, quantise, to_base64
 from ..operators import dedup, reports, review, search, similarity, tables, verify
 from ..operators import events as E
+from ..operators.brief_index import BriefIndex
 from ..operators.comparators import ComparatorIndex
 from ..operators.gram_index import GramIndex
 from ..operators.gram_index import hybrid_search as indexed_search
@@ -759,21 +760,39 @@ _PROMPT = "the worthless license of thing and ering version"
 _PROMPT_WORDS = "[" + listed(sorted(set(_PROMPT.split()))) + "]"
 
 
-@query(
-    "brief_score",
-    f"""with q as (select cast(embedding as double[]) as e from embeddings order by vec_id limit 1),
+_SQL_BRIEF = f"""with q as (select cast(embedding as double[]) as e from embeddings order by vec_id limit 1),
     s as (select d.doc_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z]{{2,}}')), {_PROMPT_WORDS})) + 6 * coalesce(list_cosine_similarity(cast(v.embedding as double[]), q.e), 0)
         + case when d.doc_id % 3 = 0 then 2 when d.doc_id % 3 = 1 then 1 else 0 end as score from documents d left join embeddings v on v.vec_id = d.doc_id left join q on true)
-    select doc_id, round(score, 6) as score from s order by round(score, 6) desc, doc_id limit 15""",
-)
-def brief_score(spark, d):
-    """Nearness to the first vector counts six times, for documents that have one."""
+    select doc_id, round(score, 6) as score from s order by round(score, 6) desc, doc_id limit 15"""
+
+
+def _nearness(spark, d):
+    """Documents with their similarity to the first vector, which counts six times, and their status."""
     vectors = table(spark, d, "embeddings")
     first = vectors.orderBy("vec_id").select("embedding").first()
     near = cosine(F.array(*(F.lit(float(x)) for x in first[0])), F.col("embedding")) if first else F.lit(None).cast("double")
     status = F.when(F.col("doc_id") % 3 == 0, "new").when(F.col("doc_id") % 3 == 1, "continuing").otherwise("old")
-    rows = table(spark, d, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), near.alias("sim")), "doc_id", "left").select("doc_id", "text", "sim", status.alias("status"))
-    return search.brief_candidates(rows, "doc_id", "text", _PROMPT, F.round("sim", 9), F.col("status")).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id")
+    rows = table(spark, d, "documents").join(vectors.select(F.col("vec_id").alias("doc_id"), near.alias("sim")), "doc_id", "left")
+    return rows.select("doc_id", "text", F.round("sim", 9).alias("sim"), status.alias("status"))
+
+
+@query("brief_score", _SQL_BRIEF)
+def brief_score(spark, d):
+    rows = _nearness(spark, d)
+    return search.brief_candidates(rows, "doc_id", "text", _PROMPT, F.col("sim"), F.col("status")).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id")
+
+
+@query("brief_score_indexed", _SQL_BRIEF)
+def brief_score_indexed(spark, d):
+    """The same by posting lists, from rare to common, until nothing unread can enter the top."""
+    written(spark)
+    rows = _nearness(spark, d)
+    index = BriefIndex(spark, f"{shared_folder(spark)}/briefs-{uuid.uuid4().hex}")
+    index.build(table(spark, d, "documents"), "doc_id", "text")
+    news = F.when(F.col("status") == "new", 2).when(F.col("status") == "continuing", 1).otherwise(0)
+    static = rows.select(F.col("doc_id").alias("key"), (6 * F.coalesce("sim", F.lit(0.0)) + news).alias("static"))
+    found = index.top(_PROMPT, static)
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id")
 
 
 @query(
