@@ -62,7 +62,7 @@ class BriefIndex:
         rest = best[-1] if len(best) == top * STATIC else 0.0
         sizes = {r["gram"]: r["n"] for r in self._lists(grams).groupBy("gram").agg(F.sum("n").alias("n")).collect()} if grams else {}
         order = sorted(sizes, key=lambda g: (sizes[g], g))
-        self.all, done, step = sum(sizes.values()), 0, 1
+        self.all, done = sum(sizes.values()), 0
         counts = write(own.select("doc").where("false").withColumn("n", F.lit(0).cast("long")))
         while True:
             left = len(order) - done
@@ -73,10 +73,10 @@ class BriefIndex:
             least = sure[-1] if len(sure) == top else -1.0
             if left == 0 or left + rest < least:
                 break
-            more = order[done : done + step]
+            more = order[done : done + max(1, left // 4)]
             found = self._lists(more).select(F.explode("docs").alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
             counts = write(counts.unionByName(found).groupBy("doc").agg(F.sum("n").alias("n")))
-            done, step = done + len(more), step * 2
+            done += len(more)
         self.read = sum(sizes[g] for g in order[:done])
         if left == 0:
             chosen = held
