@@ -48,7 +48,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies: five-word Jaccard 0.8 or more, see near_copies.
 
-    SimHash can't find that similarity at radius 4, so this stage is not built on it; the README has the figures.
+    SimHash proposes them, by fingerprints of 320 bits, as radius 4 of 64 bits can't find that similarity; the README has the figures.
 
     Rows are dropped by doc_id and text: another text of the same doc_id stays,
     and so does the first of rows without one. Of groups that tie in doc_id the

@@ -1,19 +1,21 @@
-"""Near copies by the Jaccard similarity of word-shingle sets: MinHash bands propose, the texts decide.
+"""Near copies by the Jaccard similarity of word-shingle sets: SimHash proposes, the texts decide.
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard
-similarity of 0.8 or more. Every distinct set has ``BANDS`` keys of ``ROWS``
-least hashes each; sets of similarity s share a key with a probability of
-1 - (1 - s^ROWS)^BANDS, 0.997 at 0.8 and 0.99996 at 0.85, and unlike sets that
-share passages seldom do. Sets that share a key are compared with the least of
-them. Where that leaves them in several components, all sets that share any key
+similarity of 0.8 or more. Every distinct set has a SimHash fingerprint of 320
+bits (``wide_fingerprints``), whose 16 bands meet by balls (``near_pairs``):
+sets of similarity 0.8 differ in a bit with a probability of 0.151, have one of
+16 bands within two bits with 0.9997 and are then 48 bits apart, while unlike
+ones are 160 apart. Each set is compared with the least and the nearest that it
+meets in each group within ``DIFFERING`` bits.
+Where that leaves them in several components, all sets that have met any
 meet again under their rarest shingles: two sets of that similarity share one
 of the fifth of each that is rarest among them, while what unlike texts share,
 a common passage, is not rare. There the smallest and the largest set of a key
-meet the others first, then all; sets of one component are not compared, nor such as can't share enough by what stands behind the key or by the last bits
-of their least hashes. A comparison looks at sizes and at the 256 least
-hashes first, by which a pair of similarity 0.8 is passed over with a
-probability of about a millionth, then at the texts themselves. The links
-found contract to components. Neither copies of one text nor the members of a
+meet the others first, then all; sets of one component are not compared, nor
+such as can't share enough by what stands behind the key or by their
+fingerprints. A comparison looks at sizes and fingerprints first, by which a
+pair of similarity 0.8 is passed over with a probability of about a millionth,
+then at the texts themselves. The links found contract to components. Neither copies of one text nor the members of a
 component are compared with each other; sets that nearly reach the similarity
 are, pair by pair.
 
@@ -36,56 +38,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .simhash import SHINGLES_AT_ONCE, components, shingle_hashes
+from .simhash import BANDS, SHINGLES_AT_ONCE, WORD_COLUMNS, bands_of, components, distance, near_pairs, shingle_hashes, wide_fingerprints
 from .text import whole
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 8
-#: Share of equal least hashes under which a pair is passed over: five deviations below what 0.8 gives.
-AGREEING = 0.68
-#: Differing last bits of the 256 least hashes over which a pair is passed over: of similarity 0.8 it has 26, five deviations are 24.
-DIFFERING = 50
+#: Differing bits of the wide fingerprints over which a pair is passed over: of similarity 0.8 it has 48, five deviations are 32.
+DIFFERING = 80
 #: Parts into which the partners of one set are dealt.
 PARTS = 16
 
-_DRAWN = np.random.default_rng(8)
-_FLIP = _DRAWN.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_TIMES = _DRAWN.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """Distinct shingle hashes of a text, in order."""
     return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def least_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS * ROWS least hashes for each set; the empty set has none but the greatest number."""
-    lows = np.full((len(sets), BANDS * ROWS), np.iinfo(np.uint64).max)
-    full = [i for i, s in enumerate(sets) if len(s)]
-    if full:
-        flat = np.concatenate([sets[i] for i in full])
-        starts, turned = np.cumsum([0, *(len(sets[i]) for i in full[:-1])]), np.empty_like(flat)
-        for k in range(BANDS * ROWS):
-            np.bitwise_xor(flat, _FLIP[k], out=turned)
-            np.multiply(turned, _TIMES[k], out=turned)
-            lows[full, k] = np.minimum.reduceat(turned, starts)
-    return lows
-
-
-def band_keys(lows: np.ndarray) -> np.ndarray:
-    """A row of ``BANDS`` keys for each row of least hashes."""
-    out = np.zeros((len(lows), BANDS), np.uint64)
-    for band in range(BANDS):
-        key = np.full(len(lows), band + 1, np.uint64)
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            key = _mixed(key ^ _mixed(lows[:, k]))
-        out[:, band] = key
-    return out
+def band_keys(prints: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS`` keys for each wide fingerprint."""
+    return bands_of(prints)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,16 +69,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets.append(shingle_set(texts[done].as_buffer().to_pybytes()))
                 held, done = held + len(sets[-1]), done + 1
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            lows = least_hashes(sets)
-            keys = pa.array(band_keys(lows).view(np.int64).ravel())
+            prints = wide_fingerprints(sets)
+            keys = pa.array(band_keys(prints).astype(np.int32).ravel())
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), keys)
             sizes = pa.array(np.array([len(s) for s in sets], np.int64))
-            signs = pa.array([row.tobytes() for row in (lows >> np.uint64(40)).astype(np.uint8)], pa.binary())
-            bits = np.packbits((lows & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64).ravel()
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BANDS * ROWS // 64)), pa.array(bits))
+            words = [pa.array(np.ascontiguousarray(word)) for word in prints.view(np.int64).T]
             part = given.slice(first, done - first)
-            columns = [part.column(0), part.column(1), pa.array(nodes), bands, sizes, signs, bits]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "bands", "size", "signs", "bits"])
+            columns = [part.column(0), part.column(1), pa.array(nodes), bands, sizes, *words]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "bands", "size", *WORD_COLUMNS])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,16 +107,16 @@ def rare_keys(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) that are alike, from rows (a, node, size, signs, text) that follow the row of a itself."""
-    a, size_a, signs_a, one = None, 0, None, None
+    """(a, b) that are alike, from rows (a, node, size, WORD_COLUMNS, text) that follow the row of a itself."""
+    a, size_a, print_a, one = None, 0, None, None
     for given in batches:
         own, nodes, sizes = (given.column(c).to_numpy() for c in ("a", "node", "size"))
-        signs = np.frombuffer(b"".join(given.column("signs").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        prints = np.stack([given.column(c).to_numpy() for c in WORD_COLUMNS], axis=1)
         texts, found = given.column("text"), []
         for i in range(given.num_rows):
             if own[i] == nodes[i]:
-                a, size_a, signs_a, one = own[i], sizes[i], signs[i], shingle_set(texts[i].as_buffer().to_pybytes())
-            elif min(size_a, sizes[i]) >= SIMILARITY * max(size_a, sizes[i]) and (signs_a == signs[i]).mean() >= AGREEING:
+                a, size_a, print_a, one = own[i], sizes[i], prints[i : i + 1], shingle_set(texts[i].as_buffer().to_pybytes())
+            elif min(size_a, sizes[i]) >= SIMILARITY * max(size_a, sizes[i]) and distance(print_a, prints[i : i + 1])[0] <= DIFFERING:
                 two = shingle_set(texts[i].as_buffer().to_pybytes())
                 common = len(np.intersect1d(one, two, assume_unique=True))
                 if common >= SIMILARITY * (len(one) + len(two) - common):
@@ -169,22 +137,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row"), whole(F.col("text")).alias("text"))
-    signed = rows.select("row.*", "text").mapInArrow(_signed, "doc_id long, text_hash long, node long, bands array<long>, size long, signs binary, bits array<long>")
+    words = ", ".join(f"{c} long" for c in WORD_COLUMNS)
+    signed = rows.select("row.*", "text").mapInArrow(_signed, f"doc_id long, text_hash long, node long, bands array<int>, size long, {words}")
     signed = scratch.write(signed, "signed")
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
-    # One row for each set stands for its keys: that of the first document.
-    one = F.struct(order.alias("first"), "bands", "size", "signs", "bits")
+    # One row for each set stands for its fingerprint: that of the first document.
+    one = F.struct(order.alias("first"), "bands", "size", *WORD_COLUMNS)
     nodes = scratch.write(signed.groupBy("node").agg(F.min_by(one, order).alias("one")).select("node", "one.*"), "nodes")
     signed = signed.select("doc_id", "text_hash", "node")
-    met = nodes.select("node", F.explode("bands").alias("band"))
-
-    # No window: a crowded key would crowd it.
-    least = met.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = scratch.write(met.join(least, "band").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "met")
+    met = scratch.write(near_pairs(nodes.select("node", "bands", *WORD_COLUMNS), DIFFERING), "met")
     once = F.struct("first.doc_id", "first.text_hash").alias("row")
     some = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = scratch.write(nodes.join(some, "node").select("node", "size", "signs", "bits", once), "asked")
-    texts = scratch.write(rows.join(asked.select("node", "size", "signs", "row"), "row").dropDuplicates(["node"]).select("node", "size", "signs", "text"), "texts")
+    asked = scratch.write(nodes.join(some, "node").select("node", "size", *WORD_COLUMNS, once), "asked")
+    texts = scratch.write(rows.join(asked, "row").dropDuplicates(["node"]).select("node", "size", *WORD_COLUMNS, "text"), "texts")
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The text of a goes once to each of the parts into which its partners are dealt; these pass it one by one."""
@@ -192,15 +157,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
         first = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").withColumn("node", F.col("a"))
         others = dealt.withColumnRenamed("b", "node").join(texts, "node")
         both = first.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("node") != F.col("a"))
-        return scratch.write(both.select("a", "node", "size", "signs", "text").mapInArrow(_alike, "a long, b long"), "found")
+        return scratch.write(both.select("a", "node", "size", *WORD_COLUMNS, "text").mapInArrow(_alike, "a long, b long"), "found")
 
     links = alike(met)
-    words = [F.get("bits", k).alias(f"bits{k}") for k in range(BANDS * ROWS // 64)]
-    keys = scratch.write(rare_keys(texts.select("node", "text"), scratch).join(asked.select("node", *words), "node"), "keys")
+    keys = scratch.write(rare_keys(texts.select("node", "text"), scratch).join(asked.select("node", *WORD_COLUMNS), "node"), "keys")
     larger, smaller = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
     common = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
     enough = (smaller >= SIMILARITY * larger - 1e-6) & (common * (1 + SIMILARITY) >= SIMILARITY * (F.col("size_a") + F.col("size_b")) - 1e-6)
-    apart = sum((F.bit_count(F.col(f"bits{k}_a").bitwiseXOR(F.col(f"bits{k}_b"))) for k in range(len(words))), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in WORD_COLUMNS), F.lit(0))
 
     def across(links: DataFrame, ends: bool) -> DataFrame:
         """(a, b) of different components that may be alike; with ``ends`` of the smallest and largest set of each key alone."""

@@ -13,6 +13,10 @@ meets and emits at most one link a fingerprint and batch of prefixes, every
 one checked again by its distance. Links then contract by alternating large
 and small stars over tables in the shared folder.
 
+For a similarity far below what four bits of 64 find, ``near_pairs`` takes wide
+fingerprints of ``WORDS`` such words: their bands meet by the same balls, and
+the whole fingerprints decide.
+
 Defined cases: a null or empty text has the fingerprint zero and is linked
 like any other; rows of one fingerprint are one node, however many there are;
 a null doc_id is passed through and never is the smallest unless all are null;
@@ -42,6 +46,14 @@ PREFIX_BITS, MOST_PREFIX_BITS, PREFIX_SHARE = 16, 28, 4
 SEED = 42
 #: Shingles whose bits are unpacked at once, and variants that are held at once.
 SHINGLES_AT_ONCE, VARIANTS_AT_ONCE = 1 << 16, 1 << 21
+#: Words of 64 bits of a wide fingerprint, its bands, and the bits of a band.
+WORDS, BANDS, BAND_BITS = 5, 16, 20
+#: Bits of the parts of a band: two bands that differ in two bits agree in one of three parts.
+PARTS_OF_BAND = (0x7F << 13, 0x7F << 6, 0x3F)
+#: Variants of bands that are held, and pairs that are compared, at once.
+BANDED_AT_ONCE, COMPARED_AT_ONCE = 1 << 18, 1 << 14
+#: Names of the columns of a wide fingerprint.
+WORD_COLUMNS = [f"word{k}" for k in range(WORDS)]
 
 _WORDS = re.compile(f"[^{re.escape(WHITE_SPACE)}]+".encode())
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -83,6 +95,47 @@ def fingerprints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _remixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The hashes themselves for the first word, others of the same shingles for each further one."""
+    if not word:
+        return hashes
+    x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``WORDS`` words of majority bits for each set of shingle hashes; the empty set gives zeros."""
+    counts = np.array([len(s) for s in sets], np.int64)
+    flat, ends = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.cumsum(counts)
+    sums, weights = np.zeros((len(sets), 64), np.int64), np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
+    # Runs of up to 255 shingles of one set: their bits add up in bytes, eight at once.
+    runs = -(-counts // 255)
+    owner = np.repeat(np.arange(len(sets)), runs)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+    starts = (ends - counts)[owner] + 255 * nth
+    out = np.zeros((len(sets), WORDS), np.uint64)
+    at_once = SHINGLES_AT_ONCE // 255
+    for word in range(WORDS):
+        sums[:] = 0
+        for lo in range(0, len(starts), at_once):
+            first, last = starts[lo], starts[lo + at_once] if lo + at_once < len(starts) else len(flat)
+            bits = np.unpackbits(_remixed(flat[first:last], word).astype(">u8").view(np.uint8)).view(np.uint64).reshape(-1, 8)
+            some = np.add.reduceat(bits, starts[lo : lo + at_once] - first, axis=0).view(np.uint8)
+            mine = owner[lo : lo + at_once]
+            heads = np.flatnonzero(np.diff(mine, prepend=-1))
+            sums[mine[heads]] += np.add.reduceat(some, heads, axis=0, dtype=np.int64)
+        out[:, word] = ((2 * sums > counts[:, None]) * weights).sum(axis=1, dtype=np.uint64)
+    return out
+
+
+def bands_of(prints: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS`` numbers of ``BAND_BITS`` bits for each wide fingerprint; together they are all its bits."""
+    bits = np.unpackbits(prints.astype(">u8").view(np.uint8), axis=1).reshape(len(prints), BANDS, BAND_BITS)
+    return (bits * (1 << np.arange(BAND_BITS - 1, -1, -1, dtype=np.int64))).sum(axis=2)
+
+
 def _fingerprinted(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
@@ -224,6 +277,126 @@ def near_links(prints: DataFrame, radius: int = RADIUS, prefix_bits: int = PREFI
     )
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of the wide fingerprints in the rows of ``a`` and ``b``."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it counts the magnitude's
+
+
+def _within(group: np.ndarray, prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, differing bits) within ``most``, of rows in order of what is to come first, from their groups' ``_banded`` keys.
+
+    At each variant the first row that nothing has been near meets all others there,
+    until none is left: what is near another there is near one of the pairs given.
+    """
+    part, value = (group >> 40) & 3, group & ((1 << BAND_BITS) - 1)
+    # What parts a variant from others: its group, numbered from zero, and its bits.
+    base = np.unique(group >> BAND_BITS, return_inverse=True)[1].astype(np.int64) << BAND_BITS | value
+    rows = [np.flatnonzero(part == k) for k in range(len(PARTS_OF_BAND))]
+    masks = [[0, *(1 << b for b in range(BAND_BITS) if not equal >> b & 1)] for equal in PARTS_OF_BAND]
+    shards = -(-sum(len(r) * len(m) for r, m in zip(rows, masks)) // BANDED_AT_ONCE)
+    found = [np.zeros((3, 0), np.int64)]
+    for shard in range(shards):
+        keys, owners = [], []
+        for mine, flipped in zip(rows, masks):
+            for mask in flipped:
+                variants = base[mine] ^ mask
+                held = (variants.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shards) == shard
+                keys.append(variants[held])
+                owners.append(mine[held])
+        found += _near_first(np.concatenate(keys), np.concatenate(owners), prints, most)
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _near_first(keys: np.ndarray, owner: np.ndarray, prints: np.ndarray, most: int) -> list[np.ndarray]:
+    """The pairs (row, row, differing bits) of ``_within`` at the variants ``keys`` of the rows ``owner``."""
+    order = np.lexsort((owner, keys))
+    keys, owner = keys[order], owner[order]
+    head = np.diff(keys, prepend=-1) != 0
+    bucket = np.cumsum(head) - 1
+    stays = (np.bincount(bucket) > 1)[bucket]
+    owner, bucket, found = owner[stays], bucket[stays], []
+    free = np.ones(len(owner), bool)
+    while len(owner):
+        bucket = np.cumsum(np.diff(bucket, prepend=-1) != 0) - 1
+        at = np.flatnonzero(free)
+        lead = owner[at[np.diff(bucket[at], prepend=-1) != 0]][bucket]
+        near = np.zeros(len(owner), bool)
+        for lo in range(0, len(owner), COMPARED_AT_ONCE):
+            one, two = lead[lo : lo + COMPARED_AT_ONCE], owner[lo : lo + COMPARED_AT_ONCE]
+            apart = distance(prints[one], prints[two])
+            near[lo : lo + COMPARED_AT_ONCE] = hit = apart <= most
+            hit = hit & (one != two)
+            found.append(np.stack([one[hit], two[hit], apart[hit]]))
+        free &= ~near
+        stays = (np.bincount(bucket, free) > 0)[bucket]
+        owner, bucket, free = owner[stays], bucket[stays], free[stays]
+    return found
+
+
+def _partners(one: np.ndarray, two: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's pairs that with the first row and that with the nearest."""
+    a, b, d = np.concatenate([one, two]), np.concatenate([two, one]), np.concatenate([apart, apart])
+    picked = []
+    for order in (np.lexsort((b, a)), np.lexsort((b, d, a))):
+        picked.append(order[np.diff(a[order], prepend=-1) != 0])
+    picked = np.unique(np.concatenate(picked))
+    return a[picked], b[picked], d[picked]
+
+
+def _near_in_groups(most: int):
+    def pairs(group: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        distinct, number = np.unique(nodes, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        one, two, apart = _within(group[order], prints[order], most)
+        a, b, d = _partners(number[order][one], number[order][two], apart)
+        return pa.RecordBatch.from_arrays([pa.array(distinct[a]), pa.array(distinct[b]), pa.array(d)], ["a", "b", "apart"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for given in batches:  # sorted by group, whose last one may go on in the next batch
+            if not given.num_rows:
+                continue
+            held.append(np.stack([given.column(c).to_numpy(zero_copy_only=False) for c in ("banded", "node", *WORD_COLUMNS)]))
+            rows += given.num_rows
+            if rows < 10_000 or held[-1][0, -1] >> BAND_BITS == held[0][0, 0] >> BAND_BITS:
+                continue
+            table = np.concatenate(held, axis=1)
+            groups = table[0] >> BAND_BITS
+            cut = int(np.searchsorted(groups, groups[-1]))
+            yield pairs(table[0, :cut], table[1, :cut], table[2:, :cut].T.copy().view(np.uint64))
+            held, rows = [table[:, cut:]], table.shape[1] - cut
+        if rows:
+            table = np.concatenate(held, axis=1)
+            yield pairs(table[0], table[1], table[2:].T.copy().view(np.uint64))
+
+    return run
+
+
+def near_pairs(prints: DataFrame, most: int) -> DataFrame:
+    """(a, b): of each node the least and the nearest of those met in each group whose wide fingerprints differ in ``most`` bits or fewer.
+
+    ``prints`` has a row (node, bands, WORD_COLUMNS) for each node. Two meet if
+    one of their bands differs in two bits or fewer: then one of its three parts
+    is equal, and in the task that owns this part's value the balls of radius
+    one around the rest have a variant in common.
+    """
+    value = F.col("band.value").cast("long")
+    numbered = F.transform("bands", lambda v, k: F.struct(k.alias("number"), v.alias("value")))
+    keys = [
+        F.shiftleft(F.col("band.number").cast("long"), 42) + F.lit(k << 40) + F.shiftleft(value.bitwiseAND(F.lit(equal)), BAND_BITS) + value
+        for k, equal in enumerate(PARTS_OF_BAND)
+    ]
+    banded = prints.select("node", *WORD_COLUMNS, F.explode(numbered).alias("band"))
+    banded = banded.select("node", *WORD_COLUMNS, F.explode(F.array(*keys)).alias("banded"))
+    met = (
+        banded.repartition(F.shiftright("banded", BAND_BITS))
+        .sortWithinPartitions("banded")
+        .select("banded", "node", *WORD_COLUMNS)
+        .mapInArrow(_near_in_groups(most), "a long, b long, apart long")
+    )
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every linked node: the smallest node that it reaches.
 
