@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
 
 #: What opens a document, a code fence, a heading and the second row of a table.
 FRONT_MATTER = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n"
 FENCE = r"^\s*```"
 HEADING = r"^(#{1,3})\s+(.+?)\s*$"
 DELIMITER = r"^\|[\s:|-]*-[\s:|-]*\|?\s*$"
+#: The part of an index document that its entries are.
+ENTRIES = 3
 
 
 def strip_frontmatter(text: Column) -> Column:
@@ -107,15 +110,37 @@ def exported(files: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFram
     return rows.select("id", F.to_json(told).alias("document")), index, missing
 
 
+def index_pieces(index: DataFrame) -> DataFrame:
+    """(part, nth, text): the index document in pieces, which in the order of part and nth are its text.
+
+    How many documents there are (0), their groups by first appearance (1), what
+    stands between (2), their entries in order (ENTRIES), and the end (4). No
+    row holds more than one entry, so a registry may be of any size.
+    """
+    cols = [c for c in index.columns if c != "place"]
+    entries = numbered(index, ["place", *cols], name="nth")
+    groups = numbered(index.groupBy("group").agg(F.min("place").alias("place")), ["place", "group"], name="nth")
+    comma = F.when(F.col("nth") > 0, ",").otherwise("")
+    piece = lambda df, part, text, nth=F.lit(0).cast("long"): df.select(F.lit(part).alias("part"), nth.alias("nth"), text.alias("text"))
+    quoted = F.substr(F.to_json(F.struct(F.array("group").alias("g"))), F.lit(7))
+    total = index.agg(F.count(F.lit(1)).cast("string").alias("total"))
+    one = total.select()
+    return (
+        piece(total, 0, F.concat(F.lit('{"total":'), "total", F.lit(',"groups":[')))
+        .unionByName(piece(groups, 1, F.concat(comma, F.left(quoted, F.char_length(quoted) - 2)), F.col("nth")))
+        .unionByName(piece(one, 2, F.lit('],"results":[')))
+        .unionByName(piece(entries, ENTRIES, F.concat(comma, F.to_json(F.struct(*cols))), F.col("nth")))
+        .unionByName(piece(one, 4, F.lit("]}")))
+    )
+
+
 def index_document(index: DataFrame) -> DataFrame:
     """(document): how many documents there are, their groups by first appearance, and their entries, in order.
 
-    A registry is configuration, so its entries fit into one text.
+    One text, so for a registry that fits into one; index_pieces has no such bound.
     """
-    cols = [c for c in index.columns if c != "place"]
-    groups = index.groupBy("group").agg(F.min("place").alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "group"))), lambda x: x["group"]).alias("groups"))
-    entries = index.agg(F.count(F.lit(1)).alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("place", *cols))), lambda x: x.dropFields("place")).alias("results"))
-    return entries.crossJoin(groups).select(F.to_json(F.struct("total", "groups", "results")).alias("document"))
+    pieces = index_pieces(index).agg(F.array_sort(F.collect_list(F.struct("part", "nth", "text"))).alias("p"))
+    return pieces.select(F.array_join(F.transform("p", lambda x: x["text"]), "").alias("document"))
 
 
 def numbered_reports(reports: DataFrame) -> DataFrame:

@@ -78,3 +78,24 @@ def test_exported_documents(spark):
     whole = json.loads(documents.index_document(index).first().document)
     assert whole["total"] == 2 and whole["groups"] == ["second", "first"] and [e["id"] for e in whole["results"]] == ["b", "a"]
     assert whole["results"][1]["sections"] == ["One", "Two"] and whole["results"][1]["lines"] == 5 and [r.name for r in missing.collect()] == ["gone.md"]
+
+
+def test_an_index_in_pieces_has_one_entry_a_row(spark):
+    rows = [(n, f"i{n}", 'T "q"', f"g{n % 3}", None, f"n{n}.md", 3, ["a", 'b"']) for n in range(50)]
+    index = spark.createDataFrame(rows, "place int, id string, title string, `group` string, description string, source string, lines int, sections array<string>")
+    pieces = documents.index_pieces(index.orderBy(F.desc("id"))).orderBy("part", "nth").collect()
+    text = "".join(p.text for p in pieces)
+    whole = json.loads(text)
+    assert whole["total"] == 50 and whole["groups"] == ["g0", "g1", "g2"] and [e["id"] for e in whole["results"]] == [f"i{n}" for n in range(50)]
+    assert max(len(p.text) for p in pieces) < 120 and documents.index_document(index).first().document == text
+    assert json.loads(documents.index_document(index.limit(0)).first().document) == {"total": 0, "groups": [], "results": []}
+
+
+def test_the_index_query_carries_no_copy_of_the_index(spark, tmp_path):
+    from evidex.plans.queries import QUERIES
+    from evidex.plans import stage_queries  # noqa: F401
+
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["docs_index"](spark, str(tmp_path))
+    assert found.count() == 32 and {r.id: r.after_group for r in found.collect()}["13"] == 12
+    assert "results#" not in found._jdf.queryExecution().analyzed().toString()
