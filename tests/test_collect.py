@@ -77,3 +77,9 @@ def test_small_functions(spark, tmp_path):
     assert before == {"a": (None, None), "b": ("a", 1), "c": ("b", 2)}
     sizes = reports.write_snapshot({"events": spark.createDataFrame([('{"a": 1}',)], "document string"), "list": history}, str(tmp_path))
     assert sizes["events"] == 8 and json.loads(spark.read.text(f"{tmp_path}/events").first()[0]) == {"a": 1} and spark.read.json(f"{tmp_path}/list").count() == 3
+
+
+def test_a_number_that_holds_403_is_no_refusal(spark):
+    titles = ["Model 2403 is out", "4031 stores", "403 Forbidden", "Error 403", "HTTP403", "Forbidden"]
+    pages = spark.createDataFrame([(t, f"Title: {t}\nMarkdown Content:\n" + "中" * 200) for t in titles], "url string, text string")
+    assert {r.title for r in readers.rendered_articles(pages).collect()} == set(titles[:2])
