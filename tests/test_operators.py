@@ -325,6 +325,25 @@ def test_orphans_of_one_key(spark):
     assert done["rejects"].count() == 0 and {r.status for r in done["items"].collect()} == {"accepted"} and done["claims"].count() == 2
 
 
+def test_events_whose_ids_collide_stay_two(spark):
+    """co1:k1519 and co0:k1679 have hashes with the same first eight digits, and so has an event of before, of another company."""
+    from evidex.operators import stages
+    from evidex.schemas import DRAFT
+
+    told = lambda company, key: json.dumps({"relevant": True, "company": company, "event_key": key, "event_title": key, "facts": []})
+    rows = spark.createDataFrame([("i1", told("co1", "k1519")), ("i2", told("co0", "k1679")), ("i3", told("co0", "k1679"))], "id string, d string")
+    items = rows.select("id", F.lit("extracted").alias("status"), F.lit(None).cast("string").alias("event_id"), F.lit("A").alias("effective_class"), F.lit(None).cast("timestamp_ntz").alias("published_at"), F.from_json("d", DRAFT).alias("draft"))
+    groups = spark.createDataFrame([], "company string, ordinal int, key string, title string, reason string, members array<int>")
+    relations = spark.createDataFrame([], "company string, `from` string, `to` string, relation string, basis string")
+    before = [("EV-a15e8ce9", "k1519", "co1", dt.datetime(2026, 1, 1)), ("EV-a15e8ce9", "other", "co2", dt.datetime(2025, 1, 1))]
+    events = spark.createDataFrame(before, "id string, event_key string, company string, first_seen_at timestamp")
+    done = stages.merge(items, events, groups, relations, EngineConfig(companies=("co0", "co1")), "R", F.lit("2026-03-01").cast("timestamp"))
+    assert {(r.id, r.company, r.event_key, r.first_seen_at.year, r.first_seen_at.month) for r in done["events"].collect()} == {
+        ("EV-a15e8ce9", "co1", "k1519", 2026, 1), ("EV-a15e8ce9", "co0", "k1679", 2026, 3), ("EV-a15e8ce9", "co2", "other", 2025, 1),
+    }
+    assert {(r.id, r.company) for r in done["placed"].collect()} == {("i1", "co1"), ("i2", "co0"), ("i3", "co0")}
+
+
 def test_old_vectors_are_carried(spark):
     new = spark.createDataFrame([("a", [1]), ("b", None)], "id string, vector array<int>")
     old = spark.createDataFrame([("b", [2]), ("c", [3])], "id string, vector array<int>")
