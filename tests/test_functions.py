@@ -67,6 +67,12 @@ def test_strip_html(spark):
     assert column(spark, pages, T.strip_html) == ["x & y", "c d", "t e", "open", "a b"]
 
 
+def test_entities_that_a_semicolon_ends(spark):
+    pages = ["a&amp b &amp;amp; &quot &#65; &#x42 &none; &amp;copy;<i>", None]
+    assert column(spark, pages, lambda c: T.strip_html(c, T.unescape_ended)) == ["a&amp b & &quot A &#x42 &none; ©", None]
+    assert column(spark, pages, T.strip_html) == ['a& b & " A B &none; ©', None]
+
+
 def test_times(spark):
     raw = ["Tue, 01 Sep 2026 10:00:00 +0800", "2026-09-01T10:00:00+08:00", "2026-09-01T10:00:00.25Z", "2026-09-01", "于2026/9/1发布", "2026-13-01", None, "x"]
     got = column(spark, raw, lambda c: T.parse_time(c, True))
