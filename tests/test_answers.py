@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evidex.config import EngineConfig
 from evidex.operators import screening, stages
+from evidex.plugins import answers
 from evidex.plugins.answers import AnswerLog
 from evidex.plugins.judge import ask
 from evidex.schemas import TABLES
@@ -119,3 +120,30 @@ def test_stages_read_the_log(spark, tmp_path, log):
         counts += [told["edges"].count(), told["reviews"].count()]
     assert counts[:6] == counts[6:] and counts[0] == 24 and counts[1] > 0 and counts[4] > 0
     assert set(judge.asked().values()) == {1} and {json.loads(q)[0] for q in judge.asked()} == {"syndication", "prescreen", "relate"}
+
+
+def test_journals_files_do_not_follow_batches(spark, tmp_path, log, monkeypatch):
+    files, take_in = [], AnswerLog._take_in
+
+    def counted(self, journal):
+        files.append(sum(name.endswith(".json") for _, _, names in os.walk(journal) for name in names))
+        take_in(self, journal)
+
+    monkeypatch.setattr(AnswerLog, "_take_in", counted)
+    got = ask(numbers(spark, 300, 3), Counting(tmp_path / "j", lambda r: {"x": r["v"]}), "t", ["id"], 1, log)
+    assert got.where("answer is null").count() == 0 and log.read().count() == 300 and 0 < files[0] <= 8
+
+
+def test_attempts_know_what_others_wrote(tmp_path, monkeypatch):
+    monkeypatch.setattr(answers, "JOIN_BATCHES", 3)
+    folder = str(tmp_path / "0")
+    one, two = answers.Journal(folder), answers.Journal(folder)
+    for n in range(7):
+        one.add([json.dumps({"key": f"k{n}"}), json.dumps({"batch": f"b{n}"})])
+    assert two.batches() == {f"b{n}" for n in range(7)} and len(os.listdir(folder)) == 3
+    two.add([json.dumps({"batch": "c"})])
+    one.join()
+    two.join()
+    assert answers.Journal(folder).batches() == two.batches() and "c" in two.batches()
+    lines = [x for name in os.listdir(folder) for x in (tmp_path / "0" / name).read_text().splitlines()]
+    assert sorted(lines) == sorted(set(lines)) and len(lines) == 15
