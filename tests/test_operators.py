@@ -100,6 +100,37 @@ def test_jaccard_pairs(spark):
     assert got == {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.34}
 
 
+def test_jaccard_pairs_of_equal_and_of_common_sets(spark, monkeypatch):
+    """Against all pairs, with few members in a block, with ids of both kinds."""
+    monkeypatch.setattr(similarity, "SET_BLOCK", 7)
+    rnd = random.Random(5)
+    pool = [[f"w{min(rnd.randrange(25), rnd.randrange(25))}" for _ in range(rnd.randint(0, 7))] for _ in range(60)]
+    sets = {i: rnd.choice(pool) for i in range(150)} | {150 + i: ["w0", None, f"x{i}", "w0"] for i in range(30)} | {180: None}
+    bare = {i: {w for w in s or () if w} for i, s in sets.items()}
+    for least in (0.2, 0.5, 0.9):
+        want = {(a, b): len(bare[a] & bare[b]) / len(bare[a] | bare[b]) for a in sets for b in sets if a < b and bare[a] & bare[b]}
+        want = {k: v for k, v in want.items() if v >= least}
+        for kind, name in (("long", int), ("string", "{:03d}".format)):
+            frame = spark.createDataFrame([(name(i), s) for i, s in sets.items()], f"id {kind}, s array<string>")
+            got = [((int(r.a), int(r.b)), r.jaccard) for r in similarity.jaccard_pairs(frame, "id", "s", least).collect()]
+            assert dict(got) == want and len(got) == len(want)
+
+
+def test_a_common_token_makes_few_candidates():
+    """Sets of eight tokens that share the commonest alone, which is last in each, are not held against each other."""
+    import numpy as np
+
+    n = 300
+    rows = np.concatenate([np.arange(7 * n).reshape(n, 7), np.full((n, 1), 7 * n)], axis=1)
+    given = (np.full(n, 8), np.full(n, 7), rows)
+    seen, all_at_once = [], similarity._candidates
+    similarity._candidates = lambda *x: (seen.append(len(c[0])) or c for c in all_at_once(*x))
+    try:
+        assert sum(len(a) for a, _, _ in similarity._met(7 * n, True, given, given, 0.2)) == 0 and sum(seen) == 0
+    finally:
+        similarity._candidates = all_at_once
+
+
 def test_verify_rules(spark):
     items = spark.createDataFrame(
         [("e1", "o1", True, "A", 2, dt.datetime(2024, 1, 30)), ("e1", "o2", False, "B", 1, dt.datetime(2024, 1, 2)), ("e1", "o3", False, None, None, None),
